@@ -241,9 +241,8 @@ def injury_day(injury_status: DataFrame, injury: DataFrame) -> DataFrame:
 
 
 def flag_columns() -> dict[str, Column]:
-    """Red/amber/green from the assembled day, with the reasons spelled out."""
+    """Red and amber reasons of an assembled day (``_delta`` is the readiness difference as decimal)."""
     c = F.col
-    two = lambda x: x.cast("decimal(6,2)").cast("string")
     one = lambda x: F.round(x, 1).cast("decimal(18,1)").cast("string")
     red = flags((c("availability") == "Out", "out (DNP)"),
                 (c("game_status").isin("Out", "Doubtful"), F.concat(F.lit("game status "), F.lower("game_status"))),
@@ -251,8 +250,8 @@ def flag_columns() -> dict[str, Column]:
     amber = flags((c("availability") == "Limited", "limited (LP)"),
                   ((c("availability") == "Available") & (c("open_injuries") > 0), "open injury at full practice"),
                   (c("acwr_band") == "elevated", "ACWR elevated"),
-                  (c("readiness_delta") <= -1.5,
-                   F.concat(F.lit("readiness "), two(c("readiness_delta")), F.lit(" vs own 28-day mean"))),
+                  (c("_delta") <= -1.5,
+                   F.concat(F.lit("readiness "), c("_delta").cast("string"), F.lit(" vs own 28-day mean"))),
                   (F.abs("asymmetry_4w_avg") > 10, F.concat(F.lit("asymmetry "), one(c("asymmetry_4w_avg")), F.lit("%"))),
                   (c("is_silent"), "no wellness survey in 3 days"))
     return {"_red": red, "_amber": amber}
@@ -275,9 +274,11 @@ def fact_player_day(training_load: DataFrame, wellness: DataFrame, strength: Dat
     """
     day_key = ["player_sk", "date_day"]
     answers = ["readiness_score", "soreness", "fatigue", "sleep_hours", "stress", "mood"]
-    well = own_mean(wellness, ["player_sk"], "survey_date", "readiness_score", mean_as="_mean", count_as="_surveys")
-    well = well.select("player_sk", F.col("survey_date").alias("date_day"), *answers, "_mean", "_surveys",
-                       F.col("survey_date").alias("_survey"))
+    # Scores have two decimals; decimal arithmetic keeps means and differences exact.
+    exact = wellness.withColumn("_score", F.col("readiness_score").cast("decimal(6,2)"))
+    well = own_mean(exact, ["player_sk"], "survey_date", "_score", mean_as="_mean", count_as="_surveys")
+    well = well.select("player_sk", F.col("survey_date").alias("date_day"), *answers, "_score", "_mean",
+                       "_surveys", F.col("survey_date").alias("_survey"))
     tests = first_per_key(strength, ["player_sk", "test_date"],
                           [F.col("test_ts").desc_nulls_first(), F.col("strength_sk").desc()])
     tests = tests.select("player_sk", F.col("test_date").alias("date_day"), F.struct(
@@ -291,7 +292,7 @@ def fact_player_day(training_load: DataFrame, wellness: DataFrame, strength: Dat
     mean = F.when(F.col("_surveys") >= 7, F.round("_mean", 2))
     since = F.datediff("date_day", "last_survey_date")
     read = carried.withColumns({
-        "readiness_28d_mean": mean, "readiness_delta": F.round(F.col("readiness_score") - mean, 2),
+        "readiness_28d_mean": mean.cast("double"), "_delta": (F.col("_score") - mean).cast("decimal(6,2)"),
         "days_since_survey": since, "is_silent": F.coalesce(since >= 3, F.lit(True)),
         "last_test_date": F.col("_t.d"), "asymmetry_4w_avg": F.col("_t.a"), "jump_height_4w_max": F.col("_t.j"),
         "last_weigh_in": F.col("_w.d"), "weight_lbs": F.col("_w.w"), "body_fat_pct": F.col("_w.b"),
@@ -303,7 +304,7 @@ def fact_player_day(training_load: DataFrame, wellness: DataFrame, strength: Dat
         F.col("training_load_sk").alias("player_day_sk"), "player_sk", "date_day", "season_week", "day_type", "sessions",
         "external_load", "internal_load", F.col("acute_7d").alias("load_7d"),
         F.col("chronic_28d").alias("load_28d_avg_week"), "acwr_coupled", "acwr_ewma", "acwr_band", "history_days",
-        "readiness_score", "readiness_28d_mean", "readiness_delta", "soreness", "fatigue", "sleep_hours", "stress", "mood",
+        "readiness_score", "readiness_28d_mean", F.col("_delta").cast("double").alias("readiness_delta"), "soreness", "fatigue", "sleep_hours", "stress", "mood",
         "last_survey_date", "days_since_survey", "is_silent", "last_test_date", "asymmetry_4w_avg", "jump_height_4w_max",
         "last_weigh_in", "weight_lbs", "body_fat_pct", "open_injuries", "practice_status", "availability", "game_status",
         "open_injury_body_parts", "expected_return", "days_since_injury", "flag", "flag_rank", "flag_reasons")

@@ -35,7 +35,7 @@ def mart_player_week(training_load: DataFrame, wellness: DataFrame, strength: Da
     weeks = training_load.groupBy("season_week").agg(F.min("date_day").alias("week_start"), F.max("date_day").alias("week_end"))
 
     well = _weekly(wellness, "survey_date", calendar).groupBy(*KEY).agg(
-        *[F.round(F.avg(c), 2).alias(n) for c, n in (
+        *[F.round(F.avg(F.col(c).cast("decimal(18,8)")), 2).cast("double").alias(n) for c, n in (
             ("readiness_score", "readiness_avg"), ("soreness", "soreness_avg"), ("fatigue", "fatigue_avg"),
             ("sleep_hours", "sleep_hours_avg"))], F.count("*").alias("surveys"))
 
