@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from squadlake.catalog.registry import Tables
+from squadlake.catalog.registry import Tables, shared
 from squadlake.catalog.shapes import PARTS, TEAMS, ev, measure, pick, sql_pick
 
 FIRST = ("Mike", "Josh", "Chris", "Anna", "Lee", "Kim", "Pat")
@@ -77,6 +77,7 @@ def bronze(rows: DataFrame, payload: Column, source: str, endpoint: str) -> Data
         F.when(c.k % 2 == 0, "1.0").otherwise(None).alias("_schema_version"))
 
 
+@shared
 def forcedeck(t: Tables) -> DataFrame:
     m = measure()
     return bronze(ev(t), F.struct(
@@ -96,6 +97,7 @@ fdbad AS (SELECT *, test_type IS NULL OR rep NOT BETWEEN 1 AND 3 OR jump NOT BET
     OR rfd NOT BETWEEN 1000 AND 20000 OR asym NOT BETWEEN -50 AND 50 OR NOT regexp_matches(gsis, '^00-00\\d{{5}}$') AS held FROM fdn)"""
 
 
+@shared
 def nutrition(t: Tables) -> DataFrame:
     m = measure()
     method = F.when(F.col("event_type") == "purchase", "DEXA").when(F.col("event_type") == "click", "BIA").otherwise("scale")
@@ -117,6 +119,7 @@ nubad AS (SELECT *, measured_on IS NULL OR weight NOT BETWEEN 130 AND 420 OR fat
     OR NOT regexp_matches(team, '^[A-Z]{{2,3}}$') AS held FROM nu)"""
 
 
+@shared
 def catapult(t: Tables) -> DataFrame:
     """Sessions, and an athlete list from the sign-ups."""
     m = measure()
@@ -146,6 +149,7 @@ cabad AS (SELECT *, session_ts IS NULL OR minutes NOT BETWEEN 20 AND 180 OR dist
 SWITCH_DAY = "2024-01-15"  # the answers go from 1..5 to 1..10 on this day
 
 
+@shared
 def wellness(t: Tables) -> DataFrame:
     m, late = measure(), F.col("d") >= F.lit(SWITCH_DAY).cast("date")
     v2 = c.k % 2 == 0
@@ -171,6 +175,7 @@ webad AS (SELECT *, sleep_hours NOT BETWEEN 3 AND 12 OR srpe NOT BETWEEN 0 AND 1
     OR scale_max < sleep_quality OR scale_max < soreness OR scale_max < fatigue OR scale_max < stress OR scale_max < mood AS held FROM wes)"""
 
 
+@shared
 def emr(t: Tables) -> DataFrame:
     """Errors open injuries (re-emitted under one id), everything else updates them."""
     at = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-05:00"))
@@ -200,6 +205,7 @@ us AS (SELECT *, count(*) OVER (PARTITION BY update_id) AS versions FROM us0 QUA
 usbad AS (SELECT *, status = '??' AS held FROM us)"""
 
 
+@shared
 def master(t: Tables) -> DataFrame:
     """Users whose first event is not a sign-up are on the roster."""
     known = ev(t).groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("_f")).where("_f <> 'signup'")
@@ -211,6 +217,7 @@ def master(t: Tables) -> DataFrame:
         F.when(c.user % 5 == 0, "Ace").alias("football_name"), c.team.alias("team"), F.lit(None).cast("timestamp").alias("valid_to"))
 
 
+@shared
 def vendor_map(t: Tables) -> DataFrame:
     """Users whose last event is a view are already pinned for two vendors."""
     last = ev(t).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("_l")).where("_l = 'view'")

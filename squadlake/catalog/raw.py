@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from squadlake.catalog import feeds as f
-from squadlake.catalog.registry import query, rnd, shaped, stamp
+from squadlake.catalog.registry import query, rnd, shaped, shared, stamp
 from squadlake.catalog.shapes import EV, ev, measure
 from squadlake.operators import identity, quality
 from squadlake.operators.dedup import dedup_counts
@@ -117,6 +117,7 @@ def stg_emr_status_updates(t):
     return shaped(staging.stg_emr_status_updates(f.emr(t)), stamps=("updated_at",), keep=("bronze_id", "update_id", "injury_id", "player", "practice_status", "game_status"))
 
 
+@shared
 def forecast(t):
     """Hourly readings per event type ("stadium"), re-issued with later values."""
     hour = F.date_trunc("hour", "ts")
@@ -139,6 +140,7 @@ def stg_open_meteo(t):
     return shaped(staging.stg_open_meteo(forecast(t)), stamps=("local_hour", "hour_utc"), keep=("bronze_id", "stadium", "team", "weather_code"), floats=("temperature_c", "wind_gusts_kmh", "relative_humidity_pct"))
 
 
+@shared
 def plays(t):
     m = measure()
     u = F.col("user_id")
@@ -152,6 +154,7 @@ def plays(t):
         F.lit(0).alias("touchdown")), "nflverse", "pbp")
 
 
+@shared
 def snaps(t):
     u, m = F.col("user_id"), measure()
     return f.bronze(ev(t).where("event_type IN ('view', 'purchase')"), F.struct(
@@ -308,8 +311,8 @@ def mixed_records(t):
                    vid=F.when(kind == "view", f.c.cat_id), name=F.when(kind != "error", f.c.raw_name), team=F.when(kind == "signup", F.lower(f.c.team)))
 
 
-RESOLVE_SQL = f"""rec AS (SELECT e.event_id, e.user_id, e.event_type, CASE WHEN event_type <> 'error' THEN {f.NAME_SQL} ELSE '' END AS clean,
-    CASE WHEN event_type = 'signup' THEN {f.TEAM_SQL} END AS team, m1.player_sk AS s1, m2.player_sk AS s2, vm.player_sk AS s3 FROM ev e
+RESOLVE_SQL = f"""rec AS (SELECT e.event_id, e.user_id, e.event_type, CASE WHEN event_type <> 'error' THEN {f.NAME_SQL.replace('user_id', 'e.user_id')} ELSE '' END AS clean,
+    CASE WHEN event_type = 'signup' THEN {f.TEAM_SQL.replace('user_id', 'e.user_id')} END AS team, m1.player_sk AS s1, m2.player_sk AS s2, vm.player_sk AS s3 FROM ev e
     LEFT JOIN mas m1 ON e.event_type = 'purchase' AND m1.user_id = e.user_id LEFT JOIN mas m2 ON e.event_type = 'click' AND m2.user_id = e.user_id
     LEFT JOIN vm ON e.event_type = 'view' AND vm.vid = {f.CAT_SQL.replace('user_id', 'e.user_id')}),
 nm AS ({f.name_rule('rec')}),
@@ -318,6 +321,7 @@ res AS (SELECT event_id, user_id, event_type, coalesce(s1, s2, s3, player_sk) AS
 resc AS (SELECT *, CASE resolved_by WHEN 'gsis_id' THEN 1.0 WHEN 'nfl_id' THEN 1.0 WHEN 'vendor_map' THEN 0.75 WHEN 'name_team' THEN 0.9 WHEN 'name_unique' THEN 0.75 END AS confidence FROM res)"""
 
 
+@shared
 def resolved(t):
     rows, ids = mixed_records(t)
     return identity.resolve(rows, f.master(t), f.vendor_map(t), "catapult", **ids)
@@ -527,6 +531,7 @@ def role_unpivot_sums(t):
                   floats=("epa_total", "epa_pass", "epa_rush", "epa_receive", "success_rate", "offense_pct"))
 
 
+@shared
 def play_fact(t):
     from squadlake.catalog.shapes import calendar
     from squadlake.plans import facts

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squadlake.session import tune
+from squadlake.session import materialise, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,11 +34,38 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.frames: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        naive = [c for c, t in df.dtypes if t == "timestamp_ntz"]
-        return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
+        if name not in self.frames:
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            naive = [c for c, t in df.dtypes if t == "timestamp_ntz"]
+            self.frames[name] = df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
+        return self.frames[name]
+
+
+def shared(fn):
+    """Build a derived frame once per query: consumers share one plan, so equal
+    exchanges are recognised and executed once."""
+    key = f"{fn.__module__}.{fn.__name__}"
+
+    @wraps(fn)
+    def frame(t: Tables):
+        if key not in t.frames:
+            t.frames[key] = fn(t)
+        return t.frames[key]
+
+    return frame
+
+
+def shared_table(fn):
+    """Like ``shared``, and written once to the cluster's checkpoint folder when it
+    names one: for frames that several branches of a query read in full."""
+    @wraps(fn)
+    def frame(t: Tables):
+        return materialise(fn(t))
+
+    return shared(frame)
 
 
 def text(c: str | Column) -> Column:

@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from squadlake.catalog import shapes as s
-from squadlake.catalog.registry import query, rnd, shaped, text
+from squadlake.catalog.registry import query, rnd, shaped, shared, shared_table, text
 from squadlake.operators.dedup import flag_repeats, latest_per_key, latest_with_count
 from squadlake.operators.timeseries import carry_forward, day_grid, own_mean, scalar
 from squadlake.plans import analyses, dims, facts, mart, report
 from squadlake.sources import seeds
 
 
+@shared
 def training_load(t):
     return facts.fact_training_load(s.sessions(t), s.surveys(t), s.calendar(t), s.START)
 
 
+@shared_table
+def load_table(t):
+    """The training-load fact as a stored table, for queries that read it more than once."""
+    return training_load(t)
+
+
 @query("acwr_player_day", f"""WITH {s.TO_LOAD}
 SELECT player_sk, CAST(date_day AS VARCHAR) AS date_day, season_week, day_type, CAST(n AS BIGINT) AS sessions, CAST(mins AS BIGINT) AS duration_min,
   srpe, CAST(spr AS BIGINT) AS sprint_count, hist AS history_days, band AS acwr_band, round(ext, 6) AS external_load, round(internal, 6) AS internal_load,
@@ -92,11 +99,13 @@ def carry_forward_last_purchase(t):
                        rnd("last.v").alias("last_top"), F.coalesce(since >= 3, F.lit(True)).alias("is_silent"))
 
 
+@shared
 def injury(t):
     types = dims.dim_injury_type(seeds.injury_body_parts(t.spark))
     return facts.fact_injury(s.injuries(t), s.updates(t), types)
 
 
+@shared
 def status(t):
     return facts.fact_injury_status(injury(t), s.updates(t), s.calendar(t))
 
@@ -111,6 +120,11 @@ def injury_facts(t):
         "days_out", "status_updates"))
 
 
+@shared_table
+def status_table(t):
+    return status(t)
+
+
 @query("asof_status", f"""WITH {s.EV}, {s.CAL}, {s.TO_INJURY}, {s.STATUS}
 SELECT injury_id, player_sk, CAST(date_day AS VARCHAR) AS date_day, season_week, day_type, counted AS counts_for_availability, practice_status, game_status,
   practice_status = 'DNP' AS is_unavailable FROM fis""")
@@ -124,7 +138,7 @@ def asof_status(t):
 SELECT player_sk, season_week, scheduled AS scheduled_sessions, scheduled - missed AS available_sessions, missed AS missed_sessions, round(pct, 6) AS availability_pct FROM avail""")
 def interval_availability(t):
     """Scheduled days per week and the share not missed."""
-    return shaped(facts.fact_availability(training_load(t), status(t), s.calendar(t)), floats=("availability_pct",), keep=(
+    return shaped(facts.fact_availability(load_table(t), status(t), s.calendar(t)), floats=("availability_pct",), keep=(
         "player_sk", "season_week", "scheduled_sessions", "available_sessions", "missed_sessions"))
 
 
@@ -144,11 +158,18 @@ def preferred_method(t):
                   dates=("measured_on",), floats=("weight_lbs",))
 
 
+@shared
 def player_day(t):
     return facts.fact_player_day(training_load(t), facts.fact_wellness(s.surveys(t)), facts.fact_strength(s.tests(t)),
                                  facts.fact_nutrition(s.measurements(t)), status(t), injury(t))
 
 
+@shared_table
+def player_day_table(t):
+    """The player-day fact as a stored table, as a report reads it."""
+    return player_day(t)
+
+
 @query("flag_reasons", f"""WITH {s.TO_DAY}
 SELECT player_sk, CAST(date_day AS VARCHAR) AS date_day, band AS acwr_band, round(a7, 6) AS load_7d, round(readiness, 6) AS readiness_score,
   round(mean_cents / 100.0, 6) AS readiness_28d_mean, round(delta_cents / 100.0, 6) AS readiness_delta, CAST(last_survey AS VARCHAR) AS last_survey_date,
@@ -164,11 +185,13 @@ def flag_reasons(t):
                   floats=("load_7d", "readiness_score", "readiness_28d_mean", "readiness_delta", "asymmetry_4w_avg", "jump_height_4w_max", "weight_lbs"))
 
 
+@shared
 def weekly(t):
     sessions_games = game_points(t)
+    load, days = load_table(t), status_table(t)
     return mart.mart_player_week(
-        training_load(t), facts.fact_wellness(s.surveys(t)), facts.fact_strength(s.tests(t)), facts.fact_nutrition(s.measurements(t)),
-        facts.fact_availability(training_load(t), status(t), s.calendar(t)), injury(t), status(t), sessions_games, s.players(t), s.calendar(t))
+        load, facts.fact_wellness(s.surveys(t)), facts.fact_strength(s.tests(t)), facts.fact_nutrition(s.measurements(t)),
+        facts.fact_availability(load, days, s.calendar(t)), injury(t), days, sessions_games, s.players(t), s.calendar(t))
 
 
 def game_points(t):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from squadlake.catalog.registry import Tables
+from squadlake.catalog.registry import Tables, shared
 from squadlake.functions import units
 from squadlake.plans import dims
 
@@ -30,6 +30,7 @@ def sql_pick(values: tuple[str, ...], index: str) -> str:
     return f"list_extract([{listed}], CAST({index} AS INTEGER) + 1)"
 
 
+@shared
 def ev(t: Tables) -> DataFrame:
     return t.events.select("event_id", "ts", F.to_date("ts").alias("d"), "user_id", "event_type", "value",
                            F.get_json_object("props", "$.k").cast("int").alias("k"))
@@ -43,6 +44,7 @@ def measure():
     return F.sqrt(F.col("value") + 0.003)
 
 
+@shared
 def sessions(t: Tables) -> DataFrame:
     kind = F.when(F.col("event_type") == "purchase", "game").when(F.col("event_type") == "view", "walkthrough").otherwise("practice")
     m = measure()
@@ -62,6 +64,7 @@ SESS = """sess AS (SELECT event_id AS bronze_id, CAST(event_id AS VARCHAR) AS se
 SURVEYED = ("view", "click", "signup")
 
 
+@shared
 def surveys(t: Tables) -> DataFrame:
     k = F.col("k")
     shift = {"sleep_quality": 0, "soreness": 3, "fatigue": 5, "stress": 7, "mood": 2}
@@ -79,6 +82,7 @@ SURV = """surv AS (SELECT event_id AS bronze_id, user_id AS player_sk, d AS surv
     FROM ev WHERE event_type IN ('view', 'click', 'signup'))"""
 
 
+@shared
 def tests(t: Tables) -> DataFrame:
     return ev(t).select(
         F.col("event_id").alias("bronze_id"), F.concat(F.lit("t"), "event_id").alias("test_id"),
@@ -93,6 +97,7 @@ TESTS = """tests AS (SELECT event_id AS bronze_id, user_id AS player_sk, ts AS t
     CASE WHEN k % 9 > 0 THEN sqrt(value + 0.003) + k - 50 END AS asymmetry_pct FROM ev)"""
 
 
+@shared
 def measurements(t: Tables) -> DataFrame:
     method = F.when(F.col("event_type") == "purchase", "DEXA").when(F.col("event_type") == "click", "BIA").otherwise("scale")
     return ev(t).where(F.col("event_type").isin("purchase", "click", "error")).select(
@@ -109,6 +114,7 @@ MEAS = """meas AS (SELECT event_id AS bronze_id, user_id AS player_sk, d AS meas
     FROM ev WHERE event_type IN ('purchase', 'click', 'error'))"""
 
 
+@shared
 def injuries(t: Tables) -> DataFrame:
     """The earliest error of each (user, k mod 3) opens an injury."""
     k = F.col("k")
@@ -134,6 +140,7 @@ INJ = f"""inj AS (SELECT event_id AS bronze_id, user_id * 3 + lane AS injury_id,
 STATUS_SQL = "CASE event_type WHEN 'view' THEN 'DNP' WHEN 'purchase' THEN 'FP' ELSE 'LP' END"
 
 
+@shared
 def updates(t: Tables) -> DataFrame:
     kind = F.when(F.col("event_type") == "view", "DNP").when(F.col("event_type") == "purchase", "FP").otherwise("LP")
     game = F.when(F.col("k") % 4 == 0, "Out").when(F.col("k") % 4 == 1, "Doubtful").when(F.col("k") % 4 == 2, "Questionable")
@@ -149,6 +156,7 @@ UPD = f"""upd AS (SELECT event_id AS bronze_id, user_id * 3 + k % 3 AS injury_id
     FROM ev WHERE event_type <> 'error')"""
 
 
+@shared
 def calendar(t: Tables) -> DataFrame:
     return dims.dim_date(t.spark, START, END)
 
@@ -158,6 +166,7 @@ CAL = f"""cal AS (SELECT CAST(g AS DATE) AS date_day, CAST(date_diff('day', DATE
     FROM generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}' - INTERVAL 1 DAY, INTERVAL 1 DAY) AS s(g))"""
 
 
+@shared
 def players(t: Tables) -> DataFrame:
     """One current version per user."""
     u = F.col("user_id")

@@ -54,7 +54,8 @@ def ascii_fold(c: Column) -> Column:
     character that folds to several letters takes the per-character path.
     """
     src, dst, longer = _folds()
-    many = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    pairs = "\x02".join(f"{ch}\x03{spelling}" for ch, spelling in longer.items())
+    many = F.str_to_map(F.lit(pairs), F.lit("\x02"), F.lit("\x03"))
     spelled = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(many, ch), ch)), "")
     has_longer = c.rlike("[" + "".join(longer) + "]")
     expanded = F.when(has_longer, spelled).otherwise(c)

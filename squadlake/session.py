@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings every plan relies on.  AQE re-plans joins from measured
 # sizes: a side is broadcast only after Spark has seen that it is under the
@@ -36,17 +37,26 @@ def build_session(app: str = "squadlake", master: str | None = None, **conf: str
     return tune(builder.getOrCreate())
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``, if any."""
+    return spark.conf.get("spark.checkpoint.dir", None)
 
-    The cluster's own setting always wins; ``fallback`` is used only where
-    none is set (tests), and is never a guess at a machine-local folder.
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a frame that several consumers read in full, and read it back.
+
+    The table goes to the shared checkpoint folder, so it cuts the lineage,
+    survives the loss of executors and, being Parquet, keeps column pruning and
+    filter pushdown for every consumer.  Where no folder is configured the
+    frame stays lazy, which gives the same rows.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    path = configured or fallback
-    if not path:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback was given")
-    return path
+    spark = df.sparkSession
+    folder = checkpoint_dir(spark)
+    if not folder:
+        return df
+    path = f"{folder.rstrip('/')}/squadlake/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bench_cpus(default: int = 8) -> int:
