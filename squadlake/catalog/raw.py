@@ -91,7 +91,7 @@ def stg_catapult(t):
 
 @query("stg_wellness", f"""WITH {EV}, {f.WELLNESS}
 SELECT bronze_id, survey_id, nfl_id, CASE WHEN k % 2 = 0 THEN 'v2' ELSE 'v1' END AS schema_shape, strftime(local_ts + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') AS submitted_at, bogus AS tz_claimed_utc, scale_max,
-  declared IS NULL AS scale_inferred, round(sleep_hours, 6) AS sleep_hours, round(soreness, 6) AS soreness, round(mood, 6) AS mood, srpe FROM wes""")
+  declared IS NULL AS scale_inferred, round(sleep_hours, 6) AS sleep_hours, CAST(soreness AS DOUBLE) AS soreness, CAST(mood AS DOUBLE) AS mood, srpe FROM wes""")
 def stg_wellness(t):
     return shaped(staging.stg_wellness(f.wellness(t)), stamps=("submitted_at",), keep=("bronze_id", "survey_id", "nfl_id", "schema_shape", "tz_claimed_utc", "scale_max", "scale_inferred", "srpe"),
                   floats=("sleep_hours", "soreness", "mood"))
@@ -135,7 +135,7 @@ METEO_SQL = """wx AS (SELECT event_id AS bronze_id, event_type AS stadium, date_
 
 @query("stg_open_meteo", f"""WITH {EV}, {METEO_SQL}
 SELECT bronze_id, stadium, 'NE' AS team, strftime(local_hour, '%Y-%m-%d %H:%M:%S') AS local_hour, strftime(hour_utc, '%Y-%m-%d %H:%M:%S') AS hour_utc, round(temperature_c, 6) AS temperature_c, round(temperature_c * 3, 6) AS wind_gusts_kmh,
-  round(humidity, 6) AS relative_humidity_pct, code AS weather_code FROM wx""")
+  CAST(humidity AS DOUBLE) AS relative_humidity_pct, code AS weather_code FROM wx""")
 def stg_open_meteo(t):
     return shaped(staging.stg_open_meteo(forecast(t)), stamps=("local_hour", "hour_utc"), keep=("bronze_id", "stadium", "team", "weather_code"), floats=("temperature_c", "wind_gusts_kmh", "relative_humidity_pct"))
 
@@ -173,7 +173,7 @@ sn AS (SELECT event_id AS bronze_id, 'g' || d || '-' || (user_id % 4) AS game_id
 
 
 @query("stg_pbp", f"""WITH {EV}, {PLAY_CTE}
-SELECT bronze_id, game_id, play_id, nfl_week, CAST(game_date AS VARCHAR) AS game_date, posteam, passer AS passer_player_id, rusher AS rusher_player_id, receiver AS receiver_player_id, round(epa, 6) AS epa, round(success, 6) AS success FROM pl""")
+SELECT bronze_id, game_id, play_id, nfl_week, CAST(game_date AS VARCHAR) AS game_date, posteam, passer AS passer_player_id, rusher AS rusher_player_id, receiver AS receiver_player_id, round(epa, 6) AS epa, CAST(success AS DOUBLE) AS success FROM pl""")
 def stg_pbp(t):
     return shaped(staging.stg_pbp(plays(t)), dates=("game_date",), keep=("bronze_id", "game_id", "play_id", "nfl_week", "posteam", "passer_player_id", "rusher_player_id", "receiver_player_id"), floats=("epa", "success"))
 

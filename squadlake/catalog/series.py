@@ -25,7 +25,7 @@ def load_table(t):
 
 @query("acwr_player_day", f"""WITH {s.TO_LOAD}
 SELECT player_sk, CAST(date_day AS VARCHAR) AS date_day, season_week, day_type, CAST(n AS BIGINT) AS sessions, CAST(mins AS BIGINT) AS duration_min,
-  srpe, CAST(spr AS BIGINT) AS sprint_count, hist AS history_days, band AS acwr_band, round(ext, 6) AS external_load, round(internal, 6) AS internal_load,
+  srpe, CAST(spr AS BIGINT) AS sprint_count, hist AS history_days, band AS acwr_band, round(ext, 6) AS external_load, CAST(internal AS DOUBLE) AS internal_load,
   round(a7, 6) AS acute_7d, round(c28, 6) AS chronic_28d, round(acwr, 6) AS acwr_coupled, round(iacwr, 6) AS internal_acwr,
   round(dist, 6) AS total_distance_m, round(hsd, 6) AS high_speed_distance_m, round(spd, 6) AS max_speed_ms, md5(player_sk || '-' || date_day) AS training_load_sk FROM tl""")
 def acwr_player_day(t):
@@ -230,7 +230,7 @@ TO_WEEK = ",\n".join([s.TO_DAY, s.WHO, s.AVAIL, PLAY_SQL, MART_SQL])
 
 @query("week_mart", f"""WITH {TO_WEEK}
 SELECT player_sk, season_week, CAST(week_start AS VARCHAR) AS week_start, CAST(week_end AS VARCHAR) AS week_end, full_name, team, position, CAST(n_week AS BIGINT) AS sessions_week,
-  round(ext_week, 6) AS external_load_week, round(int_week, 6) AS internal_load_week, round(dist_week, 6) AS distance_m_week, round(a7, 1) AS acute_7d, round(c28, 1) AS chronic_28d,
+  round(ext_week, 6) AS external_load_week, CAST(int_week AS DOUBLE) AS internal_load_week, round(dist_week, 6) AS distance_m_week, round(a7, 1) AS acute_7d, round(c28, 1) AS chronic_28d,
   round(acwr, 3) AS acwr_coupled, round(eacwr, 3) AS acwr_ewma, round(iacwr, 3) AS internal_acwr, band AS acwr_band, round(acwr_max, 3) AS acwr_max_week, high_days AS days_acwr_high,
   round(ready, 6) AS readiness_avg, round(sore, 6) AS soreness_avg, round(tired, 6) AS fatigue_avg, slept AS sleep_hours_avg, surveys, round(asymmetry_pct, 6) AS asymmetry_pct, round(asym4, 2) AS asymmetry_4w_avg,
   round(trend, 2) AS asymmetry_trend, round(jump4, 6) AS jump_height_4w_max, CAST(test_date AS VARCHAR) AS last_test_date, round(weight_lbs, 6) AS weight_lbs, round(body_fat_pct, 6) AS body_fat_pct, method AS weight_method,

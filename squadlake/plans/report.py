@@ -150,7 +150,7 @@ REGIONS = ("lower_body", "upper_body", "head")
 
 def severity_matrix(injury: DataFrame) -> DataFrame:
     """Counts by severity (rows) and body region (columns); the column list is fixed, so one pass."""
-    return injury.groupBy("severity").pivot("body_region", list(REGIONS)).agg(F.count("*")).na.fill(0, list(REGIONS))
+    return injury.groupBy("severity").pivot("body_region", list(REGIONS)).agg(F.count(F.lit(1))).na.fill(0, list(REGIONS))
 
 
 def run_table(dq_runs: DataFrame) -> DataFrame:

@@ -25,10 +25,11 @@ def _plain(v):
         return "~"
     if isinstance(v, bool):
         return str(v)
-    if isinstance(v, (int, float)):
-        f = float(v)
-        return f"{f + 0.0:.9g}" if f else "0"
-    return str(v)
+    if isinstance(v, int):
+        return str(v)
+    if isinstance(v, float):
+        return f"{v:.9g}f" if v else "0f"
+    return f"{type(v).__name__}:{v}" if not isinstance(v, str) else v
 
 
 def normal(columns, rows):
