@@ -13,6 +13,7 @@ from squadlake.catalog.shapes import EV, ev, measure
 from squadlake.operators import identity, quality
 from squadlake.operators.dedup import dedup_counts
 from squadlake.plans import dq_views, silver, staging, suites
+from squadlake.session import materialise
 from squadlake.sources import bronze as b
 
 RUN = "r1"
@@ -186,14 +187,19 @@ def stg_snap_counts(t):
 
 # ---------------------------------------------------------------- validation
 
+FEEDS = {"forcedeck": f.forcedeck, "catapult": f.catapult, "ams_wellness": f.wellness, "nutrition": f.nutrition, "emr": f.emr}
+
+
 def checked(t, suite) -> quality.Validation:
-    feed = {"forcedeck": f.forcedeck, "catapult": f.catapult, "ams_wellness": f.wellness, "nutrition": f.nutrition, "emr": f.emr}[suite.source]
-    return quality.Validation(staging.STAGING[suite.table](feed(t)), suite, RUN)
+    """A suite against its staging projection, which duplicate checks read twice and is therefore stored."""
+    key = f"stored {suite.table}"
+    if key not in t.frames:
+        t.frames[key] = materialise(staging.STAGING[suite.table](FEEDS[suite.source](t)))
+    return quality.Validation(t.frames[key], suite, RUN)
 
 
 def held_ids(t, source: str) -> DataFrame:
-    parts = [quality.quarantined_ids(checked(t, s).quarantine()) for s in suites.suites_for(source)]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [checked(t, s).failed_ids() for s in suites.suites_for(source)])
 
 
 def _result_sql(cte: str, checks: list[tuple[str, str, str, str]]) -> str:
@@ -394,8 +400,7 @@ def resolution_by_method(t):
 # ---------------------------------------------------------------- silver
 
 def build(t, source: str) -> silver.SilverRun:
-    feed = {"forcedeck": f.forcedeck, "catapult": f.catapult, "ams_wellness": f.wellness, "nutrition": f.nutrition, "emr": f.emr}[source]
-    return silver.BUILDERS[source](feed(t), held_ids(t, source), f.master(t), f.vendor_map(t), RUN)
+    return silver.BUILDERS[source](FEEDS[source](t), held_ids(t, source), f.master(t), f.vendor_map(t), RUN)
 
 
 def flags_text(c="qc_flags"):

@@ -80,12 +80,9 @@ def general_number(c: Column) -> Column:
     """Six significant digits without trailing zeros, as C's %g prints."""
     x = c.cast("double")
     mag = F.abs(x)
-    trim = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    fixed = None
-    for power in range(5, -6, -1):  # 1e5 .. 1e-5
-        text = trim(F.format_string(f"%.{5 - power}f", x))
-        fixed = F.when(mag >= 10.0 ** power, text) if fixed is None else fixed.when(mag >= 10.0 ** power, text)
-    scientific = F.regexp_replace(F.regexp_replace(F.format_string("%.5e", x), r"(\.\d*?)0+e", "$1e"), r"\.e", "e")
-    return (F.when(mag == 0, F.lit("0"))
-            .when((mag >= 999_999.5) | (mag < 1e-4), scientific)
-            .otherwise(fixed))
+    outside = (mag >= 999_999.5) | (mag < 1e-4)
+    text = F.when(outside, F.format_string("%.5e", x))
+    for power in range(5, -5, -1):  # digits left of the point decide the digits right of it
+        text = text.when(mag >= 10.0 ** power, F.format_string(f"%.{5 - power}f", x))
+    trimmed = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+    return F.when(mag == 0, F.lit("0")).otherwise(trimmed)

@@ -75,7 +75,7 @@ def clean_name(c: Column, nicknames: bool = True) -> Column:
     s = _strip(F.regexp_replace(F.regexp_replace(F.lower(s), r"[.'`]", ""), f"{_WS}+", " "))
     tokens = F.filter(F.split(s, " "), lambda t, i: (i == 0) | ~t.isin(*SUFFIXES))
     if nicknames:
-        formal = F.create_map(*[F.lit(x) for pair in NICKNAMES.items() for x in pair])
+        formal = F.str_to_map(F.lit(",".join(f"{short}:{full}" for short, full in NICKNAMES.items())))
         tokens = F.transform(tokens, lambda t, i: F.when(i == 0, F.coalesce(F.try_element_at(formal, t), t)).otherwise(t))
     return F.coalesce(F.array_join(tokens, " "), F.lit(""))
 

@@ -24,8 +24,6 @@ METHODS = ("gsis_id", "nfl_id", "vendor_map", "name_team", "name_unique", "unres
 CONFIDENCE = {"gsis_id": 1.0, "nfl_id": 1.0, "name_team": 0.9, "name_unique": 0.75}
 
 IDENTIFIER = ("gsis", "nfl", "vid", "name", "team")
-_TYPES = {"gsis": "string", "nfl": "string", "vid": "string", "name": "string", "team": "string"}
-
 PLAYER_MAP_SCHEMA = ("vendor string, vendor_player_id string, player_sk bigint, resolved_by string, "
                      "confidence double, first_seen timestamp, last_seen timestamp")
 
@@ -49,15 +47,16 @@ def identifier_key(ids: dict[str, Column]) -> Column:
 
 def alias_index(players: DataFrame) -> DataFrame:
     """(player_sk, clean, team) for every name an active player answers to."""
-    full = lambda first: F.concat_ws(" ", first, F.col("last_name"))
     has = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
-    given = [F.when(has(first) & has("last_name"), full(F.col(first))) for first in ("first_name", "football_name")]
-    primary = F.coalesce(F.nullif(F.col("clean_name"), F.lit("")), clean_name(F.col("full_name")))
-    names = F.array_compact(F.array(primary, *[F.when(g.isNotNull(), clean_name(g)) for g in given]))
+    other = lambda first: F.when(has(first) & has("last_name"), F.concat_ws(" ", first, "last_name"))
+    known = F.nullif(F.col("clean_name"), F.lit(""))
+    names = F.array(F.struct(F.col("full_name").alias("raw"), known.alias("clean")),
+                    *[F.struct(other(f).alias("raw"), F.lit(None).cast("string").alias("clean"))
+                      for f in ("first_name", "football_name")])
     return (players.where("valid_to is null")
-            .select("player_sk", F.explode(F.array_distinct(names)).alias("clean"),
-                    F.upper("team").alias("team"))
-            .where("clean <> ''"))
+            .select("player_sk", F.upper("team").alias("team"), F.explode(names).alias("n"))
+            .select("player_sk", F.coalesce("n.clean", clean_name(F.col("n.raw"))).alias("clean"), "team")
+            .where("clean <> ''").distinct())
 
 
 @dataclass

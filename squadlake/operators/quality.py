@@ -184,6 +184,13 @@ class Validation:
         rows += [row(e, F.lit(None), F.lit(None), True) for e in self.missing]
         return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
+    def failed_ids(self) -> DataFrame:
+        """Ids of the records that fail anything: a filter, no reason text is built."""
+        any_failed = F.lit(False)
+        for e in self.usable:
+            any_failed = any_failed | e.failed()
+        return self.frame.where(any_failed).select(F.col(self.id_col).cast("bigint").alias("bronze_id"))
+
     def quarantine(self) -> DataFrame:
         """One row per (record, failed expectation)."""
         if not self.usable:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from squadlake.functions.casts import pct
 from squadlake.operators import identity, quality
 from squadlake.plans import dims, dq_views, facts, mart, silver, staging, suites
+from squadlake.session import materialise
 from squadlake.sources import seeds
 from squadlake.sources.bronze import schema_versions
 from squadlake.sources.tables import TableStore
@@ -35,7 +36,7 @@ class RunReport:
 
 def validate_source(store: TableStore, bronze: DataFrame, source: str, run_id: str) -> None:
     """Write the source's results and quarantine, then fail it if the damage is systemic."""
-    checks = [quality.Validation(staging.STAGING[s.table](bronze), s, run_id) for s in suites.suites_for(source)]
+    checks = [quality.Validation(materialise(staging.STAGING[s.table](bronze)), s, run_id) for s in suites.suites_for(source)]
     results = reduce(DataFrame.unionByName, [c.results() for c in checks]).withColumn("validated_at", F.current_timestamp())
     held = reduce(DataFrame.unionByName, [c.quarantine() for c in checks]).withColumn("quarantined_at", F.current_timestamp())
     fresh = store.replace(f"results_{source}", results)

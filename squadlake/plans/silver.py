@@ -21,6 +21,7 @@ from squadlake.operators import identity
 from squadlake.operators.dedup import attach_group, flag_repeats, latest_with_count
 from squadlake.operators.quality import identity_failures, without_quarantined
 from squadlake.plans import staging
+from squadlake.session import materialise
 
 
 @dataclass
@@ -48,10 +49,16 @@ def _with_candidates(found: identity.Resolved) -> tuple[DataFrame, Column]:
     return rows, F.coalesce(listed, F.lit(""))
 
 
+def accepted(bronze: DataFrame, feed: staging.Feed, held: DataFrame) -> DataFrame:
+    """Current records that passed validation.  Resolution reads them twice (their
+    distinct identifiers, then the rows), so they are written once."""
+    return materialise(without_quarantined(staging.current(bronze, feed), held))
+
+
 def forcedeck(bronze: DataFrame, held: DataFrame, players: DataFrame, vendor_map: DataFrame,
               run_id: str = "manual") -> SilverRun:
     feed = staging.FORCEDECK
-    rows = without_quarantined(staging.current(bronze, feed), held)
+    rows = accepted(bronze, feed, held)
     gsis = F.col("athlete_gsis_id")
     found = identity.resolve(rows, players, vendor_map, feed.source, gsis=gsis, vid=gsis)
     raw = num(F.col("peak_force"))
@@ -72,7 +79,7 @@ def forcedeck(bronze: DataFrame, held: DataFrame, players: DataFrame, vendor_map
 def nutrition(bronze: DataFrame, held: DataFrame, players: DataFrame, vendor_map: DataFrame,
               run_id: str = "manual") -> SilverRun:
     feed = staging.NUTRITION
-    rows = without_quarantined(staging.current(bronze, feed), held)
+    rows = accepted(bronze, feed, held)
     found = identity.resolve(rows, players, vendor_map, feed.source, name=F.col("player_name"), team=F.col("team"))
     weight, lean_raw = num(F.col("weight")), num(F.col("lean_mass"))
     lean, was_pct = units.lean_mass(lean_raw, weight)
@@ -96,7 +103,7 @@ def wellness(bronze: DataFrame, held: DataFrame, players: DataFrame, vendor_map:
     """Day scale: any value declared that day (the last in ingest order), else the
     cohort of the rows that passed validation; a row's own declaration overrides."""
     feed = staging.WELLNESS
-    rows = without_quarantined(staging.current(bronze, feed), held)
+    rows = accepted(bronze, feed, held)
     instant, corrected = casts.facility_local(F.col("submitted_at"))
     declared = F.nullif(F.col("scale_max").cast("int"), F.lit(0))
     rows = rows.withColumns({
@@ -139,7 +146,7 @@ def catapult(bronze: DataFrame, held: DataFrame, players: DataFrame, vendor_map:
     athletes = (staging.current(bronze, staging.ATHLETES)
                 .withColumn("_name", F.concat(part("first_name"), F.lit(" "), part("last_name"))))
     listed_athletes = identity.resolve(athletes, players, vendor_map, feed.source, vid=F.col("athlete_id"), name=F.col("_name"))
-    rows = without_quarantined(staging.current(bronze, feed), held)
+    rows = accepted(bronze, feed, held)
     names = athletes.select(F.col("athlete_id").alias("_aid"), "_name")
     rows = rows.join(names, F.col("player_id") == F.col("_aid"), "left").drop("_aid")
     found = identity.resolve(rows, players, vendor_map, feed.source, vid=F.col("player_id"), name=F.col("_name"))
@@ -169,10 +176,10 @@ def catapult(bronze: DataFrame, held: DataFrame, players: DataFrame, vendor_map:
 def emr(bronze: DataFrame, held: DataFrame, players: DataFrame, vendor_map: DataFrame,
         run_id: str = "manual") -> SilverRun:
     """Injuries, and status updates that inherit the injury's player."""
-    inj_rows = without_quarantined(staging.current(bronze, staging.INJURIES), held)
+    inj_rows = accepted(bronze, staging.INJURIES, held)
     upd_rows = staging.unpack(bronze, staging.STATUS_UPDATES).withColumn("_at", casts.iso_utc(F.col("updated_at")))
     upd_rows = latest_with_count(upd_rows, ["update_id"], ["_at", "_ingested_at", "bronze_id"])
-    upd_rows = without_quarantined(upd_rows, held)
+    upd_rows = materialise(without_quarantined(upd_rows, held))
 
     found = identity.resolve(inj_rows, players, vendor_map, "emr", name=F.col("player"), team=F.col("team"))
     last_dnp = (upd_rows.where("practice_status = 'DNP'").groupBy(F.col("injury_id").alias("_iid"))
