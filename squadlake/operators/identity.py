@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from squadlake.functions.casts import whole
 from squadlake.functions.text import clean_name
+from squadlake.session import materialise
 
 # Method names in the order they are tried, and their confidence.
 METHODS = ("gsis_id", "nfl_id", "vendor_map", "name_team", "name_unique", "unresolved")
@@ -123,7 +124,8 @@ def resolve(records: DataFrame, players: DataFrame, vendor_map: DataFrame, vendo
                 .agg(*[F.first(cols[i]).alias(i) for i in IDENTIFIER],
                      F.count("*").alias("occurrences"), F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id")))
     index = alias_index(players)
-    found = resolve_identifiers(distinct, players, vendor_map, vendor, index)
+    # Read by the record join, the pins, the quarantine and the counts: written once.
+    found = materialise(resolve_identifiers(distinct, players, vendor_map, vendor, index))
     answer = found.select(F.col("_ident").alias("_i"), "player_sk", "resolved_by", "confidence", "reason",
                           "n_candidates", "candidate_team", F.col("clean").alias("candidate_name"))
     joined = keyed.join(answer, F.col("_ident") == F.col("_i"), "left").drop("_i", "_ident")

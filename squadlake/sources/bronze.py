@@ -98,20 +98,18 @@ class BronzeTable:
         stamped = df.select(
             "payload", *order, payload_hash(F.col("payload")).alias("_payload_hash"))
         new = self.unseen(stamped, source)
-        start = F.coalesce(self.read().agg(F.max("id").alias("v")).scalar(), F.lit(-1)) + 1
+        top = self.read().agg(F.max("id")).first()[0]
+        start = 0 if top is None else top + 1
         ranged = new.repartitionByRange(*order, "_payload_hash").sortWithinPartitions(*order, "_payload_hash")
         rows = ranged.withColumn("_n", F.monotonically_increasing_id()).select(
-            (start + F.col("_n")).alias("id"), "payload",
+            (F.lit(start) + F.col("_n")).cast("bigint").alias("id"), "payload",
             (F.current_timestamp() if ingested_at is None else ingested_at).cast("timestamp").alias("_ingested_at"),
             F.lit(batch_id).alias("_batch_id"), "_payload_hash",
             F.lit(schema_version).cast("string").alias("_schema_version"), F.lit(source).alias("_source"),
             F.lit(endpoint).alias("_endpoint"))
-        before = self.count_batch(batch_id, source)
         rows.write.mode("append").partitionBy(*PARTITIONS).parquet(self.path)
-        return Landing(source, endpoint, batch_id, df.count(), self.count_batch(batch_id, source) - before)
-
-    def count_batch(self, batch_id: str, source: str) -> int:
-        return self.fetch(source).where(F.col("_batch_id") == batch_id).count()
+        landed = self.fetch(source, endpoint).where(F.col("id") >= start)
+        return Landing(source, endpoint, batch_id, df.count(), landed.count())
 
 
 def schema_versions(bronze: DataFrame) -> DataFrame:
