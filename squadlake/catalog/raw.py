@@ -43,17 +43,17 @@ def land_snapshot_unseen(t):
     return new.groupBy("user_id").agg(F.count("*").alias("new_rows"))
 
 
-@query("explode_columnar", """SELECT o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS time, round(o_totalprice, 2) AS price, 'USD' AS unit FROM orders WHERE o_orderstatus = 'F'""")
+@query("explode_columnar", """SELECT o_orderkey, strftime(o_orderdate + to_days(CAST(i AS INTEGER)), '%Y-%m-%d') AS time, round(o_totalprice / (i + 1), 6) AS price, o_custkey AS station, 'USD' AS unit
+FROM orders, (VALUES (0), (1), (2)) v(i)""")
 def explode_columnar(t):
-    """Array-of-columns payloads unwound to one row per position.  Arrays are built per
-    customer and month, so none grows with the history."""
-    packed = (t.orders.where("o_orderstatus = 'F'").groupBy("o_custkey", F.trunc("o_orderdate", "month").alias("m"))
-              .agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_totalprice"))).alias("l"))
-              .select("o_custkey", F.lit("USD").alias("unit"), F.struct(
-                  F.transform("l", lambda x: F.date_format(x["o_orderdate"], "yyyy-MM-dd")).alias("time"),
-                  F.transform("l", lambda x: x["o_totalprice"]).alias("price")).alias("h")))
-    out = b.explode_columnar(packed, "time", ["price"], "h", ["o_custkey", "unit"])
-    return out.select("o_custkey", "time", rnd("price", 2).alias("price"), "unit")
+    """Array-of-columns payloads unwound to one row per position, constants repeated."""
+    day = lambda n: F.date_format(F.date_add("o_orderdate", n), "yyyy-MM-dd")
+    packed = t.orders.select(
+        "o_orderkey", F.col("o_custkey").alias("station"), F.lit("USD").alias("unit"),
+        F.struct(F.array(*[day(n) for n in range(3)]).alias("time"),
+                 F.array(*[F.col("o_totalprice") / (n + 1) for n in range(3)]).alias("price")).alias("h"))
+    out = b.explode_columnar(packed, "time", ["price"], "h", ["o_orderkey", "station", "unit"])
+    return out.select("o_orderkey", "time", rnd("price").alias("price"), "station", "unit")
 
 
 @query("records_to_json", """SELECT o_orderkey, md5('{"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","ratio":' || coalesce(CAST(CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_custkey END AS VARCHAR), 'null') || '}') AS payload_md5 FROM orders""")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from squadlake.functions.casts import pct
 from squadlake.operators import identity, quality
 from squadlake.plans import dims, dq_views, facts, mart, silver, staging, suites
-from squadlake.session import materialise
+from squadlake.session import materialise, materialised_count, release
 from squadlake.sources import seeds
 from squadlake.sources.bronze import schema_versions
 from squadlake.sources.tables import TableStore
@@ -151,20 +151,23 @@ def run(spark: SparkSession, bronze: DataFrame, store: TableStore, run_id: str,
     """Master and validation first, then Silver for every source that is not
     systemically broken (a broken one keeps its last good tables), the
     scorecard, and Gold."""
-    report = RunReport(run_id)
-    prev = store.read("dim_player_master", dims.MASTER_SCHEMA)
-    store.replace("dim_player_master", dims.build_player_master(bronze, prev, F.current_timestamp()))
-    lines = []
-    for source in silver.BUILDERS:
-        try:
-            validate_source(store, bronze, source, run_id)
-        except quality.SystemicValidationFailure as broken:
-            report.failed_sources[source] = str(broken)
-            continue
-        lines.append(silver_source(store, bronze, source, run_id))
-    if lines:
-        write_summary(store, lines, run_id)
-    build_gold(spark, store, bronze, start=start, end=end)
+    report, mark = RunReport(run_id), materialised_count()
+    try:
+        prev = store.read("dim_player_master", dims.MASTER_SCHEMA)
+        store.replace("dim_player_master", dims.build_player_master(bronze, prev, F.current_timestamp()))
+        lines = []
+        for source in silver.BUILDERS:
+            try:
+                validate_source(store, bronze, source, run_id)
+            except quality.SystemicValidationFailure as broken:
+                report.failed_sources[source] = str(broken)
+                continue
+            lines.append(silver_source(store, bronze, source, run_id))
+        if lines:
+            write_summary(store, lines, run_id)
+        build_gold(spark, store, bronze, start=start, end=end)
+    finally:
+        release(spark, mark)  # what is needed has been written; nothing reads the intermediates any more
     return report
 
 

@@ -8,7 +8,7 @@ many raw rows one player has.  Day grids are expanded from the key with
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from squadlake.functions import units
@@ -19,6 +19,7 @@ from squadlake.operators.dedup import first_per_key, flag_first
 from squadlake.operators.timeseries import carry_forward, day_grid, ewma, explode_days, own_mean, scalar, trailing
 from squadlake.operators.windows import sliding_stats
 from squadlake.plans.dims import SEASON_START, calendar_columns
+from squadlake.session import materialise
 
 DAY_S = 86_400
 LAMBDA_ACUTE = 2.0 / 8
@@ -171,6 +172,9 @@ def fact_availability(training_load: DataFrame, injury_status: DataFrame, calend
 
 def fact_play(plays: DataFrame, snaps: DataFrame, master: DataFrame, calendar: DataFrame) -> DataFrame:
     """Expected points by role, next to snap counts, per player and game."""
+    # Read for the roles and again for the games: unpacked and deduplicated once.
+    plays = materialise(plays.select("game_id", "game_date", "nfl_week", "posteam", "epa", "success", "passer_player_id",
+                                     "rusher_player_id", "receiver_player_id"))
     roles = F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"{c}_player_id").alias("gsis"))
                       for r, c in (("pass", "passer"), ("rush", "rusher"), ("receive", "receiver"))])
     parts = (plays.select("game_id", "game_date", "nfl_week", F.col("posteam").alias("team"), "epa", "success",

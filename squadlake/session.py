@@ -21,6 +21,9 @@ RUNTIME_SETTINGS = {
 }
 
 
+_MATERIALISED: list[str] = []  # paths written by this driver
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else built."""
     for key, value in RUNTIME_SETTINGS.items():
@@ -56,8 +59,21 @@ def materialise(df: DataFrame) -> DataFrame:
         return df
     path = f"{folder.rstrip('/')}/squadlake/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MATERIALISED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, mark: int = 0) -> None:
+    """Delete the tables written by ``materialise`` since ``mark`` (a value of
+    ``materialised_count``), once nothing lazy reads them any more."""
+    while len(_MATERIALISED) > mark:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MATERIALISED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialised_count() -> int:
+    return len(_MATERIALISED)
+
+
 def bench_cpus(default: int = 8) -> int:
     return int(os.environ.get("BENCH_CPUS", default))
