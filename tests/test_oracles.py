@@ -17,7 +17,8 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(ORACLES)
+    own = set(entry.queries()) - set(entry.LLM_QUERIES)
+    assert own <= set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
