@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squadlake.llm import sumsq_pack, token_files
+from squadlake.llm import sumsq_pack, token_files, winnowing
 from squadlake.llm.shared import Scratch
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -45,3 +45,13 @@ def op8_sumsq_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as scratch:
         pieces = scratch.keep(sumsq_pack.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), 0), "pieces")
         return scratch.result(sumsq_pack.pack(pieces, pieces.count()))
+
+
+@registered
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        found = winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), scratch)
+        return scratch.result(found.select(
+            "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+            F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+            winnowing.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated")))
