@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squadlake.llm import sumsq_pack, token_files, winnowing
+from squadlake.llm import parity_join, sumsq_pack, token_files, winnowing
 from squadlake.llm.shared import Scratch
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -55,3 +55,9 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
             "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
             F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
             winnowing.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated")))
+
+
+@registered
+def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        return scratch.result(parity_join.classes(table(spark, sf_dir, "documents"), scratch))

@@ -136,27 +136,24 @@ def gram_hashes(words: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarr
     return total[at], gram_firsts
 
 
-def whole_hash(words: np.ndarray) -> np.uint64:
-    """The hash of one short text's whole word sequence, as a gram of its own length."""
-    return gram_hashes(words, np.array([0, len(words)]), len(words))[0][0]
-
-
 def shingle_sets(words: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct k-grams, sorted; a shorter text's whole sequence is its
-    one gram, a text without words has none."""
+    """Each text's distinct k-grams, sorted, and the index of each text's first; a
+    shorter text's whole sequence is its one gram, a text without words has none."""
     hashes, gram_firsts = gram_hashes(words, firsts, k)
     counts = np.diff(firsts)
-    short = np.flatnonzero((counts > 0) & (counts < k))
-    owner = np.repeat(np.arange(len(counts)), np.diff(gram_firsts))
-    if len(short):
-        hashes = np.concatenate([hashes, np.array([whole_hash(words[firsts[d]:firsts[d + 1]]) for d in short], dtype=np.uint64)])
-        owner = np.concatenate([owner, short])
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    fresh = np.ones(len(hashes), dtype=bool)
-    fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    hashes, owner = hashes[fresh], owner[fresh]
-    return hashes, np.searchsorted(owner, np.arange(len(counts) + 1))
+    sets = []
+    for a, b, first, n in zip(gram_firsts[:-1].tolist(), gram_firsts[1:].tolist(), firsts[:-1].tolist(), counts.tolist()):
+        if 0 < n < k:
+            sets.append(gram_hashes(words[first:first + n], np.array([0, n]), n)[0])
+            continue
+        own = hashes[a:b]
+        own.sort()
+        sets.append(own)
+    owner = np.repeat(np.arange(len(counts)), [len(s) for s in sets])
+    flat = np.concatenate(sets) if sets else hashes
+    fresh = np.ones(len(flat), dtype=bool)
+    fresh[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+    return flat[fresh], np.searchsorted(owner[fresh], np.arange(len(counts) + 1))
 
 
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
