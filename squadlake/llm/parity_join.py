@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from squadlake.llm.bloom import bloom_of, may_hold
 from squadlake.llm.components import components
+from squadlake.llm.keygroups import shared_keys
 from squadlake.llm.shared import Scratch
 from squadlake.llm.textblocks import INK_BYTES, SpanHasher, column_of, mix, shingle_sets, spans_of, text_chunks
 
@@ -182,40 +183,6 @@ def rare_keys(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], ngram: i
     return docs.select("doc_id", "text").mapInArrow(run, "key long, name long")
 
 
-def shared_keys(keys: DataFrame) -> DataFrame:
-    """(key, name, leader) where several sets have the key; the leader is the least name.
-    Rows stream by in order, so a key of any number of sets takes no memory."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int, int, bool] | None = None  # key, name, leader, passed on
-        for batch in batches:
-            key, name = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if last:
-                key, name = np.concatenate([[last[0]], key]), np.concatenate([[last[1]], name])
-            if not len(key):
-                continue
-            new_key = np.ones(len(key), dtype=bool)
-            new_key[1:] = key[1:] != key[:-1]
-            fresh = new_key.copy()
-            fresh[1:] |= name[1:] != name[:-1]
-            key, name, new_key = key[fresh], name[fresh], new_key[fresh]
-            first = np.flatnonzero(new_key)
-            size = np.diff(np.append(first, len(key)))
-            leader = np.repeat(name[first], size)
-            if last:
-                leader[:size[0]] = last[2]
-            many = np.repeat(size > 1, size)
-            if last and last[3]:
-                many[:size[0]] = True
-            done = last is not None and last[3]
-            last = (int(key[-1]), int(name[-1]), int(leader[-1]), bool(many[-1]))
-            if done:
-                many[0] = False
-            if many.any():
-                yield _batch(key=key[many], name=name[many], leader=leader[many])
-
-    return keys.repartition("key").sortWithinPartitions("key", "name").mapInArrow(run, "key long, name long, leader long")
-
-
 def sets_of(docs: DataFrame, copies: DataFrame, n_copies: int, ngram: int) -> DataFrame:
     """(name, grams) of the documents named in ``copies`` (name, copy)."""
     shipped = docs.sparkSession.sparkContext.broadcast(bloom_of(copies, "copy", n_copies))

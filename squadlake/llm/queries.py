@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squadlake.llm import parity_join, sumsq_pack, token_files, winnowing
+from squadlake.llm import line_dedup, parity_join, sumsq_pack, token_files, winnowing
 from squadlake.llm.shared import Scratch
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -61,3 +61,10 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as scratch:
         return scratch.result(parity_join.classes(table(spark, sf_dir, "documents"), scratch))
+
+
+@registered
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        kept = line_dedup.without_repeats(table(spark, sf_dir, "documents"), scratch)
+        return scratch.result(kept.select("doc_id", "n_lines", "n_dropped", "text"))
