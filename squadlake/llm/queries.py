@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squadlake.llm import line_dedup, parity_join, sumsq_pack, token_files, winnowing
+from squadlake.llm import line_dedup, parity_join, quality, sumsq_pack, token_files, toxicity, winnowing
 from squadlake.llm.shared import Scratch
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -68,3 +68,32 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as scratch:
         kept = line_dedup.without_repeats(table(spark, sf_dir, "documents"), scratch)
         return scratch.result(kept.select("doc_id", "n_lines", "n_dropped", "text"))
+
+
+def held_out(doc_id: str = "doc_id"):
+    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+
+
+def training_labels(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    """Labels of the documents that may be learned from."""
+    return table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", F.col(column).alias("label"))
+
+
+def decided(scores: DataFrame, threshold: float) -> DataFrame:
+    return scores.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
+                         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+@registered
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        scores = toxicity.scored(table(spark, sf_dir, "documents"), training_labels(spark, sf_dir, "toxic"), scratch)
+        return scratch.result(decided(scores, 0.5))
+
+
+@registered
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        stats = scratch.keep(quality.document_statistics(table(spark, sf_dir, "documents")), "statistics")
+        model = quality.fit(stats, training_labels(spark, sf_dir, "quality"))
+        return scratch.result(decided(quality.scored(stats, model), 0.3))
