@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from squadlake.llm.textblocks import column_of, text_chunks
-from squadlake.llm.tokens import PieceEncoder
+from squadlake.llm.tokens import TOKEN_CHUNK_BYTES, worker_encoder
 
 CAPACITY = 2048
 TASK_PIECES = 250_000
@@ -34,10 +34,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
     longer document the first piece takes the remainder.  Null and empty texts
     are the end id alone; repeated rows are pieces of their own."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer_path, end_id)
+        encoder = worker_encoder(tokenizer_path, end_id)
         for batch in batches:
             doc_ids = column_of(batch, "doc_id").cast(pa.int64())
-            for low, high, data, offsets in text_chunks(column_of(batch, "text")):
+            for low, high, data, offsets in text_chunks(column_of(batch, "text"), TOKEN_CHUNK_BYTES):
                 ids, bounds = encoder.encode(data, offsets)
                 lengths = np.diff(bounds)
                 counts = -(-lengths // capacity)

@@ -22,7 +22,7 @@ from squadlake.llm.files import attempt_name, open_store
 from squadlake.llm.pfor import TokenFile, encode_file
 from squadlake.llm.shared import Scratch
 from squadlake.llm.textblocks import column_of, text_chunks
-from squadlake.llm.tokens import PieceEncoder
+from squadlake.llm.tokens import TOKEN_CHUNK_BYTES, worker_encoder
 
 FILE_IDS = 2_000_000
 MANIFEST = "file string, part long, number long, n_docs long, n_ids long, n_bytes long"
@@ -39,7 +39,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(folder)
         part, number = TaskContext.get().partitionId(), 0
-        encoder = PieceEncoder(tokenizer_path, end_id)
+        encoder = worker_encoder(tokenizer_path, end_id)
         kept: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         held = 0
 
@@ -60,7 +60,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
         for batch in batches:
             doc_ids = column_of(batch, "doc_id").cast(pa.int64())
-            for low, high, data, offsets in text_chunks(column_of(batch, "text")):
+            for low, high, data, offsets in text_chunks(column_of(batch, "text"), TOKEN_CHUNK_BYTES):
                 ids, bounds = encoder.encode(data, offsets)
                 kept.append((doc_ids.slice(low, high - low), np.diff(bounds), ids))
                 held += len(ids)

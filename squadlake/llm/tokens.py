@@ -2,18 +2,22 @@
 
 The library's pre-tokeniser never joins a space, or an ASCII sign, to the word
 before it, so a text's ids are those of its pieces between such places in
-order.  Pieces repeat: each worker encodes a piece once and looks it up later.
+order.  Pieces repeat: each worker encodes a piece once and looks it up later,
+also in the next tasks it runs.
 """
 
 from __future__ import annotations
 
 import os
+import sys
+from types import ModuleType
 
 import numpy as np
 
 from squadlake.llm.textblocks import SpanHasher, byte_class
 
-MAX_PIECES = 1_500_000  # pieces remembered by a worker; the memory is then started anew
+MAX_PIECES = 1_500_000  # pieces remembered by a worker (about 70 MB); the memory is then started anew
+TOKEN_CHUNK_BYTES = 2 << 20
 
 _SPACE = byte_class((0x20, 0x20))
 _SPACES = byte_class((0x09, 0x0D), (0x1C, 0x20))
@@ -23,6 +27,15 @@ _SIGN = byte_class((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 _TWO_BYTE_LEAD = byte_class((0xC3, 0xDF))
 
 
+def worker_encoder(tokenizer_path: str, end_id: int) -> PieceEncoder:
+    """The encoder of this Python worker, which Spark reuses from task to task."""
+    kept = sys.modules.setdefault("_llm_worker_encoders", ModuleType("_llm_worker_encoders")).__dict__
+    key = f"{tokenizer_path}|{end_id}"
+    if key not in kept:
+        kept[key] = PieceEncoder(tokenizer_path, end_id)
+    return kept[key]
+
+
 class PieceEncoder:
     """Encodes chunks of texts; ``end_id`` is appended to each text."""
 
