@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squadlake.llm import chat, line_dedup, parity_join, quality, sumsq_pack, token_files, toxicity, warc, winnowing
+from squadlake.llm import chat, line_dedup, mtree, parity_join, quality, sumsq_pack, token_files, toxicity, warc, winnowing
 from squadlake.llm.shared import Scratch
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -137,3 +137,22 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as scratch:
         records = warc.archive_pages(table(spark, sf_dir, "pages"), scratch, slots(spark))
         return scratch.result(records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
+@registered
+def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        rows = scratch.keep(mtree.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256), "vectors")
+        return scratch.result(mtree.top_k(rows, rows.where("vec_id % 50 = 0"), 5, scratch))
+
+
+ORACLES["op6_mtree"] = """
+WITH rows AS (
+  SELECT DISTINCT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM rows q JOIN rows c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
