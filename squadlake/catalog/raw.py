@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from squadlake.catalog import feeds as f
@@ -13,7 +13,7 @@ from squadlake.catalog.shapes import EV, ev, measure
 from squadlake.operators import identity, quality
 from squadlake.operators.dedup import dedup_counts
 from squadlake.plans import dq_views, silver, staging, suites
-from squadlake.session import materialise
+from squadlake.session import materialise, work_folder
 from squadlake.sources import bronze as b
 
 RUN = "r1"
@@ -21,26 +21,42 @@ RUN = "r1"
 
 # ---------------------------------------------------------------- landing
 
-@query("hash_landing", f"""WITH {EV}, p AS (SELECT event_type, user_id, k, count(*) AS n FROM ev GROUP BY ALL)
-SELECT user_id, md5('{{"event_type":"' || event_type || '","k":' || k || ',"user_id":' || user_id || '}}') AS payload_hash, n AS copies FROM p""")
+def landed_table(t) -> b.BronzeTable:
+    """A Bronze table of this query's own."""
+    return b.BronzeTable(t.spark, work_folder(t.spark))
+
+
+@query("hash_landing", f"""WITH {EV}, p AS (SELECT event_type, user_id, k, min(event_id) AS first_event FROM ev GROUP BY ALL)
+SELECT user_id, md5('{{"event_type":"' || event_type || '","k":' || k || ',"user_id":' || user_id || '}}') AS payload_hash, '1.0' AS schema_version,
+  first_event AS kept_event, row_number() OVER (PARTITION BY user_id ORDER BY first_event) AS landed_as FROM p""")
 def hash_landing(t):
-    """Canonical JSON hash: key order of the payload does not matter, equal records collapse."""
+    """Records landed in two batches: key order does not matter, equal records collapse to
+    the first one emitted, and ids follow emission."""
     flip = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct("user_id", "k", "event_type"))).otherwise(
         F.to_json(F.struct("event_type", "user_id", "k")))
-    rows = ev(t).select("user_id", b.payload_hash(flip).alias("payload_hash"))
-    return rows.groupBy("user_id", "payload_hash").agg(F.count("*").alias("copies"))
+    rows = ev(t).select("event_id", flip.alias("payload"), b.payload_hash(flip).alias("h"))
+    table = landed_table(t)
+    middle = rows.agg((F.max("event_id") / 2).cast("bigint").alias("m")).first().m
+    for batch, part in (("b1", rows.where(F.col("event_id") <= middle)), ("b2", rows.where(F.col("event_id") > middle))):
+        table.land(part, source="s", endpoint="/e", batch_id=batch, schema_version="1.0", order=["event_id"])
+    kept = rows.groupBy("h").agg(F.min("event_id").alias("kept_event"))
+    user = F.get_json_object("payload", "$.user_id").cast("bigint")
+    got = table.fetch("s", "/e").withColumn("user_id", user).join(kept, F.col("_payload_hash") == F.col("h"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("id"))
+    return got.select("user_id", F.col("_payload_hash").alias("payload_hash"), F.col("_schema_version").alias("schema_version"), "kept_event",
+                      place.alias("landed_as"))
 
 
 @query("land_snapshot_unseen", f"""WITH {EV}, seen AS (SELECT DISTINCT user_id, k FROM ev WHERE d < DATE '2024-01-20')
 SELECT user_id, count(*) AS new_rows FROM (SELECT DISTINCT user_id, k FROM ev) e WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = e.user_id AND s.k = e.k) GROUP BY user_id""")
 def land_snapshot_unseen(t):
-    """A full snapshot against what was landed earlier: dedup inside the batch, then the anti join."""
-    rows = ev(t).select("user_id", "d", F.to_json(F.struct("user_id", "k")).alias("payload")).withColumn(
-        "_payload_hash", b.payload_hash(F.col("payload")))
-    landed = rows.where("d < DATE'2024-01-20'").select(F.col("_payload_hash").alias("_hit"))
-    fresh = rows.dropDuplicates(["_payload_hash"])
-    new = fresh.join(landed, F.col("_payload_hash") == F.col("_hit"), "left_anti")
-    return new.groupBy("user_id").agg(F.count("*").alias("new_rows"))
+    """A full snapshot landed over an earlier part of it: only unseen records are new."""
+    rows = ev(t).select("event_id", "d", F.to_json(F.struct("user_id", "k")).alias("payload"))
+    table = landed_table(t)
+    table.land(rows.where("d < DATE'2024-01-20'"), source="s", endpoint="/e", batch_id="old", order=["event_id"])
+    table.land(rows, source="s", endpoint="/e", batch_id="snapshot", order=["event_id"])
+    new = table.fetch("s", "/e").where("_batch_id = 'snapshot'")
+    return new.groupBy(F.get_json_object("payload", "$.user_id").cast("bigint").alias("user_id")).agg(F.count("*").alias("new_rows"))
 
 
 @query("explode_columnar", """SELECT o_orderkey, strftime(o_orderdate + to_days(CAST(i AS INTEGER)), '%Y-%m-%d') AS time, round(o_totalprice / (i + 1), 6) AS price, o_custkey AS station, 'USD' AS unit

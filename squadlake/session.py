@@ -45,6 +45,11 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
+def work_folder(spark: SparkSession) -> str:
+    """Where a query may keep a table: the checkpoint folder, else the warehouse."""
+    return f"{(checkpoint_dir(spark) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/squadlake/{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a frame that several consumers read in full, and read it back.
 

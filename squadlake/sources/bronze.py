@@ -1,24 +1,35 @@
 """Bronze: raw records as they came, landed once.
 
 Layout: Parquet partitioned by (_source, _endpoint), append only.  A record is
-identified by its source and the md5 of its canonical JSON.
+identified by its source and the md5 of its canonical JSON.  Beside the table lie
+``<path>_claims`` (a file per batch: it gives the batch its range of ids, and two
+writers can not get the same) and ``<path>_rejects`` (what is not JSON).
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from squadlake.operators.dedup import first_per_key
+
 BRONZE_SCHEMA = ("id bigint, payload string, _ingested_at timestamp, _batch_id string, _payload_hash string, "
                  "_schema_version string, _source string, _endpoint string")
 PARTITIONS = ("_source", "_endpoint")
+REJECT_SCHEMA = "payload string, _ingested_at timestamp, _batch_id string, _source string, _endpoint string"
+
+# An id is batch number, then partition, then row: 2 ** 20 batches of up to 1024
+# range partitions of 2 ** 33 rows.
+BATCH_BITS, MAX_PARTITIONS = 43, 1024
 
 
 def payload_hash(payload: Column) -> Column:
-    """md5 of the JSON with keys sorted at every level and no spaces."""
-    return F.md5(F.to_json(F.parse_json(payload)))
+    """md5 of the JSON with keys sorted at every level and no spaces; NULL if it is not JSON."""
+    return F.md5(F.to_json(F.try_parse_json(payload)))
 
 
 def records_json(df: DataFrame) -> DataFrame:
@@ -48,6 +59,7 @@ class Landing:
     batch_id: str
     fetched: int
     inserted: int
+    rejected: int
 
 
 class BronzeTable:
@@ -56,33 +68,58 @@ class BronzeTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _on_disk(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def exists(self) -> bool:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+        path, files = self._on_disk(self.path)
+        return files.exists(path)
+
+    def _claim(self) -> int:
+        """A batch number of its own: the first whose file this writer creates."""
+        folder, files = self._on_disk(f"{self.path}_claims")
+        number = len(files.listStatus(folder)) if files.exists(folder) else 0
+        while True:
+            try:
+                files.create(self._on_disk(f"{self.path}_claims/{number:07d}")[0], False).close()
+                return number
+            except Py4JJavaError as e:
+                if "FileAlreadyExists" not in str(e.java_exception) and "already exists" not in str(e.java_exception):
+                    raise
+                number += 1
 
     def read(self) -> DataFrame:
         if not self.exists():
             return self.spark.createDataFrame([], BRONZE_SCHEMA)
         return self.spark.read.schema(BRONZE_SCHEMA).parquet(self.path)
 
+    def rejects(self) -> DataFrame:
+        """What came but is not JSON, as it came."""
+        path, files = self._on_disk(f"{self.path}_rejects")
+        if not files.exists(path):
+            return self.spark.createDataFrame([], REJECT_SCHEMA)
+        return self.spark.read.schema(REJECT_SCHEMA).parquet(f"{self.path}_rejects")
+
     def fetch(self, source: str, endpoint: str | None = None) -> DataFrame:
         """All records of a source or one stream: a partition filter.  Order by
         (_ingested_at, id) only inside the windows that need it."""
         rows = self.read().where(F.col("_source") == source)
         return rows if endpoint is None else rows.where(F.col("_endpoint") == endpoint)
 
-    def unseen(self, batch: DataFrame, source: str) -> DataFrame:
-        """Rows of ``batch`` (with ``_payload_hash``) that are not landed yet.
+    def unseen(self, batch: DataFrame, source: str, order: list[str]) -> DataFrame:
+        """Rows of ``batch`` (with ``_payload_hash``) that are not landed yet, each
+        hash by its first row in ``order``.
 
         The batch's hashes are looked up in Bronze with a semi join, so when the
         batch is the small side Bronze is scanned for one column and not
         shuffled; the batch then drops the hits.
         """
-        fresh = batch.dropDuplicates(["_payload_hash"])
-        wanted = fresh.select(F.col("_payload_hash").alias("_w"))
+        fresh = first_per_key(batch, ["_payload_hash"], [F.col(c).asc() for c in order])
+        wanted = batch.select(F.col("_payload_hash").alias("_w"))
         landed = self.fetch(source).select("_payload_hash")
         hits = landed.join(wanted, F.col("_payload_hash") == F.col("_w"), "left_semi").select(
-            F.col("_payload_hash").alias("_hit"))
+            F.col("_payload_hash").alias("_hit")).distinct()
         return fresh.join(hits, F.col("_payload_hash") == F.col("_hit"), "left_anti")
 
     def land(self, df: DataFrame, *, source: str, endpoint: str, batch_id: str, schema_version: str | None = None,
@@ -90,26 +127,36 @@ class BronzeTable:
         """Stamp, hash and append the records not seen before.
 
         ``df`` has ``payload`` (JSON text) and optionally emission-order columns
-        named in ``order``: ids follow that order, then the hash.  Ids are
-        unique and grow from batch to batch; like a sequence they may have gaps,
-        and they are assigned once, when the row is written.
+        named in ``order``; rows equal in them follow their order in ``df``.  Ids
+        follow that order and grow from batch to batch; like a sequence they may
+        have gaps.  Of equal records the first one emitted is kept.  Text that is
+        not JSON goes to the rejects, with its count.  The batch is stored once, so
+        its source is read once, and nothing is renumbered when a task is repeated.
         """
-        order = order or []
-        stamped = df.select(
-            "payload", *order, payload_hash(F.col("payload")).alias("_payload_hash"))
-        new = self.unseen(stamped, source)
-        top = self.read().agg(F.max("id")).first()[0]
-        start = 0 if top is None else top + 1
-        ranged = new.repartitionByRange(*order, "_payload_hash").sortWithinPartitions(*order, "_payload_hash")
-        rows = ranged.withColumn("_n", F.monotonically_increasing_id()).select(
-            (F.lit(start) + F.col("_n")).cast("bigint").alias("id"), "payload",
-            (F.current_timestamp() if ingested_at is None else ingested_at).cast("timestamp").alias("_ingested_at"),
-            F.lit(batch_id).alias("_batch_id"), "_payload_hash",
-            F.lit(schema_version).cast("string").alias("_schema_version"), F.lit(source).alias("_source"),
-            F.lit(endpoint).alias("_endpoint"))
-        rows.write.mode("append").partitionBy(*PARTITIONS).parquet(self.path)
-        landed = self.fetch(source, endpoint).where(F.col("id") >= start)
-        return Landing(source, endpoint, batch_id, df.count(), landed.count())
+        order = [*(order or []), "_position"]
+        number = self._claim()
+        staging = f"{self.path}_staging/{uuid.uuid4().hex}"
+        df.withColumn("_position", F.monotonically_increasing_id()).select(
+            "payload", *order, payload_hash(F.col("payload")).alias("_payload_hash")).write.parquet(staging)
+        try:
+            stored = self.spark.read.parquet(staging)
+            now = (F.current_timestamp() if ingested_at is None else ingested_at).cast("timestamp")
+            stamp = [now.alias("_ingested_at"), F.lit(batch_id).alias("_batch_id")]
+            where = [F.lit(source).alias("_source"), F.lit(endpoint).alias("_endpoint")]
+            rejected = stored.where("_payload_hash is null").select("payload", *stamp, *where)
+            rejected.write.mode("append").parquet(f"{self.path}_rejects")
+            partitions = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), MAX_PARTITIONS)
+            new = self.unseen(stored.where("_payload_hash is not null"), source, order)
+            rows = new.repartitionByRange(partitions, *order).sortWithinPartitions(*order).select(
+                (F.lit(number << BATCH_BITS) + F.monotonically_increasing_id()).alias("id"), "payload", *stamp, "_payload_hash",
+                F.lit(schema_version).cast("string").alias("_schema_version"), *where)
+            rows.write.mode("append").partitionBy(*PARTITIONS).parquet(self.path)
+            low, high = number << BATCH_BITS, (number + 1) << BATCH_BITS
+            inserted = self.fetch(source, endpoint).where((F.col("id") >= low) & (F.col("id") < high)).count()
+            return Landing(source, endpoint, batch_id, stored.count(), inserted, stored.where("_payload_hash is null").count())
+        finally:
+            path, files = self._on_disk(staging)
+            files.delete(path, True)
 
 
 def schema_versions(bronze: DataFrame) -> DataFrame:

@@ -8,20 +8,26 @@ starting over) inserts nothing twice.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squadlake.sources.bronze import BronzeTable, records_json
 
 
+EMISSION_ORDER = ("_emitted", "_file", "_block")
+
+
 def read_lines(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    """JSON-lines files as (payload, emitted): emission order is file time, then file."""
+    """JSON-lines files as (payload, EMISSION_ORDER).  Rows of one block of a file come
+    in the file's order, which landing keeps as their position."""
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.load(folder).select(
         F.col("value").alias("payload"), F.col("_metadata.file_modification_time").alias("_emitted"),
-        F.col("_metadata.file_path").alias("_file"))
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
 
 
 def read_table_stream(spark: SparkSession, folder: str, schema, max_files: int | None = None) -> DataFrame:
@@ -33,11 +39,12 @@ def read_table_stream(spark: SparkSession, folder: str, schema, max_files: int |
 
 
 def stream_land(stream: DataFrame, table: BronzeTable, *, source: str, endpoint: str, checkpoint: str,
-                schema_version: str | None = None, order: list[str] | None = None):
-    """Land everything that is available, then stop.  Returns the finished query."""
+                schema_version: str | None = None, order: Sequence[str] = EMISSION_ORDER):
+    """Land everything that is available, then stop.  Returns the finished query.
+    ``order`` names the emission-order columns of ``stream``."""
     def land(batch: DataFrame, number: int) -> None:
         table.land(batch, source=source, endpoint=endpoint, batch_id=f"{source}{endpoint}#{number}",
-                   schema_version=schema_version, order=order)
+                   schema_version=schema_version, order=list(order))
 
     query = (stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())

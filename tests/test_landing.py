@@ -1,6 +1,7 @@
 """Landing: hashes, idempotency, streaming restarts, tables."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ def test_stream_lands_each_file_once_and_survives_a_lost_checkpoint(spark, tmp_p
     docs = [{"id": i, "v": i % 4} for i in range(40)]
 
     def land(checkpoint):
-        return stream_land(read_lines(spark, str(drop), max_files=1), table, source="s", endpoint="/e", checkpoint=str(tmp_path / checkpoint), order=["_emitted", "_file"])
+        return stream_land(read_lines(spark, str(drop), max_files=1), table, source="s", endpoint="/e", checkpoint=str(tmp_path / checkpoint))
 
     write_lines(drop, "a.json", docs[:15])
     write_lines(drop, "b.json", docs[10:25])
@@ -76,6 +77,36 @@ def test_stream_lands_each_file_once_and_survives_a_lost_checkpoint(spark, tmp_p
     assert same(table) == same(whole)
 
 
+@pytest.mark.parametrize("files", [1, 4])
+def test_the_last_emission_of_a_key_gets_the_highest_id(spark, tmp_path, files):
+    """Several versions of 40 keys, emitted in turn, over one or several micro-batches."""
+    docs = [{"id": i, "v": v, "pad": "x" * ((i * 7 + v) % 11)} for v in range(3) for i in range(40)]
+    size = len(docs) // files
+    for n in range(files):
+        write_lines(tmp_path / "in", f"{n}.json", docs[n * size:(n + 1) * size])
+        os.utime(tmp_path / "in" / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+    table = BronzeTable(spark, str(tmp_path / "bronze"))
+    stream_land(read_lines(spark, str(tmp_path / "in"), max_files=1), table, source="s", endpoint="/e", checkpoint=str(tmp_path / "c"))
+    ids = [(r.i, r.v) for r in table.read().select(F.get_json_object("payload", "$.id").cast("int").alias("i"),
+                                                   F.get_json_object("payload", "$.v").cast("int").alias("v"), "id").orderBy("id").collect()]
+    assert ids == [(d["id"], d["v"]) for d in docs]
+
+
+def test_broken_lines_are_rejected_and_counted(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"id": 1}\n{"id": \n{"id": 2}\n')
+    table = BronzeTable(spark, str(tmp_path / "bronze"))
+    stream_land(read_lines(spark, str(tmp_path / "in")), table, source="s", endpoint="/e", checkpoint=str(tmp_path / "c"))
+    assert table.read().count() == 2 and [r.payload for r in table.rejects().collect()] == ['{"id": ']
+
+
+def test_two_writers_never_share_ids(spark, rows, tmp_path):
+    table = BronzeTable(spark, str(tmp_path / "bronze"))
+    assert [table._claim() for _ in range(3)] == [0, 1, 2]
+    landed = table.land(payloads(rows, {"id": 1}), source="s", endpoint="/e", batch_id="b", order=["seq"])
+    assert (landed.inserted, landed.rejected) == (1, 0) and table.read().first().id >> 43 == 3
+
+
 def test_columnar_payloads_and_projection(rows):
     df = rows("h struct<time: array<string>, t: array<double>, w: array<double>>, stadium string, extra string",
               ((["10:00", "11:00"], [1.0, None], [3.0, 4.0]), "G", "x"))
