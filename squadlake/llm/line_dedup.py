@@ -76,12 +76,12 @@ class Lines:
         return mix(self.hasher.raw_spans(self.running, starts, ends) + (ends - starts).astype(np.uint64) * LENGTH)
 
     def half_keys(self, chosen: np.ndarray, shorter: np.ndarray) -> list[np.ndarray]:
-        """Hashes of both halves as a line of ``shorter`` characters is cut: the front
-        from the start, the back from the end."""
+        """Keys of both halves as a line of ``shorter`` characters is cut: the front from
+        the start (even keys), the back from the end (odd keys)."""
         starts, ends = self.starts[chosen], self.ends[chosen]
         half = shorter // 2
         tag = mix(shorter.astype(np.uint64))
-        return [mix(self.spans(starts, starts + half) ^ tag), mix(self.spans(ends - (shorter - half), ends) ^ ~tag)]
+        return [mix(self.spans(starts, starts + half) ^ tag) & ~np.uint64(1), mix(self.spans(ends - (shorter - half), ends) ^ tag) | np.uint64(1)]
 
 
 def _batch(**columns) -> pa.RecordBatch:
@@ -148,37 +148,46 @@ def wanted_lines(docs: DataFrame, hashes: np.ndarray, first_spots: np.ndarray) -
     return docs.mapInArrow(run, "doc_id long, tie long, line long, repeated boolean, hash long, mark long, position long, text string")
 
 
-def variant_keys(points: np.ndarray, hasher: SpanHasher) -> tuple[np.ndarray, np.ndarray]:
-    """For each place: the key of the line without its character there as a pattern of
-    that place, and as a string.  The line's own key as a string comes last."""
+def variant_keys(points: np.ndarray, hasher: SpanHasher, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+    """For the places from ``low`` to ``high``: keys of the line without its character
+    there as a pattern of that place (odd) and as a string (even); and the whole
+    line's key as a string."""
     n = len(points)
     running = hasher.running(_values(points))
-    hasher._grow(n + 1)
-    inverse = hasher.inverses[1]
-    without = np.append(running[:n] + (running[n] - running[1:]) * inverse, running[n:])
+    without = np.append(running[:n] + (running[n] - running[1:]) * hasher.inverses[1], running[n:])
     sizes = np.full(n + 1, n - 1, dtype=np.uint64)
     sizes[n] = n
     strings = mix(without + sizes * LENGTH)
     patterns = mix(strings[:n] ^ mix(np.arange(n, dtype=np.uint64) + np.uint64(0x51ED27)))
-    return patterns, strings
+    return patterns[low:high] | np.uint64(1), np.unique(strings[low:high] & ~np.uint64(1)), strings[n] & ~np.uint64(1)
 
 
-PATTERN, SHORTENED, WHOLE = 0, 1, 2
+def neighbourhoods(lines: DataFrame) -> DataFrame:
+    """(key, name) of all variants of the lines (hash, text, front, back).  A line that
+    shares its front half with another differs from it behind, and the reverse."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = SpanHasher()
+        for batch in batches:
+            for name, text, front, back in zip(*(column_of(batch, c).to_pylist() for c in ("hash", "text", "front", "back"))):
+                points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+                n = len(points)
+                patterns, strings, whole = variant_keys(points, hasher, 0 if back else (n - 1) // 2, n if front else n // 2 + 1)
+                keys = np.concatenate([patterns, strings, [whole]])
+                yield _batch(key=keys, name=np.full(len(keys), name))
 
+    return lines.select("hash", "text", "front", "back").mapInArrow(run, "key long, name long")
 
-def neighbourhoods(lines: DataFrame) -> DataFrame:
-    """(key, kind, hash) of all variants of the lines (hash, text)."""
+
+def whole_keys(lines: DataFrame) -> DataFrame:
+    """(hash, whole): each line's key as a string."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
         for batch in batches:
-            for name, text in zip(column_of(batch, "hash").to_pylist(), column_of(batch, "text").to_pylist()):
-                patterns, strings = variant_keys(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), hasher)
-                shortened = np.unique(strings[:-1])
-                keys = np.concatenate([patterns, shortened, strings[-1:]])
-                kinds = np.repeat(np.array([PATTERN, SHORTENED, WHOLE], dtype=np.int32), [len(patterns), len(shortened), 1])
-                yield _batch(key=keys, kind=kinds, hash=np.full(len(keys), name))
+            texts = column_of(batch, "text").to_pylist()
+            whole = [variant_keys(np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32), hasher, 0, 0)[2] for t in texts]
+            yield _batch(hash=column_of(batch, "hash"), whole=np.array(whole, dtype=np.uint64))
 
-    return lines.select("hash", "text").mapInArrow(run, "key long, kind int, hash long")
+    return lines.select("hash", "text").mapInArrow(run, "hash long, whole long")
 
 
 def within_one_edit(a: str, b: str) -> bool:
@@ -202,15 +211,18 @@ def close_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def near_repeats(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """Hashes of the lines within one edit of an earlier one; ``lines``: hash, text
-    and the place (position, line) of the first of its kind."""
-    keys = scratch.keep(neighbourhoods(lines), "variants")
-    place = F.struct("position", "line", "hash")
-    placed = keys.where(F.col("kind") == PATTERN).join(lines.select("hash", "position", "line"), "hash")
-    heads = placed.groupBy("key").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1").select("key", F.col("head.hash").alias("b"))
-    same_length = placed.join(heads, "key").where("hash <> b").select(F.col("hash").alias("a"), "b")
-    whole = keys.where(F.col("kind") == WHOLE).select("key", F.col("hash").alias("b"))
-    shorter = keys.where(F.col("kind") == SHORTENED).select("key", F.col("hash").alias("a")).join(whole, "key").select("a", "b")
+    """Hashes of the lines within one edit of an earlier one; ``lines``: hash, text,
+    front, back and the place (position, line) of the first of its kind."""
+    keys = scratch.keep(shared_keys(neighbourhoods(lines)).select("key", F.col("name").alias("hash")), "variants")
+    places = lines.join(whole_keys(lines), "hash").select("hash", "whole", F.struct("position", "line", "hash").alias("place"))
+    placed = keys.join(places, "hash")
+    odd = F.col("key").bitwiseAND(1) == 1
+    patterns = placed.where(odd)
+    heads = patterns.groupBy("key").agg(F.min("place").alias("head")).select("key", F.col("head.hash").alias("b"))
+    same_length = patterns.join(heads, "key").where("hash <> b").select(F.col("hash").alias("a"), "b")
+    strings = placed.where(~odd)
+    whole = strings.where("key = whole").select("key", F.col("hash").alias("b"))
+    shorter = strings.where("key <> whole").select("key", F.col("hash").alias("a")).join(whole, "key").select("a", "b")
     a, b = (lines.select(F.col("hash").alias(s), F.struct("position", "line", "hash").alias(f"{s}_place"), F.col("text").alias(f"{s}_text")) for s in "ab")
     pairs = same_length.union(shorter).distinct().join(a, "a").join(b, "b")
     return close_pairs(pairs.select("a_text", "b_text", F.when(F.col("a_place") > F.col("b_place"), F.col("a")).otherwise(F.col("b")).alias("later"))).distinct()
@@ -220,9 +232,11 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS)
     """(doc_id, tie, dropped): the numbers of the lines to drop, for documents with any."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
     keys = scratch.keep(line_keys(docs.drop("tie"), min_chars), "lines")
-    near = scratch.keep(shared_keys(keys.where("key is not null").select("key", F.col("hash").alias("name"))).select(F.col("name").alias("hash")).distinct(), "near")
+    halves = shared_keys(keys.where("key is not null").select("key", F.col("hash").alias("name")))
+    is_back = F.col("key").bitwiseAND(1) == 1
+    near = scratch.keep(halves.groupBy(F.col("name").alias("hash")).agg(F.bool_or(~is_back).alias("front"), F.bool_or(is_back).alias("back")), "near")
     counted = keys.where("key is null").groupBy("hash", "mark").agg(F.count("*").alias("n"), F.min("position").alias("first"))
-    counted = counted.join(near.withColumn("near", F.lit(True)), "hash", "left").where("n > 1 or near")
+    counted = counted.join(near.select("hash", F.lit(True).alias("near")), "hash", "left").where("n > 1 or near")
     known = scratch.keep(counted, "known")
     scratch.drop(keys)
     maybe_near = known.where("near")
@@ -231,16 +245,30 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS)
     gone = known.where("false").select(F.col("hash").alias("later"))
     if n_near:
         firsts = found.where("text is not null").join(maybe_near.select("hash", "mark", F.col("first").alias("position")), ["hash", "mark", "position"], "left_semi")
-        lines = scratch.keep(firsts.dropDuplicates(["hash"]).select("hash", "text", "position", "line"), "texts")
+        lines = scratch.keep(firsts.dropDuplicates(["hash"]).join(near, "hash").select("hash", "text", "position", "line", "front", "back"), "texts")
         gone = scratch.keep(near_repeats(lines, scratch), "gone")
     known = known.join(gone.withColumn("gone", F.lit(True)), known.hash == gone.later, "left").select("hash", "mark", "first", "gone")
     hit = found.drop("text").join(known, ["hash", "mark"], "left").where("repeated or position > first or gone")
     return hit.groupBy("doc_id", "tie").agg(F.collect_set("line").alias("dropped"))
 
 
+def without_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
+    """``docs`` with the lines named in ``drops`` (of ``dropped_lines``) taken out of
+    ``text``, and with n_lines and n_dropped (columns of these names are replaced)."""
+    drops = drops.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("dropped").alias("_dropped"))
+    keyed = docs.drop("n_lines", "n_dropped").withColumn("_text_hash", F.xxhash64("text"))
+    joined = keyed.join(drops, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_tie")), "left")
+    parts = F.split("text", "\n", -1)
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_dropped", i.cast("long"))), "\n")
+    return joined.withColumns({
+        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"),
+        "n_dropped": F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")).cast("long"),
+        "text": F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept),
+    }).drop("_id", "_tie", "_dropped", "_text_hash")
+
+
 def without_repeats(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with repeated and nearly repeated lines taken out of ``text``, and
-    with n_lines and n_dropped (columns of these names are replaced).
+    """``docs`` without repeated and nearly repeated lines, and with n_lines and n_dropped.
 
     Of equal lines, and of lines of ``min_chars`` characters or more within one
     edit of each other, the earliest stays: that of the least doc_id (documents
@@ -249,13 +277,4 @@ def without_repeats(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHAR
     stay.  Rows that share a doc_id stand at one place: a line that two of them
     hold stays in both.  Null texts stay null and have no lines.
     """
-    drops = dropped_lines(docs, scratch, min_chars).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "dropped")
-    keyed = docs.drop("n_lines", "n_dropped").withColumn("_text_hash", F.xxhash64("text"))
-    joined = keyed.join(drops, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_tie")), "left")
-    parts = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("dropped", i.cast("long"))), "\n")
-    return joined.withColumns({
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"),
-        "n_dropped": F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long"),
-        "text": F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept),
-    }).drop("_id", "_tie", "dropped", "_text_hash")
+    return without_lines(docs, scratch.result(dropped_lines(docs, scratch, min_chars)))

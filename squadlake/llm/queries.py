@@ -67,7 +67,7 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as scratch:
         kept = line_dedup.without_repeats(table(spark, sf_dir, "documents"), scratch)
-        return scratch.result(kept.select("doc_id", "n_lines", "n_dropped", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def held_out(doc_id: str = "doc_id"):

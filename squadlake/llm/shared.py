@@ -24,6 +24,15 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_RESULTS: list[str] = []  # folders of results written by this driver
+
+
+def release_results(spark: SparkSession) -> None:
+    """Delete the results that queries returned so far, once nothing reads them any more."""
+    while _RESULTS:
+        delete_folder(spark, _RESULTS.pop())
+
+
 class Scratch:
     """Intermediate tables of one query.
 
@@ -61,4 +70,5 @@ class Scratch:
                 delete_folder(self.spark, path)
 
     def result(self, df: DataFrame) -> DataFrame:
+        _RESULTS.append(self.out)
         return self._stored(df, self.out, ())
