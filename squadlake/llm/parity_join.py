@@ -10,8 +10,9 @@ Sizes fall into bands that fix P; a document near a band's lower end also joins
 the band below.  A document with D or fewer non-empty parts offers them all and
 the band's common key, so the guarantee has no exception.
 
-"Rarest" is any order all documents share: keys found very often, whose number is
-bounded, come last.  Thus passages that many documents hold make no candidates.
+"Rarest" is any order all documents share: all keys are counted, and the most
+frequent ones, a list of bounded length, come last.  Thus passages that many
+documents hold make no candidates.
 
 Equal sets are one class from the start.  Groups of documents with one key are
 not paired off: each is first compared with one leader, then with those still in
@@ -36,8 +37,10 @@ from squadlake.llm.textblocks import INK_BYTES, SpanHasher, column_of, mix, shin
 NGRAM = 5
 PERCENT = 80  # linked when 100 * intersection >= PERCENT * union
 BAND_RATIO = 3
-MAX_FREQUENT = 1 << 20  # keys in the list of frequent ones: 16 MB
+MAX_FREQUENT = 1 << 20  # keys in the list of frequent ones: 9 MB
+TOP_COUNT = 4096  # counts from here on are alike
 KEY_BITS = np.uint64(58)
+SKETCH_WORDS = 32  # 2048 bits: tells sets of up to some thousand n-grams apart
 SALT_ROWS = 2000  # sets compared with one copy of a leader's
 
 
@@ -125,33 +128,54 @@ def _batch(**columns) -> pa.RecordBatch:
                                       names=list(columns))
 
 
-def describe(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """A row per document (doc_id, n_shingles, name of its set, name of the copy),
-    and rows (key, times) for keys met several times in a stretch of documents."""
+def describe(docs: DataFrame, ngram: int) -> DataFrame:
+    """A row per document: doc_id, n_shingles, name of its set, name of the copy."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, _, firsts, names, copies in _scanned(batches, ngram):
+            yield _batch(doc_id=own, n_shingles=np.diff(firsts), name=names, copy=copies)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, name long, copy long")
+
+
+def key_counts(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """(key, times) of all sketches' keys that occur more than once.  Keys alone are
+    shuffled and stream by in order, so a frequent key takes no memory."""
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
-        held: list[np.ndarray] = []
-        n_keys = 0
-
-        def repeated() -> pa.RecordBatch:
-            keys, times = np.unique(np.concatenate(held), return_counts=True)
-            often = times > 1
-            none = pa.nulls(int(often.sum()), pa.int64())
-            return _batch(doc_id=none, n_shingles=none, name=none, copy=none, key=keys[often], times=times[often])
-
-        for own, sets, firsts, names, copies in _scanned(batches, ngram):
-            none = pa.nulls(len(own), pa.int64())
-            yield _batch(doc_id=own, n_shingles=np.diff(firsts), name=names, copy=copies, key=none, times=none)
+        for _, sets, firsts, _, _ in _scanned(batches, ngram):
             for _, _, _, keys, _ in _sketches(sets, firsts, bands):
-                held.append(keys)
-                n_keys += len(keys)
-            if n_keys > 2_000_000:
-                yield repeated()
-                held, n_keys = [], 0
-        if held:
-            yield repeated()
+                yield _batch(key=keys)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, name long, copy long, key long, times long")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, 0
+        for batch in batches:
+            keys, times = np.unique(batch.column(0).to_numpy(), return_counts=True)
+            if not len(keys):
+                continue
+            if last == keys[0]:
+                times[0] += seen
+            elif last is not None and seen > 1:
+                yield _batch(key=np.array([last]), times=np.array([seen]))
+            last, seen = keys[-1], times[-1]
+            many = times[:-1] > 1
+            yield _batch(key=keys[:-1][many], times=times[:-1][many])
+        if seen > 1:
+            yield _batch(key=np.array([last]), times=np.array([seen]))
+
+    keys = docs.select("doc_id", "text").mapInArrow(every, "key long")
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(count, "key long, times long")
+
+
+def frequent_keys(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent keys in order and the logarithms of their counts: all keys
+    from the least count on at which no more than MAX_FREQUENT remain."""
+    sizes = counts.groupBy(F.least("times", F.lit(TOP_COUNT)).alias("times")).agg(F.count("*").alias("n")).toArrow().sort_by([("times", "descending")])
+    fits = np.flatnonzero(np.cumsum(sizes.column("n").to_numpy()) <= MAX_FREQUENT)
+    if not len(fits):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    least = sizes.column("times").to_numpy()[fits[-1]]
+    often = counts.where(F.col("times") >= int(least)).toArrow().sort_by("key")
+    return often.column("key").to_numpy().view(np.uint64), (1 + np.log2(often.column("times").to_numpy())).astype(np.uint8)
 
 
 def rare_keys(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], ngram: int, percent: int) -> DataFrame:
@@ -166,7 +190,7 @@ def rare_keys(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], ngram: i
             for chosen, band, differences, keys, key_firsts in _sketches(sets, firsts, bands):
                 if len(often):
                     at = np.minimum(np.searchsorted(often, keys), len(often) - 1)
-                    keys = keys | np.where(often[at] == keys, ranks[at] << KEY_BITS, np.uint64(0))
+                    keys = keys | np.where(often[at] == keys, ranks[at].astype(np.uint64) << KEY_BITS, np.uint64(0))
                 out, owners = [], []
                 for i, (a, b, d) in enumerate(zip(key_firsts[:-1].tolist(), key_firsts[1:].tolist(), differences.tolist())):
                     own = keys[a:b]
@@ -183,20 +207,49 @@ def rare_keys(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], ngram: i
     return docs.select("doc_id", "text").mapInArrow(run, "key long, name long")
 
 
-def sets_of(docs: DataFrame, copies: DataFrame, n_copies: int, ngram: int) -> DataFrame:
-    """(name, grams) of the documents named in ``copies`` (name, copy)."""
+def bit_sketches(sets: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """(sets, words) sketches of fixed length: each n-gram flips one bit."""
+    out = np.zeros((len(firsts) - 1, SKETCH_WORDS), dtype=np.uint64)
+    place = mix(sets ^ np.uint64(0x3C79AC492BA7B653))
+    word = (place >> np.uint64(6)).astype(np.int64) % SKETCH_WORDS
+    np.bitwise_xor.at(out, (np.repeat(np.arange(len(out)), np.diff(firsts)), word), np.uint64(1) << (place & np.uint64(63)))
+    return out
+
+
+def chosen_sets(docs: DataFrame, copies: DataFrame, n_copies: int, ngram: int, content: str) -> DataFrame:
+    """(name, size, and ``content``: sketch or grams) of the documents named in
+    ``copies`` (name, copy).  What the Bloom filter or a repeated row adds is another
+    copy of the same set, one for each task at most, and does no harm."""
     shipped = docs.sparkSession.sparkContext.broadcast(bloom_of(copies, "copy", n_copies))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shipped.value
+        bits, done = shipped.value, set()
         for _, sets, firsts, names, own in _scanned(batches, ngram):
-            raw = memoryview(sets.astype("<u8").tobytes())
             hit = np.flatnonzero(may_hold(bits, own) & (np.diff(firsts) > 0))
-            if len(hit):
-                yield _batch(name=names[hit], copy=own[hit], grams=pa.array([raw[8 * firsts[i]:8 * firsts[i + 1]] for i in hit], pa.binary()))
-
-    found = docs.select("doc_id", "text").mapInArrow(run, "name long, copy long, grams binary")
-    return found.join(copies, ["name", "copy"], "left_semi").dropDuplicates(["name"]).select("name", "grams")
+            hit = np.array([i for i in hit.tolist() if names[i] not in done and not done.add(names[i])], dtype=np.int64)
+            if not len(hit):
+                continue
+            if content == "sketch":
+                words = bit_sketches(*subset(sets, firsts, hit)).reshape(-1).view(np.int64)
+                values = pa.ListArray.from_arrays(pa.array(np.arange(len(hit) + 1, dtype=np.int32) * SKETCH_WORDS), pa.array(words))
+            else:
+                raw = memoryview(sets.astype("<u8").tobytes())
+                values = pa.array([raw[8 * firsts[i]:8 * firsts[i + 1]] for i in hit.tolist()], pa.binary())
+            yield _batch(name=names[hit], size=np.diff(firsts)[hit], **{content: values})
+
+    kind = "array<long>" if content == "sketch" else "binary"
+    return docs.select("doc_id", "text").mapInArrow(run, f"name long, size long, {content} {kind}")
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and sketches allow a link: a Hamming distance above the
+    most n-grams in which linked sets can differ rules a pair out."""
+    sketches = sketches.dropDuplicates(["name"])
+    for side in "uv":
+        pairs = pairs.join(sketches.select(F.col("name").alias(side), F.col("size").alias(f"{side}_size"), F.col("sketch").alias(f"{side}_sketch")), side)
+    flipped = F.aggregate(F.zip_with("u_sketch", "v_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return pairs.where((100 * F.least("u_size", "v_size") >= percent * F.greatest("u_size", "v_size"))
+                       & ((100 + percent) * flipped <= (100 - percent) * (F.col("u_size") + F.col("v_size")))).select("u", "v")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -242,23 +295,30 @@ def classes(docs: DataFrame, scratch: Scratch, ngram: int = NGRAM, percent: int
     reachable by links; repeated rows are linked with each other; missing ids are
     never the least one.
     """
-    described = scratch.keep(describe(docs, ngram, percent), "described")
-    rows = described.where("key is null").drop("key", "times")
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    floor = max(8, total // MAX_FREQUENT)  # no more keys than MAX_FREQUENT can reach this
-    often = described.where("key is not null").groupBy("key").agg(F.sum("times").alias("times")).where(F.col("times") >= floor).toArrow().sort_by("key")
-    frequent = (often.column("key").to_numpy().view(np.uint64), np.log2(often.column("times").to_numpy()).astype(np.uint64))
-
+    docs = docs.select("doc_id", "text")
+    rows = scratch.keep(describe(docs, ngram), "documents")
+    counts = scratch.keep(key_counts(docs, ngram, percent), "counts")
+    frequent = frequent_keys(counts)
+    scratch.drop(counts)
     shared = scratch.keep(shared_keys(rare_keys(docs, frequent, ngram, percent)), "keys")
     names = shared.select("name").distinct()
     copies = scratch.keep(rows.where("name <> 0").join(names, "name", "left_semi").groupBy("name").agg(F.min("copy").alias("copy")), "copies")
-    sets = scratch.keep(sets_of(docs, copies, copies.count(), ngram), "sets")
+    sketches = scratch.keep(chosen_sets(docs, copies, copies.count(), ngram, "sketch"), "sketches")
+
+    def test(pairs: DataFrame) -> DataFrame:
+        """Links among the pairs: sketches first, then the sets of those they leave."""
+        near = scratch.keep(possible(pairs, sketches, percent), "possible")
+        needed = scratch.keep(copies.join(near.select(F.explode(F.array("u", "v")).alias("name")).distinct(), "name", "left_semi"), "needed")
+        sets = scratch.keep(chosen_sets(docs, needed, needed.count(), ngram, "grams"), "sets")
+        links = scratch.keep(linked(near, sets, percent), "links")
+        scratch.drop(sets)
+        return links
 
     # First every set with the one leader that it shares most keys with.
     best = Window.partitionBy("u").orderBy(F.desc("times"), "v")
     led = shared.where("name <> leader").groupBy(F.col("name").alias("u"), F.col("leader").alias("v")).agg(F.count("*").alias("times"))
     tested = scratch.keep(led.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select("u", "v"), "pairs")
-    links = scratch.keep(linked(tested, sets, percent), "links")
+    links = test(tested)
     labels = scratch.keep(components(links, scratch), "labels")
     for step in ("leaders", "all"):
         named = shared.join(labels, shared.name == labels.node, "left").select("key", "name", "leader", F.coalesce("label", "name").alias("label"))
@@ -273,8 +333,7 @@ def classes(docs: DataFrame, scratch: Scratch, ngram: int = NGRAM, percent: int
         pairs = scratch.keep(pairs.distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
-        more = scratch.keep(linked(pairs, sets, percent), "links")
-        tested, links = tested.union(pairs), links.union(more)
+        tested, links = tested.union(pairs), links.union(test(pairs))
         labels = scratch.keep(components(links, scratch), "labels")
 
     placed = rows.join(labels, rows.name == labels.node, "left").select(
