@@ -13,7 +13,7 @@ from squadlake.catalog.shapes import EV, ev, measure
 from squadlake.operators import identity, quality
 from squadlake.operators.dedup import dedup_counts
 from squadlake.plans import dq_views, silver, staging, suites
-from squadlake.session import materialise, work_folder
+from squadlake.session import work_folder
 from squadlake.sources import bronze as b
 
 RUN = "r1"
@@ -206,11 +206,19 @@ def stg_snap_counts(t):
 FEEDS = {"forcedeck": f.forcedeck, "catapult": f.catapult, "ams_wellness": f.wellness, "nutrition": f.nutrition, "emr": f.emr}
 
 
+def unpacked(t, source: str) -> staging.Unpacked:
+    """A feed whose current records are stored once for the query."""
+    key = f"unpacked {source}"
+    if key not in t.frames:
+        t.frames[key] = staging.Unpacked(FEEDS[source](t))
+    return t.frames[key]
+
+
 def checked(t, suite) -> quality.Validation:
-    """A suite against its staging projection, which duplicate checks read twice and is therefore stored."""
+    """A suite against its staging projection of the stored records."""
     key = f"stored {suite.table}"
     if key not in t.frames:
-        t.frames[key] = materialise(staging.STAGING[suite.table](FEEDS[suite.source](t)))
+        t.frames[key] = staging.STAGING[suite.table](unpacked(t, suite.source))
     return quality.Validation(t.frames[key], suite, RUN)
 
 
@@ -416,7 +424,7 @@ def resolution_by_method(t):
 # ---------------------------------------------------------------- silver
 
 def build(t, source: str) -> silver.SilverRun:
-    return silver.BUILDERS[source](FEEDS[source](t), held_ids(t, source), f.master(t), f.vendor_map(t), RUN)
+    return silver.BUILDERS[source](unpacked(t, source), held_ids(t, source), f.master(t), f.vendor_map(t), RUN)
 
 
 def flags_text(c="qc_flags"):

@@ -72,17 +72,19 @@ def status_ranks(t):
 
 
 @query("local_time_dates", """WITH o AS (SELECT o_orderkey, o_orderdate + to_minutes(CAST(o_orderkey % 1440 AS INTEGER)) AS w, o_orderkey % 3 AS kind FROM orders),
-z AS (SELECT *, timezone('UTC', timezone('America/New_York', w)) AS u FROM o)
-SELECT o_orderkey, strftime(CASE WHEN kind = 2 THEN w + INTERVAL 2 HOUR ELSE u END, '%Y-%m-%d %H:%M:%S') AS utc, kind = 1 AS corrected,
-  CAST(CAST(timezone('America/New_York', timezone('UTC', CASE WHEN kind = 2 THEN w + INTERVAL 2 HOUR ELSE u END)) AS DATE) AS VARCHAR) AS local_day FROM z WHERE hour(w) >= 3""")
+back AS (SELECT *, timezone('America/New_York', timezone('UTC', w + INTERVAL 4 HOUR)) = w AS summer FROM o),
+-- An hour that comes twice takes the earlier (summer) instant; one that is skipped counts from the offset before it and so moves forward.
+z AS (SELECT *, CASE WHEN kind = 2 THEN w + INTERVAL 2 HOUR WHEN summer THEN w + INTERVAL 4 HOUR ELSE w + INTERVAL 5 HOUR END AS u FROM back)
+SELECT o_orderkey, strftime(u, '%Y-%m-%d %H:%M:%S') AS utc, kind = 1 AS corrected,
+  CAST(CAST(timezone('America/New_York', timezone('UTC', u)) AS DATE) AS VARCHAR) AS local_day FROM z""")
 def local_time_dates(t):
     """Facility-local text: bogus UTC suffix corrected, other offsets trusted, local date back.
-    Hours before 03:00 are left out: wall times inside a clock change are ambiguous."""
+    A wall time that comes twice is its first instant, one that is skipped moves forward."""
     wall = F.date_format(F.expr("o_orderdate + make_dt_interval(0, 0, o_orderkey % 1440, 0)"), "yyyy-MM-dd HH:mm:ss")
     kind = F.col("o_orderkey") % 3
     rows = t.orders.select("o_orderkey", F.concat(wall, F.when(kind == 1, "+00:00").when(kind == 2, "-02:00").otherwise("")).alias("s"))
     instant, corrected = casts.facility_local(F.col("s"))
-    rows = rows.withColumns({"u": instant, "corrected": corrected}).where(F.substring("s", 12, 2) >= "03")
+    rows = rows.withColumns({"u": instant, "corrected": corrected})
     return rows.select("o_orderkey", stamp("u").alias("utc"), "corrected", text(casts.local_date(F.col("u"))).alias("local_day"))
 
 

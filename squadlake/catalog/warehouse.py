@@ -321,7 +321,8 @@ def injuries_by_region(t):
     return report.injuries_by_region(series.injury(t))
 
 
-@query("severity_matrix", f"""WITH {s.EV}, {s.TO_INJURY} SELECT severity, count(*) FILTER (body_region = 'lower_body') AS lower_body, count(*) FILTER (body_region = 'upper_body') AS upper_body, count(*) FILTER (body_region = 'head') AS head FROM fi GROUP BY ALL""")
+@query("severity_matrix", f"""WITH {s.EV}, {s.TO_INJURY} SELECT severity, count(*) FILTER (body_region = 'lower_body') AS lower_body, count(*) FILTER (body_region = 'upper_body') AS upper_body, count(*) FILTER (body_region = 'head') AS head,
+  count(*) FILTER (body_region IS NULL OR body_region NOT IN ('lower_body', 'upper_body', 'head')) AS unmapped FROM fi GROUP BY ALL""")
 def severity_matrix(t):
     """Severity by region."""
     return report.severity_matrix(series.injury(t))

@@ -24,6 +24,9 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+# Rows of an Arrow batch: texts of some kilobytes each pass through two workers an
+# executor, so this bounds the memory beside its heap.
+BATCH_ROWS = "2000"
 _RESULTS: list[str] = []  # folders of results written by this driver
 
 
@@ -43,6 +46,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         self.root = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
         self.out = f"{shared_folder(spark)}/llm-result-{uuid.uuid4().hex}"
 

@@ -2,17 +2,19 @@
 
 A suite is data ({"name", "meta", "expectations": [{"type", "kwargs"}]}).  Each
 expectation compiles to two Column predicates, *evaluated* (the row counts
-towards the percentage) and *failed*.  Results are a single aggregate over all
+towards the percentage) and *failed*; ``KINDS`` has one line per type.  Results are a single aggregate over all
 predicates and quarantine rows a single explode, whatever the suite's size.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Mapping
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 from pathlib import Path
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ IN_SET = "expect_column_values_to_be_in_set"
 BETWEEN = "expect_column_values_to_be_between"
 REGEX = "expect_column_values_to_match_regex"
 PAIR = "expect_column_pair_values_a_to_be_greater_than_b"
+PARSES = "expect_column_values_to_be_parsable"
+UNPARSABLE = "unparsable"  # column of a staging frame: the fields whose text is no value of their type
 
 RESULT_SCHEMA = ("run_id string, source string, suite string, expectation_name string, column_name string, "
                  "kwargs string, success boolean, element_count bigint, unexpected_count bigint, "
@@ -44,65 +48,60 @@ class ReconciliationError(Exception):
     """Rows in, minus duplicates and quarantined, is not rows out."""
 
 
+def _outside(low: Any, high: Any, value: Column) -> Column:
+    bad = [test for limit, test in ((low, value < low), (high, value > high)) if limit is not None]
+    return reduce(lambda x, y: x | y, bad, F.lit(False))
+
+
+class Kind(NamedTuple):
+    """How a type of expectation judges a row whose columns are all present."""
+
+    message: str  # fixed wording
+    failed: Callable[[Mapping[str, Any], list[Column]], Column]
+    with_nulls: bool = False  # judges rows without a value too
+
+
+KINDS: dict[str, Kind] = {
+    NOT_NULL: Kind("{column} is null", lambda kw, c: c[0].isNull(), True),
+    PARSES: Kind("{column} text", lambda kw, c: c[0].isNotNull(), True),
+    UNIQUE: Kind("{column} is duplicated", lambda kw, c: F.col(_dup(kw["column"]))),
+    PAIR: Kind("{column_A} < {column_B}", lambda kw, c: c[0] < c[1] if kw.get("or_equal") else c[0] <= c[1]),
+    REGEX: Kind("{column} does not match {regex}", lambda kw, c: ~c[0].rlike(kw["regex"])),
+    IN_SET: Kind("{column} not in {value_set}", lambda kw, c: ~c[0].isin(*kw["value_set"])),
+    BETWEEN: Kind("{column} outside {min_value}..{max_value}", lambda kw, c: _outside(kw.get("min_value"), kw.get("max_value"), c[0])),
+}
+
+
 @dataclass(frozen=True)
 class Expectation:
     type: str
     kwargs: Mapping[str, Any]
 
+    @property
+    def kind(self) -> Kind:
+        if self.type not in KINDS:
+            raise ValueError(f"unsupported expectation {self.type}")
+        return KINDS[self.type]
+
     @property
     def columns(self) -> list[str]:
-        return [self.kwargs[k] for k in ("column", "column_A", "column_B") if self.kwargs.get(k)]
+        """The columns named, in the order of the arguments."""
+        return [v for k, v in self.kwargs.items() if k.startswith("column") and v]
 
     @property
     def column_name(self) -> str:
-        return self.kwargs.get("column") or self.kwargs.get("column_B")
+        """The column that is held responsible: the last one named."""
+        return self.columns[-1]
 
     def reason(self) -> str:
-        kw = self.kwargs
-        col = kw.get("column")
-        if self.type == BETWEEN:
-            return f"{col} outside {kw.get('min_value')}..{kw.get('max_value')}"
-        if self.type == IN_SET:
-            return f"{col} not in {kw.get('value_set')}"
-        if self.type == NOT_NULL:
-            return f"{col} is null"
-        if self.type == UNIQUE:
-            return f"{col} is duplicated"
-        if self.type == REGEX:
-            return f"{col} does not match {kw.get('regex')}"
-        if self.type == PAIR:
-            return f"{kw.get('column_A')} < {kw.get('column_B')}"
-        raise ValueError(f"unsupported expectation {self.type}")
+        return self.kind.message.format_map(defaultdict(lambda: None, self.kwargs))
 
     def evaluated(self) -> Column:
-        if self.type == NOT_NULL:
-            return F.lit(True)
-        present = F.col(self.columns[0]).isNotNull()
-        for c in self.columns[1:]:
-            present = present & F.col(c).isNotNull()
-        return present
+        present = [F.col(c).isNotNull() for c in self.columns]
+        return F.lit(True) if self.kind.with_nulls else reduce(lambda x, y: x & y, present)
 
     def failed(self) -> Column:
-        kw, cols = self.kwargs, [F.col(c) for c in self.columns]
-        if self.type == NOT_NULL:
-            return cols[0].isNull()
-        if self.type == UNIQUE:
-            return F.col(_dup(self.columns[0]))
-        if self.type == IN_SET:
-            bad = ~cols[0].isin(*kw["value_set"])
-        elif self.type == BETWEEN:
-            low, high = kw.get("min_value"), kw.get("max_value")
-            bad = F.lit(False)
-            if low is not None:
-                bad = bad | (cols[0] < low)
-            if high is not None:
-                bad = bad | (cols[0] > high)
-        elif self.type == REGEX:
-            bad = ~cols[0].rlike(kw["regex"])
-        elif self.type == PAIR:
-            bad = cols[0] < cols[1] if kw.get("or_equal") else cols[0] <= cols[1]
-        else:
-            raise ValueError(f"unsupported expectation {self.type}")
+        bad = self.kind.failed(self.kwargs, [F.col(c) for c in self.columns])
         return F.coalesce(self.evaluated() & bad, F.lit(False))
 
 
@@ -121,9 +120,10 @@ class Suite:
                      tuple(Expectation(e["type"], e["kwargs"]) for e in doc["expectations"]))
 
 
-def load_suites(folder: str | Path, source: str | None = None) -> list[Suite]:
+def load_suites(folder: Path, source: str | None = None) -> list[Suite]:
     """Suites from a folder of JSON files, by file name."""
-    docs = [json.loads(p.read_text()) for p in sorted(Path(folder).glob("*.json"))]
+    files = sorted((f for f in folder.iterdir() if f.name.endswith(".json")), key=lambda f: f.name)
+    docs = [json.loads(f.read_text()) for f in files]
     suites = [Suite.from_dict(d) for d in docs]
     return [s for s in suites if source is None or s.source == source]
 
@@ -148,8 +148,11 @@ class Validation:
 
     def __init__(self, df: DataFrame, suite: Suite, run_id: str, id_col: str = "bronze_id"):
         self.suite, self.run_id, self.id_col = suite, run_id, id_col
-        self.usable = [e for e in suite.expectations if set(e.columns) <= set(df.columns)]
-        self.missing = [e for e in suite.expectations if e not in self.usable]
+        expected = suite.expectations
+        if UNPARSABLE in df.columns:
+            expected = (*expected, Expectation(PARSES, {"column": UNPARSABLE}))
+        self.usable = [e for e in expected if set(e.columns) <= set(df.columns)]
+        self.missing = [e for e in expected if e not in self.usable]
         self.source_frame = df
         self.frame = df
         for e in self.usable:
@@ -165,7 +168,7 @@ class Validation:
                   .withColumn(_dup(column), F.col("_key").isNotNull()).drop("_key"))
 
     def results(self) -> DataFrame:
-        """One row per expectation."""
+        """One row per expectation; the check for unparsable values has one only if it fails."""
         s = self.suite
         aggs = [F.count("*").alias("n")]
         for i, e in enumerate(self.usable):
@@ -182,7 +185,8 @@ class Validation:
         rows = [row(e, F.col(f"bad{i}"), F.try_divide(100.0 * F.col(f"bad{i}"), F.col(f"seen{i}")), False)
                 for i, e in enumerate(self.usable)]
         rows += [row(e, F.lit(None), F.lit(None), True) for e in self.missing]
-        return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        every = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        return every.where((F.col("expectation_name") != PARSES) | ~F.col("success"))
 
     def failed_ids(self) -> DataFrame:
         """Ids of the records that fail anything: a filter, no reason text is built."""

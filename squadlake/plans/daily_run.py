@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ class RunReport:
     failed_sources: dict[str, str] = field(default_factory=dict)
 
 
-def validate_source(store: TableStore, bronze: DataFrame, source: str, run_id: str) -> None:
+def validate_source(store: TableStore, bronze: DataFrame | staging.Unpacked, source: str, run_id: str) -> None:
     """Write the source's results and quarantine, then fail it if the damage is systemic."""
     checks = [quality.Validation(materialise(staging.STAGING[s.table](bronze)), s, run_id) for s in suites.suites_for(source)]
     results = reduce(DataFrame.unionByName, [c.results() for c in checks]).withColumn("validated_at", F.current_timestamp())
@@ -50,7 +51,7 @@ def _one(df: DataFrame, source: str) -> DataFrame:
     return df.withColumn("source", F.lit(source))
 
 
-def silver_source(store: TableStore, bronze: DataFrame, source: str, run_id: str) -> DataFrame:
+def silver_source(store: TableStore, bronze: DataFrame | staging.Unpacked, source: str, run_id: str) -> DataFrame:
     """Rebuild a source's facts; returns its one-row count line."""
     players = store.read("dim_player_master")
     vendor_map = store.read("vendor_player_map", identity.PLAYER_MAP_SCHEMA)
@@ -67,10 +68,8 @@ def silver_source(store: TableStore, bronze: DataFrame, source: str, run_id: str
         vendor_map, pins.dropDuplicates(["vendor", "vendor_player_id"]), F.current_timestamp()))
 
     feeds = silver.FACT_FEEDS[source]
-    raw = [staging.unpack(bronze, f).groupBy(*f.key).agg(F.count("*").alias("n")) for f in feeds]
-    seen = reduce(DataFrame.unionByName, [r.select("n") for r in raw]).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows_in"),
-        (F.coalesce(F.sum("n"), F.lit(0)) - F.count("*")).cast("bigint").alias("duplicates_removed"))
+    seen = reduce(DataFrame.unionByName, [staging.counts(bronze, f) for f in feeds]).agg(
+        F.sum("rows_in").cast("bigint").alias("rows_in"), (F.sum("rows_in") - F.sum("rows_kept")).cast("bigint").alias("duplicates_removed"))
     facts_out = list(written.values())
     total = reduce(DataFrame.unionByName, [d.select("bronze_id") for d in facts_out]).agg(F.count("*").alias("rows_in_silver"))
     inferred = run.profile.get("pct_units_inferred")
@@ -113,6 +112,16 @@ def write_summary(store: TableStore, lines: list[DataFrame], run_id: str) -> Dat
     return table
 
 
+def add_missing_tables(store: TableStore) -> None:
+    """Empty fact tables for sources that never had a good run, so Gold can be built."""
+    if all(store.has(name) for name in silver.TABLES):
+        return
+    players, vendor_map = store.read("dim_player_master"), store.read("vendor_player_map", identity.PLAYER_MAP_SCHEMA)
+    for name, schema in silver.schemas(store.spark, players, vendor_map).items():
+        if not store.has(name):
+            store.replace(name, store.spark.createDataFrame([], schema))
+
+
 def build_gold(spark: SparkSession, store: TableStore, bronze: DataFrame, *, start: str = dims.SEASON_START,
                end: str = dims.SEASON_END) -> dict[str, DataFrame]:
     """Dimensions, facts and the mart, each written once."""
@@ -155,16 +164,18 @@ def run(spark: SparkSession, bronze: DataFrame, store: TableStore, run_id: str,
     try:
         prev = store.read("dim_player_master", dims.MASTER_SCHEMA)
         store.replace("dim_player_master", dims.build_player_master(bronze, prev, F.current_timestamp()))
-        lines = []
+        lines, feeds = [], staging.Unpacked(bronze)
         for source in silver.BUILDERS:
             try:
-                validate_source(store, bronze, source, run_id)
+                validate_source(store, feeds, source, run_id)
+                lines.append(silver_source(store, feeds, source, run_id))
             except quality.SystemicValidationFailure as broken:
                 report.failed_sources[source] = str(broken)
-                continue
-            lines.append(silver_source(store, bronze, source, run_id))
+            except PySparkException as broken:  # a source whose evaluation raises fails alone
+                report.failed_sources[source] = f"evaluation raised: {str(broken).splitlines()[0]}"
         if lines:
             write_summary(store, lines, run_id)
+        add_missing_tables(store)
         build_gold(spark, store, bronze, start=start, end=end)
     finally:
         release(spark, mark)  # what is needed has been written; nothing reads the intermediates any more

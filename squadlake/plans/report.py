@@ -148,9 +148,15 @@ SEVERITIES = ("minor", "moderate", "major")
 REGIONS = ("lower_body", "upper_body", "head")
 
 
+UNMAPPED = "unmapped"
+
+
 def severity_matrix(injury: DataFrame) -> DataFrame:
-    """Counts by severity (rows) and body region (columns); the column list is fixed, so one pass."""
-    return injury.groupBy("severity").pivot("body_region", list(REGIONS)).agg(F.count(F.lit(1))).na.fill(0, list(REGIONS))
+    """Counts by severity (rows) and body region (columns).  The column list is fixed,
+    so it is one pass; injuries of no or another region count as unmapped."""
+    region = F.when(F.col("body_region").isin(*REGIONS), F.col("body_region")).otherwise(UNMAPPED)
+    columns = [*REGIONS, UNMAPPED]
+    return injury.withColumn("_region", region).groupBy("severity").pivot("_region", columns).agg(F.count(F.lit(1))).na.fill(0, columns)
 
 
 def run_table(dq_runs: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from squadlake.functions import casts, units
 from squadlake.functions.casts import num
@@ -19,9 +20,10 @@ from squadlake.functions.text import body_part
 from squadlake.functions.units import flags
 from squadlake.operators import identity
 from squadlake.operators.dedup import attach_group, flag_repeats, latest_with_count
-from squadlake.operators.quality import identity_failures, without_quarantined
+from squadlake.operators.quality import QUARANTINE_SCHEMA, identity_failures, without_quarantined
 from squadlake.plans import staging
 from squadlake.session import materialise
+from squadlake.sources.bronze import BRONZE_SCHEMA
 
 
 @dataclass
@@ -49,10 +51,11 @@ def _with_candidates(found: identity.Resolved) -> tuple[DataFrame, Column]:
     return rows, F.coalesce(listed, F.lit(""))
 
 
-def accepted(bronze: DataFrame, feed: staging.Feed, held: DataFrame) -> DataFrame:
+def accepted(bronze: DataFrame | staging.Unpacked, feed: staging.Feed, held: DataFrame) -> DataFrame:
     """Current records that passed validation.  Resolution reads them twice (their
-    distinct identifiers, then the rows), so they are written once."""
-    return materialise(without_quarantined(staging.current(bronze, feed), held))
+    distinct identifiers, then the rows), so give an ``Unpacked`` frame: its current
+    records are stored."""
+    return without_quarantined(staging.current(bronze, feed), held)
 
 
 def forcedeck(bronze: DataFrame, held: DataFrame, players: DataFrame, vendor_map: DataFrame,
@@ -65,7 +68,7 @@ def forcedeck(bronze: DataFrame, held: DataFrame, players: DataFrame, vendor_map
     newtons, inferred = units.normalise_force(raw, F.col("force_unit"))
     tests = found.records.where("player_sk is not null").select(
         "bronze_id", "test_id", "player_sk", "resolved_by", "athlete_gsis_id",
-        casts.epoch_utc(F.col("test_ts")).alias("test_ts"), "test_type", F.col("rep").cast("int").alias("rep"),
+        casts.epoch_utc(F.col("test_ts")).alias("test_ts"), "test_type", F.col("rep").try_cast("int").alias("rep"),
         num(F.col("jump_height_cm")).alias("jump_height_cm"), F.round(newtons, 2).alias("peak_force_n"),
         raw.alias("peak_force_raw"), F.col("force_unit").alias("force_unit_raw"), inferred.alias("force_unit_inferred"),
         num(F.col("rfd")).alias("rfd"), num(F.col("asymmetry_pct")).alias("asymmetry_pct"), "device_id",
@@ -105,7 +108,7 @@ def wellness(bronze: DataFrame, held: DataFrame, players: DataFrame, vendor_map:
     feed = staging.WELLNESS
     rows = accepted(bronze, feed, held)
     instant, corrected = casts.facility_local(F.col("submitted_at"))
-    declared = F.nullif(F.col("scale_max").cast("int"), F.lit(0))
+    declared = F.nullif(F.col("scale_max").try_cast("int"), F.lit(0))
     rows = rows.withColumns({
         "_ts": instant, "tz_corrected": corrected, "_day": F.left("submitted_at", F.lit(10)), "_declared": declared,
         "_top": F.greatest(*[num(F.col(c)) for c in units.LIKERT])})
@@ -128,7 +131,7 @@ def wellness(bronze: DataFrame, held: DataFrame, players: DataFrame, vendor_map:
         F.when(staging.has_key("athlete_id") | staging.has_key("scale_max"), "v2").otherwise("v1").alias("schema_shape"),
         F.col("_scale").alias("scale_max"), "scale_inferred", num(F.col("sleep_hours")).alias("sleep_hours"),
         *[units.rescale(num(F.col(c)), F.col("_scale")).alias(c) for c in units.LIKERT],
-        F.col("srpe").cast("int").alias("srpe"), "is_resubmission",
+        F.col("srpe").try_cast("int").alias("srpe"), "is_resubmission",
         flags((F.col("tz_corrected"), "tz_corrected"), (F.col("scale_inferred"), "scale_inferred"),
               (F.col("is_resubmission"), "resubmission")).alias("qc_flags"))
     nfl_text = F.coalesce("_nfl", F.lit("None"))
@@ -158,11 +161,11 @@ def catapult(bronze: DataFrame, held: DataFrame, players: DataFrame, vendor_map:
     sessions = found.records.where("player_sk is not null").select(
         "bronze_id", "session_id", "player_sk", "resolved_by", F.col("player_id").alias("vendor_player_id"),
         at.alias("session_ts"), casts.local_date(at).alias("session_date"), "session_type",
-        F.col("duration_min").cast("int").alias("duration_min"), F.round(dist, 1).alias("total_distance_m"),
+        F.col("duration_min").try_cast("int").alias("duration_min"), F.round(dist, 1).alias("total_distance_m"),
         F.round(fast, 1).alias("high_speed_distance_m"), unit.alias("distance_unit_raw"),
         dist_inferred.alias("distance_unit_inferred"), F.round(speed, 2).alias("max_speed_ms"),
         F.col("speed_unit").alias("speed_unit_raw"), speed_inferred.alias("speed_unit_inferred"),
-        *[F.col(c).cast("int").alias(c) for c in ("sprint_count", "accel_count", "decel_count")],
+        *[F.col(c).try_cast("int").alias(c) for c in ("sprint_count", "accel_count", "decel_count")],
         num(F.col("player_load")).alias("player_load"), "_ingested_at",
         flags((dist_inferred, "distance_unit_inferred"), (speed_inferred, "speed_unit_inferred")).alias("qc_flags"))
     unresolved, listed = _with_candidates(found)
@@ -231,3 +234,14 @@ BUILDERS = {"forcedeck": forcedeck, "catapult": catapult, "ams_wellness": wellne
 # Fact streams whose rows a source's scorecard counts.
 FACT_FEEDS = {"forcedeck": (staging.FORCEDECK,), "catapult": (staging.CATAPULT,), "ams_wellness": (staging.WELLNESS,),
               "nutrition": (staging.NUTRITION,), "emr": (staging.INJURIES, staging.STATUS_UPDATES)}
+
+
+TABLES = ("forcedeck_tests", "catapult_sessions", "wellness_surveys", "nutrition_measurements", "emr_injuries", "emr_status_updates")
+
+
+def schemas(spark: SparkSession, players: DataFrame, vendor_map: DataFrame) -> dict[str, StructType]:
+    """The fact tables' schemas, from the builders themselves over no records."""
+    nothing = spark.createDataFrame([], BRONZE_SCHEMA)
+    held = spark.createDataFrame([], QUARANTINE_SCHEMA).select("bronze_id")
+    runs = [build(nothing, held, players, vendor_map) for build in BUILDERS.values()]
+    return {name: df.schema for run in runs for name, df in run.tables.items()}

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from squadlake.functions import casts, units
 from squadlake.operators.dedup import attach_group, first_per_key
+from squadlake.operators.quality import UNPARSABLE
+from squadlake.session import materialise
 
 # Field names of the payloads.
 @dataclass(frozen=True)
@@ -54,12 +56,28 @@ FORECAST = Feed("open_meteo", "forecast", ("stadium", "time"), (
     "precipitation", "wind_speed_10m", "wind_gusts_10m", "weather_code"))
 
 
-def rows_of(bronze: DataFrame, feed: Feed) -> DataFrame:
+class Unpacked:
+    """A Bronze frame whose current records are unpacked once per feed and stored, for
+    runs in which staging, validation, Silver and the scorecard all read them.  Takes
+    a Bronze frame's place in every function here."""
+
+    def __init__(self, bronze: DataFrame):
+        self.bronze = bronze
+        self.stored: dict[Feed, DataFrame] = {}
+
+    def current(self, feed: Feed) -> DataFrame:
+        if feed not in self.stored:
+            self.stored[feed] = materialise(current(self.bronze, feed))
+        return self.stored[feed]
+
+
+def rows_of(bronze: DataFrame | Unpacked, feed: Feed) -> DataFrame:
     """The records of one stream; a filter on the partition columns."""
-    return bronze.where((F.col("_source") == feed.source) & (F.col("_endpoint") == feed.endpoint))
+    frame = bronze.bronze if isinstance(bronze, Unpacked) else bronze
+    return frame.where((F.col("_source") == feed.source) & (F.col("_endpoint") == feed.endpoint))
 
 
-def unpack(bronze: DataFrame, feed: Feed) -> DataFrame:
+def unpack(bronze: DataFrame | Unpacked, feed: Feed) -> DataFrame:
     """Payload fields as text, next to the record's metadata."""
     schema = ", ".join(f"`{f}` string" for f in feed.fields)
     return (rows_of(bronze, feed)
@@ -68,6 +86,15 @@ def unpack(bronze: DataFrame, feed: Feed) -> DataFrame:
             .select("bronze_id", "payload", "_schema_version", "_ingested_at", "_p.*"))
 
 
+def counts(bronze: DataFrame | Unpacked, feed: Feed) -> DataFrame:
+    """One row: rows_in and rows_kept of a feed."""
+    if isinstance(bronze, Unpacked) and feed in bronze.stored:
+        kept = bronze.stored[feed].agg(F.count("*").alias("n")).scalar()
+        return rows_of(bronze, feed).agg(F.count("*").alias("rows_in"), kept.alias("rows_kept"))
+    per_key = unpack(bronze, feed).groupBy(*feed.key).agg(F.count("*").alias("n"))
+    return per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_in"), F.count("*").alias("rows_kept"))
+
+
 def has_key(name: str) -> Column:
     """Whether the payload carries the key at all, null or not."""
     return F.array_contains(F.json_object_keys("payload"), name)
@@ -77,17 +104,27 @@ def newest() -> list[Column]:
     return [F.col("_ingested_at").desc(), F.col("bronze_id").desc()]
 
 
-def current(bronze: DataFrame, feed: Feed) -> DataFrame:
+def current(bronze: DataFrame | Unpacked, feed: Feed) -> DataFrame:
     """Latest ingest per business key."""
+    if isinstance(bronze, Unpacked):
+        return bronze.current(feed)
     return first_per_key(unpack(bronze, feed), feed.key, newest())
 
 
 def _d(name: str) -> Column:
-    return F.col(name).cast("double")
+    return F.col(name).try_cast("double")
 
 
 def _i(name: str) -> Column:
-    return F.col(name).cast("int")
+    return F.col(name).try_cast("int")
+
+
+def unparsable(*, double: tuple[str, ...] = (), int: tuple[str, ...] = (), bigint: tuple[str, ...] = ()) -> Column:
+    """The fields whose text is no number of their type, with that text; NULL if all are.
+    Validation quarantines such a record, so its other values are not lost silently."""
+    typed = [(c, kind) for kind, names in (("double", double), ("int", int), ("bigint", bigint)) for c in names]
+    bad = [F.when(F.col(c).isNotNull() & F.col(c).try_cast(kind).isNull(), F.concat(F.lit(f"{c}="), F.col(c))) for c, kind in typed]
+    return F.nullif(F.concat_ws(", ", *bad), F.lit("")).alias(UNPARSABLE)
 
 
 META = ("_schema_version", "_ingested_at")
@@ -97,10 +134,10 @@ def stg_forcedeck(bronze: DataFrame) -> DataFrame:
     force = _d("peak_force")
     return current(bronze, FORCEDECK).select(
         "bronze_id", "test_id", "athlete_gsis_id",
-        F.timestamp_seconds(F.col("test_ts").cast("bigint")).alias("test_ts"), "test_type", _i("rep").alias("rep"),
+        F.timestamp_seconds(F.col("test_ts").try_cast("bigint")).alias("test_ts"), "test_type", _i("rep").alias("rep"),
         _d("jump_height_cm").alias("jump_height_cm"), force.alias("peak_force_raw"), "force_unit",
         units.to_newtons(force).alias("peak_force_n"), _d("rfd").alias("rfd"), _d("asymmetry_pct").alias("asymmetry_pct"),
-        "device_id", *META)
+        "device_id", unparsable(double=("peak_force", "jump_height_cm", "rfd", "asymmetry_pct"), int=("rep",), bigint=("test_ts",)), *META)
 
 
 def stg_catapult(bronze: DataFrame) -> DataFrame:
@@ -112,7 +149,9 @@ def stg_catapult(bronze: DataFrame) -> DataFrame:
         units.to_metres(_d("high_speed_distance"), unit).alias("high_speed_distance_m"), "speed_unit",
         units.to_ms(_d("max_speed")).alias("max_speed_ms"), _i("sprint_count").alias("sprint_count"),
         _i("accel_count").alias("accel_count"), _i("decel_count").alias("decel_count"),
-        _d("player_load").alias("player_load"), *META)
+        _d("player_load").alias("player_load"),
+        unparsable(double=("total_distance", "high_speed_distance", "max_speed", "player_load"),
+                   int=("duration_min", "sprint_count", "accel_count", "decel_count")), *META)
 
 
 def stg_wellness(bronze: DataFrame) -> DataFrame:
@@ -124,7 +163,7 @@ def stg_wellness(bronze: DataFrame) -> DataFrame:
     rows = attach_group(rows, ["_day"], _day_top=F.max("_top"))
     person = F.concat_ws(" ", "first_name", "last_name")
     return rows.select(
-        "bronze_id", "survey_id", F.coalesce("athlete_id", "player_id").cast("bigint").alias("nfl_id"),
+        "bronze_id", "survey_id", F.coalesce("athlete_id", "player_id").try_cast("bigint").alias("nfl_id"),
         F.coalesce("name", person).alias("player_name"),
         F.when(has_key("athlete_id") | has_key("scale_max"), "v2").otherwise("v1").alias("schema_shape"),
         at.alias("submitted_at_raw"),
@@ -132,7 +171,8 @@ def stg_wellness(bronze: DataFrame) -> DataFrame:
         at.endswith("+00:00").alias("tz_claimed_utc"),
         F.coalesce("_declared", units.day_scale(F.col("_day_top"))).alias("scale_max"),
         F.col("_declared").isNull().alias("scale_inferred"), _d("sleep_hours").alias("sleep_hours"),
-        *[_d(c).alias(c) for c in units.LIKERT], _i("srpe").alias("srpe"), *META)
+        *[_d(c).alias(c) for c in units.LIKERT], _i("srpe").alias("srpe"),
+        unparsable(double=("sleep_hours", *units.LIKERT), int=("scale_max", "srpe"), bigint=("athlete_id", "player_id")), *META)
 
 
 def stg_nutrition(bronze: DataFrame) -> DataFrame:
@@ -141,7 +181,8 @@ def stg_nutrition(bronze: DataFrame) -> DataFrame:
         "bronze_id", "measurement_id", "player_name", "team", casts.us_date(F.col("measured_on")).alias("measured_on"),
         "method", _d("weight").alias("weight_lbs"), "weight_unit", (F.col("weight_unit") == "kg").alias("weight_mislabeled"),
         _d("body_fat_pct").alias("body_fat_pct"), lean.alias("lean_mass_raw"),
-        (lean < units.LEAN_PCT_BELOW).alias("lean_mass_is_pct"), "hydration_status", *META)
+        (lean < units.LEAN_PCT_BELOW).alias("lean_mass_is_pct"), "hydration_status",
+        unparsable(double=("weight", "body_fat_pct", "lean_mass")), *META)
 
 
 def stg_emr_injuries(bronze: DataFrame) -> DataFrame:
@@ -171,14 +212,14 @@ def stg_open_meteo(bronze: DataFrame) -> DataFrame:
     return current(bronze, FORECAST).select(
         "bronze_id", "stadium", "team", local.alias("local_hour"),
         F.to_utc_timestamp(local.cast("timestamp"), F.col("timezone")).alias("hour_utc"),
-        *[_d(c).alias(n) for c, n in renamed.items()], F.col("weather_code").cast("double").cast("int").alias("weather_code"),
+        *[_d(c).alias(n) for c, n in renamed.items()], F.col("weather_code").try_cast("double").try_cast("int").alias("weather_code"),
         "_ingested_at")
 
 
 def stg_pbp(bronze: DataFrame) -> DataFrame:
     return current(bronze, PLAYS).select(
-        "bronze_id", "game_id", _d("play_id").cast("bigint").alias("play_id"), _i("season").alias("season"),
-        _i("week").alias("nfl_week"), F.left("game_date", F.lit(10)).cast("date").alias("game_date"), "posteam", "defteam",
+        "bronze_id", "game_id", _d("play_id").try_cast("bigint").alias("play_id"), _i("season").alias("season"),
+        _i("week").alias("nfl_week"), F.left("game_date", F.lit(10)).try_cast("date").alias("game_date"), "posteam", "defteam",
         "play_type", "passer_player_id", "rusher_player_id", "receiver_player_id",
         *[_d(c).alias(c) for c in ("epa", "qb_epa", "success", "yards_gained", "touchdown")])
 
@@ -188,7 +229,7 @@ def stg_snap_counts(bronze: DataFrame) -> DataFrame:
         "bronze_id", "game_id", "pfr_game_id", _i("season").alias("season"), _i("week").alias("nfl_week"), "game_type",
         F.col("player").alias("player_name"), "pfr_player_id", "position", "team", "opponent",
         *[e.alias(n) for side in ("offense", "defense", "st")
-          for e, n in ((_d(f"{side}_snaps").cast("int"), f"{side}_snaps"), (_d(f"{side}_pct"), f"{side}_pct"))])
+          for e, n in ((_d(f"{side}_snaps").try_cast("int"), f"{side}_snaps"), (_d(f"{side}_pct"), f"{side}_pct"))])
 
 
 STAGING = {f.__name__: f for f in (

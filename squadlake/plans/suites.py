@@ -1,77 +1,13 @@
-"""The expectation suites of the five feeds.
-
-Fixed values: sources, endpoints, columns, limits, value sets and patterns.
-Suites may also be loaded from JSON files of the same shape
-(``operators.quality.load_suites``).
-"""
+"""The expectation suites of the five feeds, read from the JSON files beside this module."""
 
 from __future__ import annotations
 
-from squadlake.operators.quality import BETWEEN, IN_SET, NOT_NULL, PAIR, REGEX, UNIQUE, Expectation, Suite
-
-
-def _not_null(c):
-    return Expectation(NOT_NULL, {"column": c})
-
-
-def _unique(c):
-    return Expectation(UNIQUE, {"column": c})
-
-
-def _in_set(c, *values):
-    return Expectation(IN_SET, {"column": c, "value_set": list(values)})
-
-
-def _between(c, low, high):
-    return Expectation(BETWEEN, {"column": c, "min_value": low, "max_value": high})
-
-
-def _regex(c, pattern):
-    return Expectation(REGEX, {"column": c, "regex": pattern})
-
-
-def _at_least(a, b):
-    return Expectation(PAIR, {"column_A": a, "column_B": b, "or_equal": True,
-                              "ignore_row_if": "either_value_is_missing"})
-
-
-TEAM = r"^[A-Z]{2,3}$"
-
-CATAPULT = Suite("catapult", "catapult", "/v1/sessions", "stg_catapult", (
-    _not_null("session_id"), _unique("session_id"), _regex("player_id", r"^cat_[0-9a-f]{8}$"),
-    _not_null("session_ts"), _in_set("session_type", "practice", "walkthrough", "game"),
-    _between("duration_min", 20, 180), _between("total_distance_m", 500, 12000),
-    _between("high_speed_distance_m", 0, 3000), _between("max_speed_ms", 3, 12),
-    _not_null("player_load"), _between("player_load", 100, 1000), _between("sprint_count", 0, 60)))
-
-EMR_INJURIES = Suite("emr_injuries", "emr", "/v1/injuries", "stg_emr_injuries", (
-    _not_null("injury_id"), _unique("injury_id"), _not_null("player"), _regex("team", TEAM),
-    _not_null("event_ts"), _not_null("body_part"), _in_set("side", "L", "R"),
-    _in_set("injury_type", "strain", "sprain", "contusion", "fracture", "concussion", "illness"),
-    _in_set("severity", "minor", "moderate", "major"), _at_least("expected_rtp", "event_date")))
-
-EMR_STATUS_UPDATES = Suite("emr_status_updates", "emr", "/v1/status_updates", "stg_emr_status_updates", (
-    _not_null("update_id"), _unique("update_id"), _not_null("injury_id"), _not_null("player"),
-    _not_null("updated_at"), _in_set("practice_status", "DNP", "LP", "FP"),
-    _in_set("game_status", "Out", "Doubtful", "Questionable")))
-
-FORCEDECK = Suite("forcedeck", "forcedeck", "/v1/tests", "stg_forcedeck", (
-    _not_null("test_id"), _unique("test_id"), _regex("athlete_gsis_id", r"^00-00\d{5}$"),
-    _not_null("test_ts"), _not_null("test_type"), _in_set("test_type", "CMJ", "IMTP", "DJ"),
-    _between("rep", 1, 3), _between("jump_height_cm", 5, 90), _between("peak_force_n", 800, 7000),
-    _between("rfd", 1000, 20000), _between("asymmetry_pct", -50, 50)))
-
-NUTRITION = Suite("nutrition", "nutrition", "/v1/measurements", "stg_nutrition", (
-    _not_null("measurement_id"), _unique("measurement_id"), _not_null("player_name"), _regex("team", TEAM),
-    _not_null("measured_on"), _in_set("method", "DEXA", "BIA", "scale"), _between("weight_lbs", 130, 420),
-    _between("body_fat_pct", 3, 40), _in_set("hydration_status", "hydrated", "mild", "dehydrated")))
+from importlib import resources
 
-WELLNESS = Suite("wellness", "ams_wellness", "/v1/surveys", "stg_wellness", (
-    _not_null("survey_id"), _unique("survey_id"), _not_null("nfl_id"), _not_null("submitted_at"),
-    _between("sleep_hours", 3, 12), _between("srpe", 0, 10), _between("sleep_quality", 1, 10),
-    *[_at_least("scale_max", c) for c in ("sleep_quality", "soreness", "fatigue", "stress", "mood")]))
+from squadlake.operators.quality import Suite, load_suites
 
-ALL_SUITES = (CATAPULT, EMR_INJURIES, EMR_STATUS_UPDATES, FORCEDECK, NUTRITION, WELLNESS)
+ALL_SUITES = tuple(load_suites(resources.files("squadlake.plans") / "suite_files"))
+CATAPULT, EMR_INJURIES, EMR_STATUS_UPDATES, FORCEDECK, NUTRITION, WELLNESS = ALL_SUITES
 
 
 def suites_for(source: str) -> list[Suite]:

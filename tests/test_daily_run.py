@@ -107,6 +107,29 @@ def world(spark, tmp_path_factory):
     return {"store": store, "first": first, "second": second, "before": before, "keys": keys}
 
 
+def changed(key, change):
+    """The feeds with one of them changed, or left out if ``change`` gives nothing."""
+    data = feeds()
+    docs = change(data.pop(key))
+    return {**data, **({key: docs} if docs else {})}
+
+
+@pytest.mark.parametrize("case", ["bad number", "all bad", "missing"])
+def test_a_broken_feed_does_not_stop_the_others(spark, tmp_path, case):
+    change = {"bad number": lambda docs: [{**d, "rep": "two"} if d["test_id"] == "t0" else d for d in docs],
+              "all bad": lambda docs: [{**d, "jump_height_cm": 150.0} for d in docs], "missing": lambda docs: []}[case]
+    table, store = BronzeTable(spark, str(tmp_path / "bronze")), TableStore(spark, str(tmp_path / "tables"))
+    land(spark, table, changed(("forcedeck", "/v1/tests"), change), "one")
+    done = daily_run.run(spark, table.read(), store, "first")
+    assert set(done.failed_sources) == ({"forcedeck"} if case == "all bad" else set())
+    summary = {r.source: r.reconciles for r in store.read("dq_run_summary").collect()}
+    assert {"catapult", "ams_wellness", "nutrition", "emr"} <= set(summary) and all(summary.values())
+    assert store.read("mart_player_week").count() > 0 and store.read("fact_strength").count() == (4 if case == "bad number" else 0)
+    if case == "bad number":
+        held = [r.reason for r in store.read("quarantine_dq_forcedeck").where(F.col("column_name") == quality.UNPARSABLE).collect()]
+        assert held == ["unparsable text: unparsable=rep=two"]
+
+
 def test_first_run_reconciles_every_source(world):
     runs = {r.source: r for r in world["store"].read("dq_run_summary").where("run_id = 'run-1'").collect()}
     assert set(runs) == {"forcedeck", "catapult", "ams_wellness", "nutrition", "emr"} and all(r.reconciles for r in runs.values())
