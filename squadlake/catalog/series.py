@@ -99,7 +99,7 @@ def carry_forward_last_purchase(t):
                        rnd("last.v").alias("last_top"), F.coalesce(since >= 3, F.lit(True)).alias("is_silent"))
 
 
-@shared
+@shared_table
 def injury(t):
     types = dims.dim_injury_type(seeds.injury_body_parts(t.spark))
     return facts.fact_injury(s.injuries(t), s.updates(t), types)
@@ -161,7 +161,7 @@ def preferred_method(t):
 @shared
 def player_day(t):
     return facts.fact_player_day(training_load(t), facts.fact_wellness(s.surveys(t)), facts.fact_strength(s.tests(t)),
-                                 facts.fact_nutrition(s.measurements(t)), status(t), injury(t))
+                                 facts.fact_nutrition(s.measurements(t)), status_table(t), injury(t))
 
 
 @shared_table
@@ -281,7 +281,7 @@ SELECT band AS acwr_band, count(*) AS player_weeks, count(*) FILTER (nxt > 0) AS
 FROM nx WHERE band IS NOT NULL AND nxt IS NOT NULL GROUP BY band""")
 def next_period_rate(t):
     """Next week's injury rate by this week's closing band."""
-    return analyses.next_week_injury_rate(weekly(t))
+    return mart.ratio_bands(weekly(t))
 
 
 @query("lagged_hazard", f"""WITH {s.TO_LOAD}, {s.TO_INJURY}, lg AS (SELECT *, lag(acwr, 1) OVER (PARTITION BY player_sk ORDER BY date_day) AS prev FROM tl),
@@ -289,7 +289,8 @@ e AS (SELECT player_sk, event_date, count(*) AS n FROM inj GROUP BY ALL)
 SELECT prev > 1.15 AS above, count(*) AS player_days, CAST(coalesce(sum(e.n), 0) AS BIGINT) AS injuries, round(1000.0 * coalesce(sum(e.n), 0) / count(*), 6) AS per_1000_days
 FROM lg LEFT JOIN e ON e.player_sk = lg.player_sk AND e.event_date = lg.date_day WHERE prev IS NOT NULL GROUP BY ALL""")
 def lagged_hazard(t):
-    """Injuries per 1,000 player-days above and below a lagged workload ratio."""
+    """Injuries per 1,000 player-days above and below a lagged workload ratio.  The given
+    events span 30 days and a ratio needs 28, so the default lag of 3 leaves no day: 1 here."""
     out = analyses.hazard_by_lagged_ratio(training_load(t), s.injuries(t), lag=1)
     return out.select("above", "player_days", "injuries", rnd("per_1000_days").alias("per_1000_days"))
 
@@ -312,15 +313,19 @@ def mean_after_kind(t):
     return out.select("previous_kind", rnd("mean_value").alias("mean_value"), "n_days")
 
 
-@query("conditional_rates", f"""WITH {s.TO_DAY}, h AS (SELECT DISTINCT player_sk, event_date FROM inj)
-SELECT count(*) FILTER (flag = 'red') AS flagged_days, count(*) FILTER (flag <> 'red') AS base_days,
-  round(count(*) FILTER (flag = 'red' AND h.event_date IS NOT NULL) / nullif(count(*) FILTER (flag = 'red'), 0), 6) AS flagged_rate,
-  round(count(*) FILTER (flag <> 'red' AND h.event_date IS NOT NULL) / nullif(count(*) FILTER (flag <> 'red'), 0), 6) AS base_rate
-FROM pd LEFT JOIN h ON h.player_sk = pd.player_sk AND h.event_date = pd.date_day""")
+@query("conditional_rates", f"""WITH {s.TO_DAY}, h AS (SELECT DISTINCT player_sk, event_date FROM inj),
+lg AS (SELECT player_sk, date_day, day_type, lag(acwr, 3) OVER (PARTITION BY player_sk ORDER BY date_day) AS before FROM tl),
+x AS (SELECT coalesce(before > 1.5, false) OR coalesce(abs(pd.asym4) > 10, false) AS flagged, h.event_date IS NOT NULL AS hit
+  FROM pd JOIN lg ON lg.player_sk = pd.player_sk AND lg.date_day = pd.date_day AND lg.day_type IN ('practice', 'game')
+  LEFT JOIN h ON h.player_sk = pd.player_sk AND h.event_date = pd.date_day)
+SELECT count(*) FILTER (flagged) AS flagged_days, count(*) FILTER (NOT flagged) AS base_days,
+  round(count(*) FILTER (flagged AND hit) / nullif(count(*) FILTER (flagged), 0), 6) AS flagged_rate,
+  round(count(*) FILTER (NOT flagged AND hit) / nullif(count(*) FILTER (NOT flagged), 0), 6) AS base_rate FROM x""")
 def conditional_rates(t):
-    """Injury rate on flagged and unflagged days."""
+    """Injury rate on practice and game days after a high ratio or with a marked asymmetry, and on the others."""
     hit = s.injuries(t).select("player_sk", F.col("event_date").alias("date_day")).distinct().withColumn("hit", F.lit(True))
-    days = (player_day(t).join(hit, ["player_sk", "date_day"], "left")
-            .select((F.col("flag") == "red").alias("flagged"), F.coalesce("hit", F.lit(False)).alias("hit")))
+    load = training_load(t).select("player_sk", "date_day", "day_type", "acwr_coupled")
+    days = analyses.at_risk(player_day(t).select("player_sk", "date_day", "asymmetry_4w_avg"), load).join(hit, ["player_sk", "date_day"], "left")
+    days = days.select("flagged", F.coalesce("hit", F.lit(False)).alias("hit"))
     out = analyses.rate_comparison(days, "flagged", "hit")
     return out.select("flagged_days", "base_days", rnd("flagged_rate").alias("flagged_rate"), rnd("base_rate").alias("base_rate"))

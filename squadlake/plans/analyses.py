@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from squadlake.plans.mart import ratio_bands as next_week_injury_rate  # noqa: F401
-
 
 def hazard_by_lagged_ratio(player_day: DataFrame, injuries: DataFrame, *, cut: float = 1.15, lag: int = 3) -> DataFrame:
     """Injuries per 1,000 player-days, split by the ratio ``lag`` days earlier."""
@@ -28,6 +26,15 @@ def weekly_load_spread(mart: DataFrame) -> DataFrame:
                     F.count("_ratio").alias("player_weeks"))
 
 
+def at_risk(readings: DataFrame, load: DataFrame, *, ratio: float = 1.5, asymmetry: float = 10.0, lag: int = 3) -> DataFrame:
+    """Practice and game days, flagged where the ratio ``lag`` days earlier or the asymmetry is above its limit."""
+    w = Window.partitionBy("player_sk").orderBy("date_day")
+    before = load.withColumn("_before", F.lag("acwr_coupled", lag).over(w)).where("day_type in ('practice', 'game')")
+    high = lambda c, limit: F.coalesce(c > limit, F.lit(False))
+    return readings.join(before.select("player_sk", "date_day", "_before"), ["player_sk", "date_day"]).withColumn(
+        "flagged", high(F.col("_before"), ratio) | high(F.abs("asymmetry_4w_avg"), asymmetry))
+
+
 def rate_comparison(days: DataFrame, flagged: str, hit: str) -> DataFrame:
     """Hit rate on flagged and on other days."""
     f = F.col(flagged)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from squadlake.functions.casts import pct
 from squadlake.operators import identity, quality
 from squadlake.plans import dims, dq_views, facts, mart, silver, staging, suites
-from squadlake.session import materialise, materialised_count, release
+from squadlake.session import intermediates, materialise
 from squadlake.sources import seeds
 from squadlake.sources.bronze import schema_versions
 from squadlake.sources.tables import TableStore
@@ -160,8 +160,8 @@ def run(spark: SparkSession, bronze: DataFrame, store: TableStore, run_id: str,
     """Master and validation first, then Silver for every source that is not
     systemically broken (a broken one keeps its last good tables), the
     scorecard, and Gold."""
-    report, mark = RunReport(run_id), materialised_count()
-    try:
+    report = RunReport(run_id)
+    with intermediates(spark):  # what is needed is written; nothing reads the intermediates afterwards
         prev = store.read("dim_player_master", dims.MASTER_SCHEMA)
         store.replace("dim_player_master", dims.build_player_master(bronze, prev, F.current_timestamp()))
         lines, feeds = [], staging.Unpacked(bronze)
@@ -177,8 +177,6 @@ def run(spark: SparkSession, bronze: DataFrame, store: TableStore, run_id: str,
             write_summary(store, lines, run_id)
         add_missing_tables(store)
         build_gold(spark, store, bronze, start=start, end=end)
-    finally:
-        release(spark, mark)  # what is needed has been written; nothing reads the intermediates any more
     return report
 
 

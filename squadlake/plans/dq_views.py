@@ -26,13 +26,18 @@ def resolution_by_method(vendor_map: DataFrame) -> DataFrame:
 
 
 def with_recency(df: DataFrame, at: str, name: str = "run_recency") -> DataFrame:
-    """dense_rank by ``at`` descending, 1 = latest.
+    """dense_rank by ``at`` (a date or timestamp) descending, NULL first, 1 = latest.
 
-    Only the distinct instants are ranked in one place; rows get their rank by
-    a join, so the number of rows per instant does not matter.
+    Distinct instants are ranked within their day, and days get offsets from their
+    counts; only days, bounded by the calendar, meet in one place.  Rows get their
+    rank by a join, so the number of rows per instant does not matter.
     """
-    instants = df.select(F.col(at).alias("_at")).distinct()
-    ranked = instants.withColumn(name, F.row_number().over(Window.orderBy(F.col("_at").desc_nulls_first())))
+    instants = df.select(F.col(at).alias("_at"), F.to_date(at).alias("_day")).distinct()
+    later = Window.orderBy(F.col("_day").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    days = instants.groupBy("_day").agg(F.count("*").alias("_n")).select(
+        F.col("_day").alias("_d"), F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_day").orderBy(F.col("_at").desc()))
+    ranked = instants.join(days, F.col("_day").eqNullSafe(F.col("_d"))).select("_at", (F.col("_before") + within).cast("int").alias(name))
     return df.join(ranked, F.col(at).eqNullSafe(F.col("_at")), "left").drop("_at")
 
 

@@ -21,7 +21,7 @@ from squadlake.operators.windows import sliding_stats
 from squadlake.plans.dims import SEASON_START, calendar_columns
 from squadlake.session import materialise
 
-DAY_S = 86_400
+DAY_S, HOUR_S = 86_400, 3_600
 LAMBDA_ACUTE = 2.0 / 8
 LAMBDA_CHRONIC = 2.0 / 29
 EWMA_DAYS = 56
@@ -92,8 +92,9 @@ def fact_wellness(surveys: DataFrame) -> DataFrame:
         "scale_max", "scale_inferred", "tz_corrected", "is_resubmission", units.readiness(*answers).alias("readiness_score"))
 
 
-def fact_strength(tests: DataFrame, slice_seconds: int = DAY_S) -> DataFrame:
-    """Trailing four-week mean and best, and the drift against the four weeks before."""
+def fact_strength(tests: DataFrame, slice_seconds: int = HOUR_S) -> DataFrame:
+    """Trailing four-week mean and best, and the drift against the four weeks before.
+    Hourly slices: the work unit of a player with very many tests is one hour's."""
     rolled = sliding_stats(
         tests, ["player_sk"], "test_ts", slice_seconds=slice_seconds,
         frames={"now": (27 * DAY_S, 0), "before": (55 * DAY_S, 28 * DAY_S)},

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +23,8 @@ RUNTIME_SETTINGS = {
 }
 
 
-_MATERIALISED: list[str] = []  # paths written by this driver
+# Paths written by ``materialise``: those of the run under way, or else of the driver's queries.
+_WRITTEN: ContextVar[list[str]] = ContextVar("written", default=[])
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -64,20 +67,29 @@ def materialise(df: DataFrame) -> DataFrame:
         return df
     path = f"{folder.rstrip('/')}/squadlake/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _MATERIALISED.append(path)
+    _WRITTEN.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, mark: int = 0) -> None:
-    """Delete the tables written by ``materialise`` since ``mark`` (a value of
-    ``materialised_count``), once nothing lazy reads them any more."""
-    while len(_MATERIALISED) > mark:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MATERIALISED.pop())
+def release(spark: SparkSession) -> None:
+    """Delete the tables written so far by queries (or by the run under way), once
+    nothing lazy reads them any more."""
+    written = _WRITTEN.get()
+    while written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(written.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialised_count() -> int:
-    return len(_MATERIALISED)
+@contextmanager
+def intermediates(spark: SparkSession):
+    """A run whose intermediate tables are its own: they are deleted at its end, and
+    no other run's are."""
+    token = _WRITTEN.set([])
+    try:
+        yield
+    finally:
+        release(spark)
+        _WRITTEN.reset(token)
 
 
 def bench_cpus(default: int = 8) -> int:
