@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from squadlake.llm.bloom import bloom_of, may_hold
@@ -41,6 +41,8 @@ MAX_FREQUENT = 1 << 20  # keys in the list of frequent ones: 9 MB
 TOP_COUNT = 4096  # counts from here on are alike
 KEY_BITS = np.uint64(58)
 SKETCH_WORDS = 32  # 2048 bits: tells sets of up to some thousand n-grams apart
+SET_ROWS = "64"  # of an Arrow batch: a long document's set takes some hundred kilobytes
+BLOCK_SETS = 2048  # of one key that meet in a task
 SALT_ROWS = 2000  # sets compared with one copy of a leader's
 
 
@@ -252,6 +254,61 @@ def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                        & ((100 + percent) * flipped <= (100 - percent) * (F.col("u_size") + F.col("v_size")))).select("u", "v")
 
 
+def near_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u > v) under one key, in different components, which sizes and sketches
+    allow.  ``members``: key, n (sets under the key), u, label.
+
+    The other pairs are never rows: a key's sketches meet as matrices.  Keys of more
+    than BLOCK_SETS sets are cut into blocks, and each two blocks meet in a group.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK_SETS).cast("int")
+    mine = F.pmod(F.xxhash64("u"), blocks).cast("int")
+    dealt = members.join(sketches.dropDuplicates(["name"]), F.col("u") == F.col("name")).select(
+        "key", "u", "label", "size", "sketch", mine.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "u", "label", "size", "sketch")
+
+    def compare(group: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        own, name, label, size, sketch = group
+        step = max(1, (32 << 20) // (len(name) * SKETCH_WORDS * 8))
+        for a in range(0, len(name), step):
+            part = slice(a, a + step)
+            flipped = np.bitwise_count(sketch[part, None] ^ sketch[None]).sum(axis=2, dtype=np.int64)
+            total = size[part, None] + size[None]
+            fits = (name[part, None] > name[None]) & (label[part, None] != label[None]) & ((100 + percent) * flipped <= (100 - percent) * total)
+            fits &= 100 * np.minimum(size[part, None], size[None]) >= percent * np.maximum(size[part, None], size[None])
+            if own[0] != own[-1] or (own != own[0]).any():
+                fits &= own[part, None] != own[None]
+            x, y = np.nonzero(fits)
+            yield name[a + x], name[y]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        last = None
+
+        def meet() -> Iterator[pa.RecordBatch]:
+            for u, v in compare([np.concatenate(column) for column in zip(*held)]):
+                if len(u):
+                    yield _batch(u=u, v=v)
+
+        for batch in batches:
+            key, i, j, own, name, label, size = (batch.column(c).to_numpy() for c in range(7))
+            sketch = batch.column(7).flatten().to_numpy().view(np.uint64).reshape(len(key), SKETCH_WORDS)
+            edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(key)]):
+                if a == b:
+                    continue
+                here = (key[a], i[a], j[a])
+                if here != last and held:
+                    yield from meet()
+                    held = []
+                last = here
+                held.append([own[a:b], name[a:b], label[a:b], size[a:b], sketch[a:b]])
+        if held:
+            yield from meet()
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets are similar enough.
 
@@ -310,31 +367,30 @@ def classes(docs: DataFrame, scratch: Scratch, ngram: int = NGRAM, percent: int
         near = scratch.keep(possible(pairs, sketches, percent), "possible")
         needed = scratch.keep(copies.join(near.select(F.explode(F.array("u", "v")).alias("name")).distinct(), "name", "left_semi"), "needed")
         sets = scratch.keep(chosen_sets(docs, needed, needed.count(), ngram, "grams"), "sets")
-        links = scratch.keep(linked(near, sets, percent), "links")
+        links = scratch.keep(linked(near, sets, percent), "links", SET_ROWS)
         scratch.drop(sets)
         return links
 
-    # First every set with the one leader that it shares most keys with.
-    best = Window.partitionBy("u").orderBy(F.desc("times"), "v")
-    led = shared.where("name <> leader").groupBy(F.col("name").alias("u"), F.col("leader").alias("v")).agg(F.count("*").alias("times"))
-    tested = scratch.keep(led.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select("u", "v"), "pairs")
+    # First every set with its keys' leaders: of a key's sets the one that shares most
+    # of its own keys, as an original does that others were copied from.
+    standing = shared.groupBy("name").agg(F.count("*").alias("_shares"))
+    rank = F.shiftleft("_shares", 40).bitwiseOR(F.shiftrightunsigned("name", 24))
+    leaders = scratch.keep(shared.select("key", "name").join(standing, "name").groupBy("key").agg(
+        F.max_by("name", rank).alias("v"), F.count("*").alias("n")), "leaders")
+    led = shared.select("key", F.col("name").alias("u")).join(leaders, "key")
+    tested = scratch.keep(led.where("u <> v").select("u", "v").distinct(), "pairs")
     links = test(tested)
     labels = scratch.keep(components(links, scratch), "labels")
-    for step in ("leaders", "all"):
-        named = shared.join(labels, shared.name == labels.node, "left").select("key", "name", "leader", F.coalesce("label", "name").alias("label"))
-        open_keys = named.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("key")
-        left = scratch.keep(named.join(open_keys, "key", "left_semi"), "open")
-        if step == "leaders":
-            heads = left.where("name = leader").select("key", F.col("label").alias("v_label"))
-            pairs = left.where("name <> leader").join(heads, "key").where("label <> v_label").select(F.col("name").alias("u"), F.col("leader").alias("v"))
-        else:
-            other = left.select("key", F.col("name").alias("v"), F.col("label").alias("v_label"))
-            pairs = left.select("key", F.col("name").alias("u"), "label").join(other, "key").where("u > v and label <> v_label").select("u", "v")
-        pairs = scratch.keep(pairs.distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        tested, links = tested.union(pairs), links.union(test(pairs))
-        labels = scratch.keep(components(links, scratch), "labels")
+
+    # Then, under keys of three sets or more, whatever is still in different components.
+    larger = led.where("n > 2").join(labels, F.col("u") == F.col("node"), "left").select("key", "n", "u", F.coalesce("label", "u").alias("label"))
+    apart = larger.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("key")
+    left = scratch.keep(larger.join(apart, "key", "left_semi"), "open")
+    pairs = near_pairs(left, sketches, percent)
+    done = tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    pairs = scratch.keep(pairs.distinct().join(done, ["u", "v"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        labels = scratch.keep(components(links.union(test(pairs)), scratch), "labels")
 
     placed = rows.join(labels, rows.name == labels.node, "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "name").alias("label"))

@@ -48,7 +48,7 @@ class Scratch:
         self.spark = spark
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         self.root = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-        self.out = f"{shared_folder(spark)}/llm-result-{uuid.uuid4().hex}"
+        self.results: list[str] = []
 
     def __enter__(self) -> Scratch:
         return self
@@ -59,13 +59,17 @@ class Scratch:
     def folder(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
 
-    def _stored(self, df: DataFrame, path: str, by: tuple[str, ...]) -> DataFrame:
-        writer = df.write.partitionBy(*by) if by else df.write
-        writer.parquet(path)
+    def _stored(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def keep(self, df: DataFrame, name: str = "table", by: tuple[str, ...] = ()) -> DataFrame:
-        return self._stored(df, self.folder(name), by)
+    def keep(self, df: DataFrame, name: str = "table", batch_rows: str = BATCH_ROWS) -> DataFrame:
+        """Store ``df``; ``batch_rows`` is for rows much wider or narrower than a text."""
+        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
+        try:
+            return self._stored(df, self.folder(name))
+        finally:
+            self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     def drop(self, df: DataFrame) -> None:
         """Delete a kept table that nothing lazy reads any more."""
@@ -74,5 +78,7 @@ class Scratch:
                 delete_folder(self.spark, path)
 
     def result(self, df: DataFrame) -> DataFrame:
-        _RESULTS.append(self.out)
-        return self._stored(df, self.out, ())
+        path = f"{shared_folder(self.spark)}/llm-result-{uuid.uuid4().hex}"
+        self.results.append(path)
+        _RESULTS.append(path)
+        return self._stored(df, path)

@@ -1,25 +1,37 @@
 """Vectorised work on whole Arrow string columns inside Python workers.
 
-Texts are handled in chunks of whole documents (about a megabyte, or one longer
-document), as one byte array with offsets; words and lines are spans of it.
+Texts are handled in chunks of whole documents (a quarter of a megabyte, or one
+longer document), as one byte array with offsets; words and lines are spans of it.
 A span's 64-bit hash is a polynomial over scrambled bytes, taken for all spans at
 once from one running sum, and mixed with the span's length.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 GRAM = np.uint64(0xD6E8FEB86659FD93)
 LENGTH = np.uint64(0xA0761D6478BD642F)
 
 
+def hand_back_memory() -> None:
+    """Free what a worker's earlier tasks left.  Functions shipped by value and the dict
+    of their globals are cycles, which hold broadcast values until they are collected."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
@@ -72,6 +84,7 @@ class SpanHasher:
     """Hashes of spans of a byte (or code point) array."""
 
     def __init__(self, fold_case: bool = False):
+        hand_back_memory()  # one of these is made at a task's start
         self.values = byte_values(fold_case)
         self.powers = np.ones(1, dtype=np.uint64)
         self.inverses = np.ones(1, dtype=np.uint64)
@@ -80,7 +93,7 @@ class SpanHasher:
         if n > len(self.powers):
             with np.errstate(over="ignore"):
                 for name, base in (("powers", BASE), ("inverses", BASE_INVERSE)):
-                    table = np.full(n + CHUNK_BYTES // 4, base, dtype=np.uint64)
+                    table = np.full(n + CHUNK_BYTES, base, dtype=np.uint64)
                     table[0] = 1
                     setattr(self, name, np.cumprod(table, dtype=np.uint64))
 
