@@ -90,5 +90,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = scratch.result(stage(spark, docs, sf_dir))
         if before:
             delete_folder(spark, before)
-        before = scratch.out
+        before = scratch.results[-1]
     return docs
