@@ -58,18 +58,22 @@ def _distances(points: np.ndarray, pivot: np.ndarray) -> np.ndarray:
 
 
 def _grouped(points: np.ndarray, members: np.ndarray, size: int) -> list[np.ndarray]:
-    """Split ``members`` into groups of at most ``size``: around far pivots, halving
-    by distance where a group stays too large."""
-    if len(members) <= size:
-        return [members]
-    first = members[int(_distances(points[members], points[members[0]]).argmax())]
-    d = _distances(points[members], points[first])
-    second = members[int(d.argmax())]
-    nearer = d <= _distances(points[members], points[second])
-    if nearer.all() or not nearer.any():
-        half = len(members) // 2
-        return _grouped(points, members[:half], size) + _grouped(points, members[half:], size)
-    return _grouped(points, members[nearer], size) + _grouped(points, members[~nearer], size)
+    """Split ``members`` into groups of at most ``size``: by the nearer of two far
+    pivots, or by the distance from one of them where that would split few off."""
+    done, todo = [], [members]
+    while todo:
+        group = todo.pop()
+        if len(group) <= size:
+            done.append(group)
+            continue
+        first = group[int(_distances(points[group], points[group[0]]).argmax())]
+        d = _distances(points[group], points[first])
+        nearer = d <= _distances(points[group], points[group[int(d.argmax())]])
+        if not len(group) / 10 <= nearer.sum() <= len(group) * 0.9:
+            nearer = np.zeros(len(group), dtype=bool)
+            nearer[np.argsort(d, kind="stable")[:len(group) // 2]] = True
+        todo += [group[nearer], group[~nearer]]
+    return done
 
 
 def _raised(vectors: np.ndarray, norm: float) -> np.ndarray:
