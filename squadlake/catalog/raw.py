@@ -11,10 +11,11 @@ from squadlake.catalog import feeds as f
 from squadlake.catalog.registry import query, rnd, shaped, shared, stamp
 from squadlake.catalog.shapes import EV, ev, measure
 from squadlake.operators import identity, quality
-from squadlake.operators.dedup import dedup_counts
+from squadlake.operators.dedup import dedup_counts, last_wins
 from squadlake.plans import dq_views, silver, staging, suites
 from squadlake.session import work_folder
 from squadlake.sources import bronze as b
+from squadlake.sources.tables import TableStore
 
 RUN = "r1"
 
@@ -59,6 +60,36 @@ def land_snapshot_unseen(t):
     return new.groupBy(F.get_json_object("payload", "$.user_id").cast("bigint").alias("user_id")).agg(F.count("*").alias("new_rows"))
 
 
+@query("fetch_projected", f"""WITH {EV} SELECT DISTINCT user_id, k FROM ev e WHERE event_id % 2 = 1
+  AND NOT EXISTS (SELECT 1 FROM ev s WHERE s.event_id % 2 = 0 AND s.user_id = e.user_id AND s.k = e.k)""")
+def fetch_projected(t):
+    """Two streams of one source landed with only the columns that are used; one of them fetched back."""
+    table = landed_table(t)
+    for number, endpoint in enumerate(("/even", "/odd")):
+        part = b.project_at_ingest(ev(t).where(F.col("event_id") % 2 == number), ["user_id", "k"])
+        table.land(b.records_json(part), source="s", endpoint=endpoint, batch_id=endpoint)
+    fields = F.from_json("payload", "user_id bigint, k int")
+    return table.fetch("s", "/odd").select(fields.alias("p")).select("p.*")
+
+
+@query("replace_table", """SELECT n_nationkey, CAST(n_nationkey + 2 AS BIGINT) AS n FROM nation""")
+def replace_table(t):
+    """A table rebuilt from itself twice; readers see the last committed version."""
+    store = TableStore(t.spark, work_folder(t.spark))
+    store.replace("n", t.nation.select("n_nationkey", F.col("n_nationkey").cast("bigint").alias("n")))
+    for _ in range(2):
+        store.replace("n", store.read("n").withColumn("n", F.col("n") + 1))
+    return store.read("n")
+
+
+@query("crosswalk_last_wins", f"""WITH {EV}, c AS (SELECT event_id, ts, user_id AS code, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 5 = 1 THEN '' ELSE 'p' || user_id % 40 END AS key FROM ev)
+SELECT key, event_id, code FROM c WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) = 1""")
+def crosswalk_last_wins(t):
+    """Crosswalk rows without a key are dropped, the most recent row per key stays."""
+    key = F.when(F.col("k") % 5 == 0, F.lit(None)).when(F.col("k") % 5 == 1, "").otherwise(F.concat(F.lit("p"), F.col("user_id") % 40))
+    return last_wins(ev(t).withColumn("key", key), "key", ("ts", "event_id")).select("key", "event_id", F.col("user_id").alias("code"))
+
+
 @query("explode_columnar", """SELECT o_orderkey, strftime(o_orderdate + to_days(CAST(i AS INTEGER)), '%Y-%m-%d') AS time, round(o_totalprice / (i + 1), 6) AS price, o_custkey AS station, 'USD' AS unit
 FROM orders, (VALUES (0), (1), (2)) v(i)""")
 def explode_columnar(t):
@@ -253,6 +284,15 @@ def expectation_results(t):
     return out.select("expectation_name", "column_name", "element_count", "unexpected_count", rnd("unexpected_percent").alias("unexpected_percent"), "success", "systemic")
 
 
+@query("result_history", "SELECT run_id, expectation_name, column_name, element_count, unexpected_count FROM (VALUES ('r1'), ('r2')) runs(run_id), (\n"
+       f"WITH {EV}, {f.FORCEDECK}\n" + _result_sql("fdn", FORCEDECK_CHECKS) + ")")
+def result_history(t):
+    """Results of two runs; the first run repeated replaces its own rows."""
+    runs = [quality.Validation(checked(t, suites.FORCEDECK).source_frame, suites.FORCEDECK, run).results() for run in ("r1", "r2", "r1")]
+    history = reduce(quality.upsert_results, runs)
+    return history.select("run_id", "expectation_name", "column_name", "element_count", "unexpected_count")
+
+
 @query("quarantine_rows", f"""WITH {EV}, {f.FORCEDECK}
 SELECT bronze_id, 'test_type' AS column_name, 'test_type=null' AS observed_value, 'test_type is null: test_type=null' AS reason FROM fdn WHERE test_type IS NULL
 UNION ALL SELECT bronze_id, 'rep', 'rep=' || rep, 'rep outside 1..3: rep=' || rep FROM fdn WHERE rep NOT BETWEEN 1 AND 3
