@@ -1,4 +1,5 @@
-"""Line deduplication within one edit, by a deletion-neighbourhood join.
+"""Line deduplication within one edit, or for long lines within a few words, by a
+deletion-neighbourhood join.
 
 Two lines within one edit either have a variant in common that lacks one
 character at the same place of both (a substitution), or one line is the other
@@ -14,10 +15,19 @@ their hashes beforehand and count once.
 A key's lines are not paired off: with one character deleted at one place they
 are all within one substitution of the earliest, and a line without a character
 is within one edit of all from which it comes.
+
+For long lines words are the unit as well: a line of n words may differ from the
+shorter one in n // ``words_per_edit`` words, ``word_edits`` at most.  Of k + 1
+segments of the shorter line one stays whole under k edits, so lines that share a
+segment at fitting places are candidates.  Few lines under a segment are paired
+off; of many, all variants are keys.  A variant has gaps of a cost each, k in all,
+where at most that many words were deleted: lines that share one are within k
+edits, so again the earliest is enough.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +41,9 @@ from squadlake.llm.shared import Scratch
 from squadlake.llm.textblocks import LENGTH, SpanHasher, column_of, mix, text_chunks
 
 MIN_CHARS = 20  # shorter lines are only compared for equality
+WORD_EDITS = 2  # words in which a long line may differ, at most
+WORDS_PER_EDIT = 16  # words that a line needs for each of them
+FEW = 128  # lines under a shared segment that are paired off
 LAST = np.iinfo(np.int64).max  # the position of documents without an id
 _SECOND = np.uint64(0x2545F4914F6CDD1D)
 
@@ -45,6 +58,22 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return points, before[offsets]
 
 
+def word_spans(points: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of code points over a space; ``edges`` break runs too."""
+    ink = points > 0x20
+    opens, closes = ink.copy(), ink.copy()
+    opens[1:] &= ~ink[:-1]
+    closes[:-1] &= ~ink[1:]
+    first, last = edges[edges < len(points)], edges[edges > 0] - 1
+    opens[first], closes[last] = ink[first], ink[last]
+    return np.flatnonzero(opens), np.flatnonzero(closes) + 1
+
+
+def word_bound(words: np.ndarray | int, word_edits: int, words_per_edit: int):
+    """Words in which two lines may differ, the shorter one of ``words`` words."""
+    return np.minimum(np.maximum(words, 0) // words_per_edit, word_edits)
+
+
 class Lines:
     """The lines of a chunk of texts: spans of code points with two hashes each."""
 
@@ -84,6 +113,27 @@ class Lines:
         return [mix(self.spans(starts, starts + half) ^ tag) & ~np.uint64(1), mix(self.spans(ends - (shorter - half), ends) ^ tag) | np.uint64(1)]
 
 
+    def segment_keys(self, chosen: np.ndarray, word_edits: int, words_per_edit: int) -> tuple[np.ndarray, np.ndarray]:
+        """(line, key) for the segments by which a line meets those within its word bound:
+        one is whole, and shifted by no more words than edits lie on either side of it."""
+        starts, ends = word_spans(self.points, self.starts)
+        running = self.hasher.running(self.spans(starts, ends))
+        first = np.searchsorted(starts, self.starts[chosen])
+        size = np.searchsorted(starts, self.ends[chosen]) - first
+        lines, keys = [chosen[:0]], [self.hash[:0]]
+        for k in range(1, word_edits + 1):
+            for longer in range(k + 1):
+                at = np.flatnonzero(word_bound(size - longer, word_edits, words_per_edit) == k)
+                shorter = size[at] - longer
+                for j in range(k + 1):
+                    tag = mix(shorter.astype(np.uint64) * np.uint64(1024) + np.uint64(j))
+                    low, high = first[at] + shorter * j // (k + 1), first[at] + shorter * (j + 1) // (k + 1)
+                    for shift in range(max(-j, longer - (k - j)), min(j, longer + (k - j)) + 1):
+                        lines.append(chosen[at])
+                        keys.append(mix(self.hasher.raw_spans(running, low + shift, high + shift) ^ tag))
+        return np.concatenate(lines), np.concatenate(keys)
+
+
 def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns.values()],
                                       names=list(columns))
@@ -93,8 +143,9 @@ def _positions(doc_ids: pa.Array) -> np.ndarray:
     return doc_ids.cast(pa.int64()).fill_null(LAST).to_numpy()
 
 
-def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Rows (hash, mark, position) for lines, and rows (key, hash) for their halves."""
+def line_keys(docs: DataFrame, min_chars: int, word_edits: int, words_per_edit: int) -> DataFrame:
+    """Rows (hash, mark, position) for lines, rows (key, hash) for their halves, and rows
+    (seed, hash) for segments of long ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
         for batch in batches:
@@ -103,15 +154,18 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
                 lines = Lines(hasher, data, offsets)
                 at = np.flatnonzero(lines.filled)
                 none = pa.nulls(len(at), pa.int64())
-                yield _batch(hash=lines.hash[at], mark=lines.check[at], position=positions[low + lines.text[at]], key=none)
+                yield _batch(hash=lines.hash[at], mark=lines.check[at], position=positions[low + lines.text[at]], key=none, seed=none)
                 once = lines.filled & ~lines.repeated
                 for shift in (0, 1):
                     at = np.flatnonzero(once & (lines.size >= min_chars + shift))
                     none = pa.nulls(len(at), pa.int64())
                     for keys in lines.half_keys(at, lines.size[at] - shift):
-                        yield _batch(hash=lines.hash[at], mark=none, position=none, key=keys)
+                        yield _batch(hash=lines.hash[at], mark=none, position=none, key=keys, seed=none)
+                at, keys = lines.segment_keys(np.flatnonzero(once & (lines.size >= min_chars)), word_edits, words_per_edit)
+                none = pa.nulls(len(at), pa.int64())
+                yield _batch(hash=lines.hash[at], mark=none, position=none, key=none, seed=keys)
 
-    return docs.mapInArrow(run, "hash long, mark long, position long, key long")
+    return docs.mapInArrow(run, "hash long, mark long, position long, key long, seed long")
 
 
 def spots(first: DataFrame) -> DataFrame:
@@ -201,15 +255,103 @@ def within_one_edit(a: str, b: str) -> bool:
     return a[front + (len(a) == len(b)):] == b[front + 1:]
 
 
-def close_pairs(pairs: DataFrame) -> DataFrame:
+def words_of(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x20]+", text)
+
+
+def within_edits(a: list[str], b: list[str], k: int) -> bool:
+    if abs(len(a) - len(b)) > k:
+        return False
+    front = 0
+    while front < min(len(a), len(b)) and a[front] == b[front]:
+        front += 1
+    a, b = a[front:], b[front:]
+    if not k or not a or not b:
+        return len(a) <= k and len(b) <= k
+    return within_edits(a[1:], b[1:], k - 1) or within_edits(a[1:], b, k - 1) or within_edits(a, b[1:], k - 1)
+
+
+def close_lines(word_edits: int, words_per_edit: int):
+    def close(a: str, b: str) -> bool:
+        a, b = words_of(a), words_of(b)
+        k = int(word_bound(min(len(a), len(b)), word_edits, words_per_edit))
+        return k > 0 and within_edits(a, b, k)
+
+    return close
+
+
+def gap_keys(words: np.ndarray, hasher: SpanHasher, k: int) -> Iterator[np.ndarray]:
+    """Keys of a line's words (hashes) for all choices of gaps that cost ``k`` in all.  A gap
+    of cost c stands for up to c deleted words; kept words lie between two gaps."""
+    n = len(words)
+    running = hasher.running(words)
+
+    def gaps(total: np.uint64, done: int, cut: int, left: int) -> Iterator[np.ndarray]:
+        for cost in range(1, left + 1):
+            for deleted in range(cost + 1):
+                at = np.arange(done + (left < k), n - deleted + 1)
+                marks = mix((at - cut).astype(np.uint64) * np.uint64(64) + np.uint64(cost))
+                before = total + (running[at] - running[done]) * hasher.inverses[cut] + marks
+                if cost == left:
+                    rest = (running[n] - running[at + deleted]) * hasher.inverses[cut + deleted]
+                    yield mix(before + rest + np.uint64(n - cut - deleted) * LENGTH) ^ np.uint64(k)
+                else:
+                    for place, value in zip(at.tolist(), before):
+                        yield from gaps(value, place + deleted, cut + deleted, left - cost)
+
+    with np.errstate(over="ignore"):
+        yield from gaps(np.uint64(0), 0, 0, k)
+
+
+def word_neighbourhoods(lines: DataFrame, word_edits: int, words_per_edit: int) -> DataFrame:
+    """(key, name) of all variants of the lines (hash, text), for each bound that a line
+    has with lines of as many words or a few less."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = SpanHasher()
+        for batch in batches:
+            for name, text in zip(*(column_of(batch, c).to_pylist() for c in ("hash", "text"))):
+                points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+                starts, ends = word_spans(points, np.zeros(0, dtype=np.int64))
+                words = mix(hasher.raw_spans(hasher.running(_values(points)), starts, ends) + (ends - starts).astype(np.uint64) * LENGTH)
+                bounds = {int(word_bound(len(words) - less, word_edits, words_per_edit)) for less in range(word_edits + 1)}
+                for k in bounds - {0}:
+                    for keys in gap_keys(words, hasher, k):
+                        yield _batch(key=keys, name=np.full(len(keys), name))
+
+    return lines.select("hash", "text").mapInArrow(run, "key long, name long")
+
+
+def word_repeats(lines: DataFrame, seeds: DataFrame, scratch: Scratch, word_edits: int, words_per_edit: int) -> DataFrame:
+    """Hashes of the lines within their word bound of an earlier one; ``lines``: hash, text,
+    position, line; ``seeds``: (key, name) of the segments that lines share."""
+    sized = seeds.join(seeds.groupBy("key").agg(F.count("*").alias("n")), "key")
+    few = sized.where(F.col("n") <= FEW)
+    pairs = few.select("key", F.col("name").alias("a")).join(few.select("key", F.col("name").alias("b")), "key").where("a < b").select("a", "b")
+    many = scratch.keep(lines.join(sized.where(F.col("n") > FEW).select(F.col("name").alias("hash")), "hash", "left_semi"), "many")
+    if not many.isEmpty():
+        keys = scratch.keep(shared_keys(word_neighbourhoods(many, word_edits, words_per_edit)).select("key", F.col("name").alias("hash")), "gaps")
+        placed = keys.join(many.select("hash", F.struct("position", "line", "hash").alias("place")), "hash")
+        heads = placed.groupBy("key").agg(F.min("place").alias("head")).select("key", F.col("head.hash").alias("b"))
+        pairs = pairs.union(placed.join(heads, "key").where("hash <> b").select(F.col("hash").alias("a"), "b"))
+    return later_of(pairs, lines, close_lines(word_edits, words_per_edit))
+
+
+def close_pairs(pairs: DataFrame, close=within_one_edit) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [within_one_edit(a, b) for a, b in zip(column_of(batch, "a_text").to_pylist(), column_of(batch, "b_text").to_pylist())]
+            near = [close(a, b) for a, b in zip(column_of(batch, "a_text").to_pylist(), column_of(batch, "b_text").to_pylist())]
             yield batch.select(["later"]).filter(pa.array(near, pa.bool_()))
 
     return pairs.mapInArrow(run, "later long")
 
 
+def later_of(pairs: DataFrame, lines: DataFrame, close) -> DataFrame:
+    """The later line of each of the pairs (a, b) that are close."""
+    a, b = (lines.select(F.col("hash").alias(s), F.struct("position", "line", "hash").alias(f"{s}_place"), F.col("text").alias(f"{s}_text")) for s in "ab")
+    pairs = pairs.distinct().join(a, "a").join(b, "b")
+    return close_pairs(pairs.select("a_text", "b_text", F.when(F.col("a_place") > F.col("b_place"), F.col("a")).otherwise(F.col("b")).alias("later")), close).distinct()
+
+
 def near_repeats(lines: DataFrame, scratch: Scratch) -> DataFrame:
     """Hashes of the lines within one edit of an earlier one; ``lines``: hash, text,
     front, back and the place (position, line) of the first of its kind."""
@@ -223,19 +365,21 @@ def near_repeats(lines: DataFrame, scratch: Scratch) -> DataFrame:
     strings = placed.where(~odd)
     whole = strings.where("key = whole").select("key", F.col("hash").alias("b"))
     shorter = strings.where("key <> whole").select("key", F.col("hash").alias("a")).join(whole, "key").select("a", "b")
-    a, b = (lines.select(F.col("hash").alias(s), F.struct("position", "line", "hash").alias(f"{s}_place"), F.col("text").alias(f"{s}_text")) for s in "ab")
-    pairs = same_length.union(shorter).distinct().join(a, "a").join(b, "b")
-    return close_pairs(pairs.select("a_text", "b_text", F.when(F.col("a_place") > F.col("b_place"), F.col("a")).otherwise(F.col("b")).alias("later"))).distinct()
+    return later_of(same_length.union(shorter), lines, within_one_edit)
 
 
-def dropped_lines(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS, word_edits: int = WORD_EDITS,
+                  words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """(doc_id, tie, dropped): the numbers of the lines to drop, for documents with any."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    keys = scratch.keep(line_keys(docs.drop("tie"), min_chars), "lines")
+    keys = scratch.keep(line_keys(docs.drop("tie"), min_chars, word_edits, words_per_edit), "lines")
     halves = shared_keys(keys.where("key is not null").select("key", F.col("hash").alias("name")))
     is_back = F.col("key").bitwiseAND(1) == 1
-    near = scratch.keep(halves.groupBy(F.col("name").alias("hash")).agg(F.bool_or(~is_back).alias("front"), F.bool_or(is_back).alias("back")), "near")
-    counted = keys.where("key is null").groupBy("hash", "mark").agg(F.count("*").alias("n"), F.min("position").alias("first"))
+    seeds = scratch.keep(shared_keys(keys.where("seed is not null").select(F.col("seed").alias("key"), F.col("hash").alias("name"))).select("key", "name"), "seeds")
+    marked = halves.select("name", (~is_back).alias("front"), is_back.alias("back"), F.lit(False).alias("words")).union(
+        seeds.select("name", F.lit(False), F.lit(False), F.lit(True)))
+    near = scratch.keep(marked.groupBy(F.col("name").alias("hash")).agg(*[F.bool_or(c).alias(c) for c in ("front", "back", "words")]), "near")
+    counted = keys.where("mark is not null").groupBy("hash", "mark").agg(F.count("*").alias("n"), F.min("position").alias("first"))
     counted = counted.join(near.select("hash", F.lit(True).alias("near")), "hash", "left").where("n > 1 or near")
     known = scratch.keep(counted, "known")
     scratch.drop(keys)
@@ -245,8 +389,9 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS)
     gone = known.where("false").select(F.col("hash").alias("later"))
     if n_near:
         firsts = found.where("text is not null").join(maybe_near.select("hash", "mark", F.col("first").alias("position")), ["hash", "mark", "position"], "left_semi")
-        lines = scratch.keep(firsts.dropDuplicates(["hash"]).join(near, "hash").select("hash", "text", "position", "line", "front", "back"), "texts")
-        gone = scratch.keep(near_repeats(lines, scratch), "gone")
+        lines = scratch.keep(firsts.dropDuplicates(["hash"]).join(near, "hash").select("hash", "text", "position", "line", "front", "back", "words"), "texts")
+        by_words = word_repeats(lines.where("words"), seeds, scratch, word_edits, words_per_edit)
+        gone = scratch.keep(near_repeats(lines.where("front or back"), scratch).union(by_words).distinct(), "gone")
     known = known.join(gone.withColumn("gone", F.lit(True)), known.hash == gone.later, "left").select("hash", "mark", "first", "gone")
     hit = found.drop("text").join(known, ["hash", "mark"], "left").where("repeated or position > first or gone")
     return hit.groupBy("doc_id", "tie").agg(F.collect_set("line").alias("dropped"))
@@ -267,14 +412,16 @@ def without_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
     }).drop("_id", "_tie", "_dropped", "_text_hash")
 
 
-def without_repeats(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeats(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS, word_edits: int = WORD_EDITS,
+                    words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """``docs`` without repeated and nearly repeated lines, and with n_lines and n_dropped.
 
     Of equal lines, and of lines of ``min_chars`` characters or more within one
-    edit of each other, the earliest stays: that of the least doc_id (documents
+    edit of each other, or within their word bound (one word for every
+    ``words_per_edit`` of the shorter line, ``word_edits`` at most, 0 for none), the earliest stays: that of the least doc_id (documents
     without an id come last), then the first in the text.  A line goes if any
     earlier line is close to it, whether that one stays or not.  Blank lines always
     stay.  Rows that share a doc_id stand at one place: a line that two of them
     hold stays in both.  Null texts stay null and have no lines.
     """
-    return without_lines(docs, scratch.result(dropped_lines(docs, scratch, min_chars)))
+    return without_lines(docs, scratch.result(dropped_lines(docs, scratch, min_chars, word_edits, words_per_edit)))

@@ -164,3 +164,51 @@ def test_lines(docs, scratch):
     assert line_dedup.without_repeats(docs(rows).where("false"), scratch).count() == 0
 
 
+def word_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_long_lines_by_words(docs, scratch, most, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FEW", 16)  # so that some are paired off and others compared by variants
+    rnd = random.Random(most)
+    word = lambda: rnd.choice(["ab", "é語", "ccccc", "d", "of", "the"]) + rnd.choice("xyz")
+
+    def edited(line):
+        line = line[:]
+        for _ in range(rnd.randrange(5)):
+            at = rnd.randrange(len(line) + 1)
+            line[at:at + rnd.randrange(2)] = [word()] * rnd.randrange(2)
+        return line
+
+    lines = []
+    for n, copies in ((4, 6), (5, 6), (9, 6), (10, 40), (11, 6), (15, 40), (16, 6), (24, 6)):
+        base = [word() for _ in range(n)]
+        lines += [base] + [edited(base) for _ in range(copies)]
+    lines.append(lines[-1][:])
+    rnd.shuffle(lines)
+    texts = [rnd.choice([" ", "  "]).join(line) for line in lines]
+    rows = [(i // 3, "\n".join(texts[i:i + 3])) for i in range(0, len(texts), 3)]
+    first = {}
+    for i, text in enumerate(texts):
+        first.setdefault(text, i)
+    bound = lambda a, b: min(min(len(a), len(b)) // 5, most)
+    near = lambda x, y: one_edit(x, y) or 0 < bound(x.split(), y.split()) >= word_distance(x.split(), y.split())
+    known = [x for x in first if len(x) >= 10]
+    gone = {x for x in known if any(first[y] < first[x] and near(x, y) for y in known)}
+    assert {x for x in gone if not any(first[y] < first[x] and one_edit(x, y) for y in known)}
+    want = [(i // 3, "\n".join(x for j, x in enumerate(texts[i:i + 3], i) if first[x] == j and x not in gone)) for i in range(0, len(texts), 3)]
+    got = line_dedup.without_repeats(docs(rows), scratch, 10, most, 5)
+    assert rows_of(got, "doc_id", "text") == sorted(want, key=str)
+
+
+def test_line_with_one_other_word_goes(docs, scratch):
+    line = [f"word{i}" for i in range(40)]
+    rows = [(1, " ".join(line)), (2, " ".join(line[:20] + ["another"] + line[21:]) + "\nand a line of its own"), (3, " ".join(line[:9] + line[10:] + ["end"]))]
+    got = line_dedup.without_repeats(docs(rows), scratch)
+    assert rows_of(got, "doc_id", "text") == [(1, " ".join(line)), (2, "and a line of its own"), (3, "")]
