@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from squadlake.catalog import feeds as f
-from squadlake.catalog.registry import query, rnd, shaped, shared, stamp
+from squadlake.catalog.registry import ORACLES, query, rnd, shaped, shared, stamp
 from squadlake.catalog.shapes import EV, ev, measure
 from squadlake.operators import identity, quality
 from squadlake.operators.dedup import dedup_counts, last_wins
@@ -615,13 +615,25 @@ SELECT CAST(g.event_id AS VARCHAR) AS session_id, g.user_id AS player_sk, CAST(g
 FROM games g LEFT JOIN wv w ON w.hour_utc = date_trunc('hour', g.ts)""")
 def hourly_match(t):
     """Game sessions matched to the forecast hour they started in at one stadium."""
+    return shaped(game_weather(t), dates=("session_date",), keep=("session_id", "player_sk", "season_week", "stadium_team", "stadium", "is_dome", "weather_code", "has_weather"),
+                  floats=("player_load", "temperature_c"))
+
+
+@shared
+def game_weather(t):
     from squadlake.catalog.shapes import calendar, sessions
     from squadlake.plans import dims, facts
     from squadlake.sources import seeds
     weather = staging.stg_open_meteo(forecast(t)).where("stadium = 'view'")
     roster = t.events.select(f.c.team.alias("team")).distinct().withColumn("valid_to", F.lit(None).cast("timestamp"))
     teams = dims.dim_team(roster, seeds.stadiums(t.spark))
-    none = t.spark.createDataFrame([], "player_sk bigint, game_date date, epa_total double, plays bigint, offense_snaps int")
-    out = facts.fact_game_weather(sessions(t), weather, teams, none, calendar(t))
-    return shaped(out, dates=("session_date",), keep=("session_id", "player_sk", "season_week", "stadium_team", "stadium", "is_dome", "weather_code", "has_weather"),
-                  floats=("player_load", "temperature_c"))
+    return facts.fact_game_weather(sessions(t), weather, teams, play_fact(t), calendar(t))
+
+
+@query("hourly_match_plays", f"""WITH hm AS ({ORACLES["hourly_match"]}), pf AS ({ORACLES["role_unpivot_sums"]}),
+points AS (SELECT player_sk, game_date, round(sum(epa_total), 6) AS epa_total, CAST(sum(plays) AS BIGINT) AS plays, CAST(sum(offense_snaps) AS BIGINT) AS offense_snaps FROM pf GROUP BY ALL)
+SELECT hm.*, epa_total, plays, offense_snaps FROM hm LEFT JOIN points p ON p.player_sk = hm.player_sk AND p.game_date = hm.session_date""")
+def hourly_match_plays(t):
+    """The same sessions with the player's points, plays and snaps of the day."""
+    return shaped(game_weather(t), dates=("session_date",), keep=("session_id", "player_sk", "season_week", "stadium_team", "stadium", "is_dome", "weather_code", "has_weather", "plays", "offense_snaps"),
+                  floats=("player_load", "temperature_c", "epa_total"))
