@@ -353,6 +353,18 @@ def quarantine_union(t):
     return both.groupBy("source").agg(F.count_distinct("bronze_id").alias("records"))
 
 
+HELD = {"forcedeck": ("fdbad",), "catapult": ("cabad",), "ams_wellness": ("webad",), "nutrition": ("nubad",), "emr": ("ijbad", "usbad")}
+ALL_FEEDS = f"{f.FORCEDECK}, {f.CATAPULT}, {f.WELLNESS}, {f.NUTRITION}, {f.EMR}"
+
+
+@query("quarantine_union_rows", f"WITH {EV}, {ALL_FEEDS}\n" + "\nUNION ALL ".join(
+    f"SELECT '{source}' AS source, bronze_id FROM {frame} WHERE held" for source, frames in HELD.items() for frame in frames))
+def quarantine_union_rows(t):
+    """The quarantined records of all five sources under one label column."""
+    by_source = {source: reduce(DataFrame.unionByName, [checked(t, s).quarantine() for s in suites.suites_for(source)]) for source in FEEDS}
+    return dq_views.quarantine_all(by_source).select("source", "bronze_id").distinct()
+
+
 # ---------------------------------------------------------------- identity
 
 @query("name_key", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'robert' WHEN c_custkey % 3 = 1 THEN 'michael' ELSE 'jose' END || ' o' || lower(c_mktsegment) || c_nationkey AS clean FROM customer""")
@@ -583,6 +595,62 @@ def profile_percentages(t):
                     pct(F.count_if(~F.col("session_ts").endswith("Z")), F.count("*")).alias("pct_timestamps_reformatted"))
 
 
+SILVER = {"forcedeck": ("silver_forcedeck",), "catapult": ("silver_catapult",), "ams_wellness": ("silver_wellness",), "nutrition": ("silver_nutrition",),
+          "emr": ("silver_emr_injuries", "silver_emr_status_updates")}
+
+
+def _reconciled_sql(source: str) -> str:
+    held = " + ".join(f"(SELECT count(*) FILTER (held) FROM {frame})" for frame in HELD[source])
+    kept = " + ".join(f"(SELECT count(*) FROM {frame})" for frame in HELD[source])
+    out = " + ".join(f"(SELECT count(*) FROM ({ORACLES[name]}))" for name in SILVER[source])
+    return f"SELECT '{source}' AS source, (SELECT count(*) FROM ev) AS rows_in, {kept} AS kept, {held} AS dq, {out} AS out_rows"
+
+
+@query("reconcile_sources", f"WITH {EV}, {ALL_FEEDS}, c AS (" + "\nUNION ALL ".join(_reconciled_sql(source) for source in FEEDS) + """)
+SELECT source, rows_in, rows_in - kept AS duplicates_removed, dq AS rows_quarantined_dq, kept - dq - out_rows AS rows_quarantined_identity, out_rows AS rows_in_silver,
+  kept - out_rows AS rows_quarantined, true AS reconciles FROM c""")
+def reconcile_sources(t):
+    """A line for each of the five sources: rows in, minus duplicates and quarantined, equals rows out."""
+    n = lambda df: df.agg(F.count("*").alias("v")).scalar()
+    lines = []
+    for source in FEEDS:
+        run, held = build(t, source), held_ids(t, source)
+        counted = reduce(DataFrame.unionByName, [staging.counts(unpacked(t, source), feed) for feed in silver.FACT_FEEDS[source]]).agg(
+            F.sum("rows_in").cast("bigint").alias("rows_in"), (F.sum("rows_in") - F.sum("rows_kept")).cast("bigint").alias("duplicates_removed"))
+        out = reduce(DataFrame.unionByName, [table.select("bronze_id") for table in run.tables.values()])
+        lines.append(counted.withColumns({"source": F.lit(source), "rows_quarantined_dq": n(held.distinct()),
+                                          "rows_quarantined_identity": n(run.failures.select("bronze_id").distinct()), "rows_in_silver": n(out)}))
+    return quality.summarise(reduce(DataFrame.unionByName, lines), RUN, F.lit(None)).drop("run_id", "created_at")
+
+
+INFERRED = {"forcedeck": "force_unit_inferred", "catapult": "contains(qc_flags, 'unit_inferred')", "ams_wellness": "scale_inferred"}
+
+
+def _profile_sql(source: str) -> str:
+    share = f"round(100.0 * count(*) FILTER ({INFERRED[source]}) / count(*), 2)" if source in INFERRED else "0.0::DOUBLE"
+    stamps = "(SELECT round(100.0 * count(*) FILTER (k % 10 = 0) / count(*), 2) FROM cabad WHERE NOT held)" if source == "catapult" else "100.0::DOUBLE"
+    return f"SELECT '{source}' AS source, {share} AS pct_units_inferred, {stamps} AS pct_timestamps_reformatted" + (f" FROM ({ORACLES[SILVER[source][0]]})" if source in INFERRED else "")
+
+
+@query("profile_percentages_sources", f"WITH {EV}, {f.CATAPULT}\n" + "\nUNION ALL ".join(_profile_sql(source) for source in FEEDS))
+def profile_percentages_sources(t):
+    """A line for each of the five sources, as a daily run counts them: shares of the main
+    table's rows with inferred units, and of the valid records' stamps that are not in UTC form."""
+    from squadlake.functions.casts import pct
+    lines = []
+    for source in FEEDS:
+        run = build(t, source)
+        inferred = run.profile.get("pct_units_inferred")
+        share = F.lit(0.0) if inferred is None else pct(F.count_if(inferred), F.count("*"))
+        stamps = F.lit(100.0)
+        if run.timestamp_profile is not None:
+            valid = quality.without_quarantined(staging.current(unpacked(t, source), silver.FACT_FEEDS[source][0]), held_ids(t, source))
+            stamps = valid.agg(pct(F.count_if(run.timestamp_profile), F.count("*")).alias("v")).scalar()
+        main = next(iter(run.tables.values()))
+        lines.append(main.agg(share.alias("pct_units_inferred")).select(F.lit(source).alias("source"), "pct_units_inferred", stamps.alias("pct_timestamps_reformatted")))
+    return reduce(DataFrame.unionByName, lines)
+
+
 # ---------------------------------------------------------------- plays and weather
 
 @query("role_unpivot_sums", f"""WITH {EV}, {PLAY_CTE}, {f.MASTER}, pm AS (SELECT player_sk, gsis_id, 'Pfr' || user_id AS pfr FROM mas),
