@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squadlake.llm import chat, line_dedup, mtree, parity_join, quality, sumsq_pack, token_files, toxicity, warc, winnowing
+from squadlake.llm import (chat, line_dedup, mixture_pack, mtree, parity_join, phrases, quality, sumsq_pack, token_files, toxicity,
+                           warc, whitening, winnowing)
 from squadlake.llm.shared import Scratch
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -156,3 +157,64 @@ scored AS (
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+@registered
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        rows = whitening.quantised(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding")
+        found = whitening.by_component(whitening.whiten(rows, scratch), "vec_id")
+        return scratch.result(found.withColumn("deviation", F.col("deviation").cast("long")))
+
+
+@registered
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        found = phrases.collocations(table(spark, sf_dir, "documents"), scratch)
+        return scratch.result(phrases.top_phrases(found, 2000).select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
+
+
+ORACLES["op12_phrases"] = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+pieces AS (
+  SELECT lang, row_number() OVER () AS piece_id, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts)),
+words AS (SELECT lang, piece_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM pieces),
+following AS (
+  SELECT lang, w, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3, lead(w, 3) OVER p AS w4
+  FROM words WINDOW p AS (PARTITION BY piece_id ORDER BY i)),
+runs AS (
+  SELECT lang, w AS phrase, 1 AS k FROM following
+  UNION ALL SELECT lang, w || ' ' || w2, 2 FROM following WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, w || ' ' || w2 || ' ' || w3, 3 FROM following WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, w || ' ' || w2 || ' ' || w3 || ' ' || w4, 4 FROM following WHERE w4 IS NOT NULL),
+counts AS MATERIALIZED (SELECT lang, phrase, k, count(*) AS f FROM runs GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 30),
+often AS MATERIALIZED (SELECT lang, phrase, f FROM counts WHERE f >= 30),
+halves AS MATERIALIZED (
+  SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates)),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, p.f AS l, q.f AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (p.f + q.f) AS BIGINT) AS score
+  FROM halves AS c JOIN often AS p ON p.lang = c.lang AND p.phrase = c.head JOIN often AS q ON q.lang = c.lang AND q.phrase = c.tail),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+spans AS (
+  SELECT lang, a AS f, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, k - size + 2)) AS i FROM candidates, (VALUES (2), (3)) AS sizes(size) WHERE size < k)),
+largest AS (SELECT lang, phrase, max(f) AS f FROM spans GROUP BY ALL),
+ranked AS (
+  SELECT b.lang, b.phrase, b.a, b.l, b.r, t.n, b.score, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
+  FROM best AS b JOIN totals AS t ON t.lang = b.lang
+  LEFT JOIN largest AS x ON x.lang = b.lang AND x.phrase = b.phrase
+  WHERE x.f IS NULL OR CAST(100 AS HUGEINT) * x.f < CAST(80 AS HUGEINT) * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+@registered
+def op13_mixture_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        return scratch.result(mixture_pack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), 0, scratch))

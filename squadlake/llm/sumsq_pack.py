@@ -2,11 +2,10 @@
 
 Bins are sequences of ``capacity`` tokens.  With N(g) the open bins that have g
 tokens left, a piece goes where the sum of N(g) squared becomes smallest over all
-gaps: into an open bin of some gap, or into a new one.  Full bins do not count.
+gaps it fits; a new bin is opened only where it fits none.  Full bins do not count.
 
 Only lengths are packed.  Pieces are dealt out at random to tasks of a few
-hundred thousand, and each packs its own in random order, for which the rule is
-made: it ends with well under one sequence in a thousand more than the ids need.
+hundred thousand, and each packs its own from the longest to the shortest.
 """
 
 from __future__ import annotations
@@ -60,20 +59,17 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each length (1 to ``capacity``), in the order given."""
     open_bins = np.zeros(capacity, dtype=np.int64)  # N(g)
     weight = np.full(capacity, np.inf)  # -2 N(g) where N(g) > 0: what leaving gap g changes, but for a constant
-    gain = np.zeros(capacity)  # 2 N(g) + 2: what gap g's next bin adds beside it; 1 for a bin that becomes full
-    gain[:] = 2.0
+    gain = np.full(capacity, 2.0)  # 2 N(g) + 2: what gap g's next bin adds beside it; 1 for a bin that becomes full
     gain[0] = 1.0
     stacks: list[list[int]] = [[] for _ in range(capacity)]
     bins, offsets = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64)
     count = 0
     for i, size in enumerate(lengths.tolist()):
-        rest = capacity - size
-        fresh = gain[rest] - 1.0 if rest else 0.0
-        gap = -1
+        rest, gap = capacity - size, -1
         if rest:
             costs = weight[size:] + gain[:rest]
             k = int(costs.argmin())
-            if costs[k] <= fresh:
+            if costs[k] < np.inf:
                 gap = size + k
         if gap < 0:
             chosen, gap = count, capacity
@@ -107,11 +103,16 @@ def pack(pieces: DataFrame, n_pieces: int, capacity: int = CAPACITY, task_pieces
         if not got:
             return
         table = pa.Table.from_batches(got)
-        bins, offsets = place(table.column("length").to_numpy(), capacity)
+        lengths = table.column("length").to_numpy()
+        order = np.argsort(-lengths, kind="stable")
+        bins, offsets = np.empty(len(order), dtype=np.int64), np.empty(len(order), dtype=np.int64)
+        bins[order], offsets[order] = place(lengths[order], capacity)
         base = TaskContext.get().partitionId() << 40
         table = table.drop_columns(["_order"]).append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets))
         yield from table.to_batches(max_chunksize=20_000)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
-    dealt = pieces.withColumn("_order", F.xxhash64("doc_id", "piece")).repartition(tasks, "_order").sortWithinPartitions("_order", "doc_id", "piece")
+    # Rows of one doc_id, or equal ones throughout, are dealt out too: their place in their file counts.
+    dealt = (pieces.withColumn("_order", F.xxhash64(*pieces.columns, F.monotonically_increasing_id())).repartition(tasks, "_order")
+             .sortWithinPartitions("_order"))
     return dealt.mapInArrow(run, schema)

@@ -2,14 +2,16 @@
 
 The library's pre-tokeniser never joins a space, or an ASCII sign, to the word
 before it, so a text's ids are those of its pieces between such places in
-order.  Pieces repeat: each worker encodes a piece once and looks it up later,
-also in the next tasks it runs.
+order.  The string of an added token inside a text is that token, as the library
+has it by default, and a piece of its own.  Pieces repeat: each worker encodes a
+piece once and looks it up later, also in the next tasks it runs.
 """
 
 from __future__ import annotations
 
 import os
 import sys
+from collections.abc import Iterator
 from types import ModuleType
 
 import numpy as np
@@ -44,7 +46,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # their strings inside a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
+            raise ValueError(f"{tokenizer_path}: added tokens that take in their surroundings cannot be cut out")
+        self.added = sorted((t.content.encode() for t in added if t.content), key=len, reverse=True)
         self.end_id = end_id
         self.hasher = SpanHasher()
         self.forget()
@@ -56,8 +61,22 @@ class PieceEncoder:
         self.counts = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.int32)
 
+    def added_tokens(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Spans of added tokens' strings inside texts: leftmost first, then longest."""
+        raw = data.tobytes()
+        ends = offsets[1:]
+        found = {token: raw.find(token) for token in self.added}
+        while any(at >= 0 for at in found.values()):
+            at, token = min(((at, token) for token, at in found.items() if at >= 0), key=lambda f: (f[0], -len(f[1])))
+            after = at + len(token)
+            whole = after <= ends[np.searchsorted(ends, at, "right")]
+            if whole:
+                yield at, after
+            found = {t: raw.find(t, after if whole else at + (t == token)) if 0 <= place < after else place for t, place in found.items()}
+
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Where pieces start: at every text, at a space after ink, at a sign after an ASCII letter or digit."""
+        """Where pieces start: at every text, at a space after ink, at a sign after an ASCII
+        letter or digit, around an added token and never inside it."""
         cut = np.zeros(len(data), dtype=bool)
         before = data[:-1]
         ink = ~_SPACES[before] & (before < 0x80)
@@ -65,6 +84,10 @@ class PieceEncoder:
         cut[1:] = (_SPACE[data[1:]] & ink) | (_SIGN[data[1:]] & _LETTER[before])
         starts = offsets[:-1]
         cut[starts[starts < len(data)]] = True
+        for a, b in self.added_tokens(data, offsets):
+            cut[a:b] = False
+            cut[a] = True
+            cut[b:b + 1] = True
         return np.flatnonzero(cut)
 
     def _learn(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
