@@ -16,6 +16,7 @@ from squadlake.plans import dq_views, silver, staging, suites
 from squadlake.session import work_folder
 from squadlake.sources import bronze as b
 from squadlake.sources.tables import TableStore
+from squadlake.streaming.landing import read_parquet_stream, stream_land
 
 RUN = "r1"
 
@@ -60,6 +61,61 @@ def land_snapshot_unseen(t):
     return new.groupBy(F.get_json_object("payload", "$.user_id").cast("bigint").alias("user_id")).agg(F.count("*").alias("new_rows"))
 
 
+BATCHES = 10
+
+
+def batch_slices(t):
+    """Records of the events in ten batches by event_id, each sent along with the batch before it."""
+    width = t.events.agg((F.floor(F.max("event_id") / BATCHES) + 1).alias("w")).first().w
+    rows = ev(t).select("event_id", F.floor(F.col("event_id") / width).alias("slot"), F.to_json(F.struct("user_id", "k", "event_type")).alias("payload"))
+    return [rows.where(F.col("slot").isin(i - 1, i)) for i in range(BATCHES)]
+
+
+LANDED_FIELDS = "user_id bigint, k int, event_type string"
+SLICED = f"{EV}, width AS (SELECT max(event_id) // {BATCHES} + 1 AS w FROM events)"
+
+
+@query("landed_in_batches", f"""WITH {SLICED}
+SELECT user_id, k, event_type, '#' || min(event_id // w) AS batch_id FROM ev, width GROUP BY user_id, k, event_type""")
+def landed_in_batches(t):
+    """Ten overlapping batches: a record lands with the first batch that has it.  What came
+    before is looked up in the index of landed hashes, not in Bronze."""
+    table = landed_table(t)
+    for i, part in enumerate(batch_slices(t)):
+        table.land(part, source="s", endpoint="/e", batch_id=f"#{i}", order=["event_id"])
+    return table.fetch("s", "/e").select(F.from_json("payload", LANDED_FIELDS).alias("p"), F.col("_batch_id").alias("batch_id")).select("p.*", "batch_id")
+
+
+@query("stream_landed", f"""WITH {EV}, first AS (SELECT user_id, k, event_type, min(event_id) AS kept_event FROM ev GROUP BY user_id, k, event_type)
+SELECT user_id, k, event_type, kept_event, row_number() OVER (PARTITION BY user_id ORDER BY kept_event) AS landed_as,
+  (SELECT count(*) FROM first) AS landed, CAST(0 AS BIGINT) AS landed_by_replay FROM first""")
+def stream_landed(t):
+    """A drop folder landed by a stream in two runs, files arriving in between; then its
+    checkpoint is lost and everything comes again.  Emission order is kept, the replay lands nothing."""
+    folder, table = work_folder(t.spark), landed_table(t)
+    drop = f"{folder}/drop"
+    half = t.events.agg(F.floor(F.max("event_id") / 2).alias("m")).first().m
+    lines = ev(t).select("event_id", F.to_json(F.struct("user_id", "k", "event_type", F.col("event_id").alias("_e"))).alias("payload"))
+    record = F.to_json(F.from_json("payload", LANDED_FIELDS)).alias("payload")
+
+    def run(checkpoint: str) -> None:
+        came = read_parquet_stream(t.spark, drop, "event_id bigint, payload string").select("event_id", record)
+        stream_land(came, table, source="s", endpoint="/e", checkpoint=f"{folder}/{checkpoint}", order=["event_id"])
+
+    lines.where(F.col("event_id") <= half).write.mode("append").parquet(drop)
+    run("first")
+    lines.where(F.col("event_id") > half).write.mode("append").parquet(drop)
+    run("first")
+    before = table.fetch("s", "/e").count()
+    run("second")
+    after = table.fetch("s", "/e").count()
+    kept = ev(t).groupBy("user_id", "k", "event_type").agg(F.min("event_id").alias("kept_event"))
+    rows = table.fetch("s", "/e").select("id", F.from_json("payload", LANDED_FIELDS).alias("p")).select("id", "p.*").join(kept, ["user_id", "k", "event_type"])
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("id"))
+    return rows.select("user_id", "k", "event_type", "kept_event", place.alias("landed_as"), F.lit(before).cast("bigint").alias("landed"),
+                       F.lit(after - before).cast("bigint").alias("landed_by_replay"))
+
+
 @query("fetch_projected", f"""WITH {EV} SELECT DISTINCT user_id, k FROM ev e WHERE event_id % 2 = 1
   AND NOT EXISTS (SELECT 1 FROM ev s WHERE s.event_id % 2 = 0 AND s.user_id = e.user_id AND s.k = e.k)""")
 def fetch_projected(t):
@@ -72,11 +128,11 @@ def fetch_projected(t):
     return table.fetch("s", "/odd").select(fields.alias("p")).select("p.*")
 
 
-@query("replace_table", """SELECT n_nationkey, CAST(n_nationkey + 2 AS BIGINT) AS n FROM nation""")
+@query("replace_table", """SELECT o_orderkey, CAST(o_custkey + 2 AS BIGINT) AS n FROM orders""")
 def replace_table(t):
     """A table rebuilt from itself twice; readers see the last committed version."""
     store = TableStore(t.spark, work_folder(t.spark))
-    store.replace("n", t.nation.select("n_nationkey", F.col("n_nationkey").cast("bigint").alias("n")))
+    store.replace("n", t.orders.select("o_orderkey", F.col("o_custkey").cast("bigint").alias("n")))
     for _ in range(2):
         store.replace("n", store.read("n").withColumn("n", F.col("n") + 1))
     return store.read("n")

@@ -12,19 +12,21 @@ import uuid
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from squadlake.operators.dedup import first_per_key
+from squadlake.sources.landed_index import LandedIndex
 
 BRONZE_SCHEMA = ("id bigint, payload string, _ingested_at timestamp, _batch_id string, _payload_hash string, "
                  "_schema_version string, _source string, _endpoint string")
 PARTITIONS = ("_source", "_endpoint")
 REJECT_SCHEMA = "payload string, _ingested_at timestamp, _batch_id string, _source string, _endpoint string"
 
-# An id is batch number, then partition, then row: 2 ** 20 batches of up to 1024
-# range partitions of 2 ** 33 rows.
-BATCH_BITS, MAX_PARTITIONS = 43, 1024
+# An id is batch number, then partition, then row: 2 ** 20 batches of up to 8,192
+# range partitions of 2 ** 30 rows.
+BATCH_BITS, ROW_BITS = 43, 30
+MAX_PARTITIONS = 1 << (BATCH_BITS - ROW_BITS)
 
 
 def payload_hash(payload: Column) -> Column:
@@ -60,6 +62,7 @@ class Landing:
     fetched: int
     inserted: int
     rejected: int
+    hash_files: int  # files of landed hashes that were read to compare with
 
 
 class BronzeTable:
@@ -67,6 +70,7 @@ class BronzeTable:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.index = LandedIndex(spark, path)
 
     def _on_disk(self, path: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -107,20 +111,26 @@ class BronzeTable:
         rows = self.read().where(F.col("_source") == source)
         return rows if endpoint is None else rows.where(F.col("_endpoint") == endpoint)
 
-    def unseen(self, batch: DataFrame, source: str, order: list[str]) -> DataFrame:
-        """Rows of ``batch`` (with ``_payload_hash``) that are not landed yet, each
-        hash by its first row in ``order``.
-
-        The batch's hashes are looked up in Bronze with a semi join, so when the
-        batch is the small side Bronze is scanned for one column and not
-        shuffled; the batch then drops the hits.
-        """
+    def unseen(self, batch: DataFrame, source: str, order: list[str]) -> tuple[DataFrame, int]:
+        """Rows of ``batch`` (with ``_payload_hash``) that are not landed yet, each hash by
+        its first row in ``order``, and the number of files of landed hashes that
+        takes.  Bronze itself is not read."""
         fresh = first_per_key(batch, ["_payload_hash"], [F.col(c).asc() for c in order])
+        files = self.index.suspects(batch, "_payload_hash", source)
+        if not files:
+            return fresh, 0
         wanted = batch.select(F.col("_payload_hash").alias("_w"))
-        landed = self.fetch(source).select("_payload_hash")
-        hits = landed.join(wanted, F.col("_payload_hash") == F.col("_w"), "left_semi").select(
-            F.col("_payload_hash").alias("_hit")).distinct()
-        return fresh.join(hits, F.col("_payload_hash") == F.col("_hit"), "left_anti")
+        hits = self.index.landed(files).join(wanted, F.col("digest") == F.col("_w"), "left_semi").select(F.col("digest").alias("_hit")).distinct()
+        return fresh.join(hits, F.col("_payload_hash") == F.col("_hit"), "left_anti"), len(files)
+
+    def _index_orphans(self, own: int) -> None:
+        """Index batches whose writer died between landing and indexing."""
+        for number in self.index.missing(f"{self.path}_claims"):
+            if number == own or not self.exists():
+                continue
+            rows = self.read().where((F.col("id") >= number << BATCH_BITS) & (F.col("id") < (number + 1) << BATCH_BITS))
+            for r in rows.groupBy("_source").agg(F.count("*").alias("n")).collect():
+                self.index.add(rows.where(F.col("_source") == r["_source"]), "_payload_hash", r["_source"], number, r.n)
 
     def land(self, df: DataFrame, *, source: str, endpoint: str, batch_id: str, schema_version: str | None = None,
              ingested_at: Column | None = None, order: list[str] | None = None) -> Landing:
@@ -135,25 +145,31 @@ class BronzeTable:
         """
         order = [*(order or []), "_position"]
         number = self._claim()
+        self._index_orphans(number)
         staging = f"{self.path}_staging/{uuid.uuid4().hex}"
+        came, went = Observation(), Observation()
         df.withColumn("_position", F.monotonically_increasing_id()).select(
-            "payload", *order, payload_hash(F.col("payload")).alias("_payload_hash")).write.parquet(staging)
+            "payload", *order, payload_hash(F.col("payload")).alias("_payload_hash")).observe(
+            came, F.count(F.lit(1)).alias("rows"), F.count("_payload_hash").alias("valid")).write.parquet(staging)
         try:
             stored = self.spark.read.parquet(staging)
+            fetched, valid = came.get["rows"], came.get["valid"]
             now = (F.current_timestamp() if ingested_at is None else ingested_at).cast("timestamp")
             stamp = [now.alias("_ingested_at"), F.lit(batch_id).alias("_batch_id")]
             where = [F.lit(source).alias("_source"), F.lit(endpoint).alias("_endpoint")]
-            rejected = stored.where("_payload_hash is null").select("payload", *stamp, *where)
-            rejected.write.mode("append").parquet(f"{self.path}_rejects")
+            if valid < fetched:
+                rejected = stored.where("_payload_hash is null").select("payload", *stamp, *where)
+                rejected.write.mode("append").parquet(f"{self.path}_rejects")
             partitions = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), MAX_PARTITIONS)
-            new = self.unseen(stored.where("_payload_hash is not null"), source, order)
+            kept = stored.where("_payload_hash is not null")
+            new, hash_files = self.unseen(kept, source, order)
+            row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + F.call_function("shiftleft", F.spark_partition_id().cast("bigint"), F.lit(ROW_BITS))
             rows = new.repartitionByRange(partitions, *order).sortWithinPartitions(*order).select(
-                (F.lit(number << BATCH_BITS) + F.monotonically_increasing_id()).alias("id"), "payload", *stamp, "_payload_hash",
+                (F.lit(number << BATCH_BITS) + row).alias("id"), "payload", *stamp, "_payload_hash",
                 F.lit(schema_version).cast("string").alias("_schema_version"), *where)
-            rows.write.mode("append").partitionBy(*PARTITIONS).parquet(self.path)
-            low, high = number << BATCH_BITS, (number + 1) << BATCH_BITS
-            inserted = self.fetch(source, endpoint).where((F.col("id") >= low) & (F.col("id") < high)).count()
-            return Landing(source, endpoint, batch_id, stored.count(), inserted, stored.where("_payload_hash is null").count())
+            rows.observe(went, F.count(F.lit(1)).alias("rows")).write.mode("append").partitionBy(*PARTITIONS).parquet(self.path)
+            self.index.add(kept, "_payload_hash", source, number, valid)
+            return Landing(source, endpoint, batch_id, fetched, went.get["rows"], fetched - valid, hash_files)
         finally:
             path, files = self._on_disk(staging)
             files.delete(path, True)

@@ -30,12 +30,15 @@ def read_lines(spark: SparkSession, folder: str, max_files: int | None = None) -
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
 
 
+def read_parquet_stream(spark: SparkSession, folder: str, schema, max_files: int | None = None) -> DataFrame:
+    """A Parquet drop folder as it is, for streams whose rows carry their emission order."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(folder)
+
+
 def read_table_stream(spark: SparkSession, folder: str, schema, max_files: int | None = None) -> DataFrame:
     """A Parquet drop folder as payload text."""
-    reader = spark.readStream.schema(schema)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return records_json(reader.parquet(folder))
+    return records_json(read_parquet_stream(spark, folder, schema, max_files))
 
 
 def stream_land(stream: DataFrame, table: BronzeTable, *, source: str, endpoint: str, checkpoint: str,

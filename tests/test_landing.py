@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from squadlake.sources import seeds
+from squadlake.sources import landed_index, seeds
 from squadlake.sources.bronze import BronzeTable, explode_columnar, payload_hash, project_at_ingest, records_json
 from squadlake.sources.roster import read_roster
 from squadlake.sources.tables import TableStore, publish
@@ -151,3 +151,45 @@ def test_publish_follows_the_layer_policy(spark, rows):
     publish(rows("n bigint", (2,)), "fact_demo", "facts")
     assert spark.table("gold.fact_demo").first().n == 2 and spark.table("stg_demo").count() == 1
     spark.sql("DROP DATABASE gold CASCADE")
+
+
+def hash_bytes(table, files):
+    root = table.index.hashes
+    return sum(os.path.getsize(os.path.join(d, f)) for n, b in files for d, _, names in os.walk(f"{root}/{n:07d}/bucket={b}") for f in names if f.endswith(".parquet"))
+
+
+def test_a_batch_reads_files_of_hashes_it_shares_only(spark, tmp_path, monkeypatch):
+    """What a batch reads of the landed hashes does not grow with the batches before it."""
+    monkeypatch.setattr(landed_index, "FILE_HASHES", 64)  # several files a batch
+    table = BronzeTable(spark, str(tmp_path / "bronze"))
+    read, seen = [], table.index.suspects
+
+    def noted(*args):
+        read.append(seen(*args))
+        return read[-1]
+
+    monkeypatch.setattr(table.index, "suspects", noted)
+    docs = [[{"batch": n, "i": i} for i in range(300)] for n in range(6)]
+    frame = lambda rows: spark.createDataFrame([(json.dumps(d),) for d in rows], "payload string")
+    for n in range(5):  # batch 3 brings 20 records of batch 1 again
+        extra = docs[1][:20] if n == 3 else []
+        got = table.land(frame(docs[n] + extra), source="s", endpoint="/e", batch_id=str(n))
+        assert (got.fetched, got.inserted) == (300 + len(extra), 300)
+    assert read[0] == [] and {n for n, _ in read[3]} >= {1} and len({b for n, b in read[3] if n == 1}) > 3
+    whole = hash_bytes(table, {(n, b) for n in range(4) for b in range(8)})
+    assert all(hash_bytes(table, files) <= whole / 20 for i, files in enumerate(read) if i != 3) and hash_bytes(table, read[3]) < 1.2 * whole / 4
+    assert table.land(frame(docs[2]), source="s", endpoint="/e", batch_id="again").inserted == 0
+    assert table.land(frame(docs[2]), source="t", endpoint="/e", batch_id="other").inserted == 300
+
+
+def test_a_batch_that_was_not_indexed_is_found_again(spark, rows, tmp_path, monkeypatch):
+    table = BronzeTable(spark, str(tmp_path / "bronze"))
+    table._claim()  # a writer that died before it landed anything
+    docs = [{"id": i} for i in range(30)]
+    with monkeypatch.context() as m:
+        m.setattr(table.index, "add", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            table.land(payloads(rows, *docs), source="s", endpoint="/e", batch_id="b", order=["seq"])
+    assert table.fetch("s").count() == 30
+    assert table.land(payloads(rows, *docs, {"id": 99}), source="s", endpoint="/e", batch_id="b", order=["seq"]).inserted == 1
+    assert table.fetch("s").count() == 31
