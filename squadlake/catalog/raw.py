@@ -13,8 +13,9 @@ from squadlake.catalog.shapes import EV, ev, measure
 from squadlake.operators import identity, quality
 from squadlake.operators.dedup import dedup_counts, last_wins
 from squadlake.plans import dq_views, silver, staging, suites
-from squadlake.session import work_folder
+from squadlake.session import materialise, materialise_counted, work_folder
 from squadlake.sources import bronze as b
+from squadlake.sources.slices import SliceTable
 from squadlake.sources.tables import TableStore
 from squadlake.streaming.landing import read_parquet_stream, stream_land
 
@@ -343,10 +344,11 @@ def expectation_results(t):
 @query("result_history", "SELECT run_id, expectation_name, column_name, element_count, unexpected_count FROM (VALUES ('r1'), ('r2')) runs(run_id), (\n"
        f"WITH {EV}, {f.FORCEDECK}\n" + _result_sql("fdn", FORCEDECK_CHECKS) + ")")
 def result_history(t):
-    """Results of two runs; the first run repeated replaces its own rows."""
-    runs = [quality.Validation(checked(t, suites.FORCEDECK).source_frame, suites.FORCEDECK, run).results() for run in ("r1", "r2", "r1")]
-    history = reduce(quality.upsert_results, runs)
-    return history.select("run_id", "expectation_name", "column_name", "element_count", "unexpected_count")
+    """Results of two runs; the first run repeated replaces its own slice."""
+    history = SliceTable(t.spark, work_folder(t.spark), quality.RESULT_SCHEMA, ("run_id", "source"))
+    for run in ("r1", "r2", "r1"):
+        history.replace(quality.Validation(checked(t, suites.FORCEDECK).source_frame, suites.FORCEDECK, run).results(), run_id=run, source="forcedeck")
+    return history.read().select("run_id", "expectation_name", "column_name", "element_count", "unexpected_count")
 
 
 @query("quarantine_rows", f"""WITH {EV}, {f.FORCEDECK}
@@ -421,6 +423,25 @@ def quarantine_union_rows(t):
     return dq_views.quarantine_all(by_source).select("source", "bronze_id").distinct()
 
 
+def _by_run_sql() -> str:
+    rows = "\nUNION ALL ".join(f"SELECT '{source}' AS source, bronze_id FROM {frame} WHERE held" for source, frames in HELD.items() for frame in frames)
+    return f"WITH {EV}, {ALL_FEEDS}, q AS ({rows}) SELECT run_id, source, bronze_id FROM q, (VALUES ('r1'), ('r2')) runs(run_id) WHERE run_id = 'r1' OR source <> 'emr'"
+
+
+@query("quarantine_by_run", _by_run_sql())
+def quarantine_by_run(t):
+    """The quarantine of two runs over all five sources, a slice for each run and source.  The
+    first run saw half the records and is repeated over all; the second loses a source's slice again."""
+    table = SliceTable(t.spark, work_folder(t.spark), quality.QUARANTINE_SCHEMA + ", source string", ("run_id", "source"))
+    half = t.events.agg(F.floor(F.max("event_id") / 2).alias("m")).first().m
+    held = {source: materialise(reduce(DataFrame.unionByName, [checked(t, s).quarantine() for s in suites.suites_for(source)])) for source in FEEDS}
+    for run, part in (("r1", F.col("bronze_id") <= half), ("r2", F.lit(True)), ("r1", F.lit(True))):
+        for source in FEEDS:
+            table.replace(held[source].where(part), run_id=run, source=source)
+    table.replace(held["emr"].where("false"), run_id="r2", source="emr")
+    return table.read().select("run_id", "source", "bronze_id").distinct()
+
+
 # ---------------------------------------------------------------- identity
 
 @query("name_key", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'robert' WHEN c_custkey % 3 = 1 THEN 'michael' ELSE 'jose' END || ' o' || lower(c_mktsegment) || c_nationkey AS clean FROM customer""")
@@ -535,6 +556,20 @@ def build(t, source: str) -> silver.SilverRun:
     return silver.BUILDERS[source](unpacked(t, source), held_ids(t, source), f.master(t), f.vendor_map(t), RUN)
 
 
+def counted_build(t, source: str) -> dict[str, int]:
+    """Silver of a source with its counts, each taken while its rows are written."""
+    rows = {"n": F.count(F.lit(1))}
+    feeds = unpacked(t, source)
+    held, n_held = materialise_counted(held_ids(t, source), **rows)
+    run = silver.BUILDERS[source](feeds, held, f.master(t), f.vendor_map(t), RUN)
+    written = [materialise_counted(table, **rows)[1]["n"] for table in run.tables.values()]
+    _, failed = materialise_counted(run.failures.select("bronze_id"), **rows)
+    seen = [feeds.counts(feed) for feed in silver.FACT_FEEDS[source]]
+    came, kept = (sum(n[c] for n in seen) for c in ("rows_in", "rows_kept"))
+    return {"rows_in": came, "duplicates_removed": came - kept, "rows_quarantined_dq": n_held["n"],
+            "rows_quarantined_identity": failed["n"], "rows_in_silver": sum(written)}
+
+
 def flags_text(c="qc_flags"):
     return F.array_join(c, ",").alias(c)
 
@@ -667,16 +702,11 @@ SELECT source, rows_in, rows_in - kept AS duplicates_removed, dq AS rows_quarant
   kept - out_rows AS rows_quarantined, true AS reconciles FROM c""")
 def reconcile_sources(t):
     """A line for each of the five sources: rows in, minus duplicates and quarantined, equals rows out."""
-    n = lambda df: df.agg(F.count("*").alias("v")).scalar()
-    lines = []
-    for source in FEEDS:
-        run, held = build(t, source), held_ids(t, source)
-        counted = reduce(DataFrame.unionByName, [staging.counts(unpacked(t, source), feed) for feed in silver.FACT_FEEDS[source]]).agg(
-            F.sum("rows_in").cast("bigint").alias("rows_in"), (F.sum("rows_in") - F.sum("rows_kept")).cast("bigint").alias("duplicates_removed"))
-        out = reduce(DataFrame.unionByName, [table.select("bronze_id") for table in run.tables.values()])
-        lines.append(counted.withColumns({"source": F.lit(source), "rows_quarantined_dq": n(held.distinct()),
-                                          "rows_quarantined_identity": n(run.failures.select("bronze_id").distinct()), "rows_in_silver": n(out)}))
-    return quality.summarise(reduce(DataFrame.unionByName, lines), RUN, F.lit(None)).drop("run_id", "created_at")
+    lines = [counted_build(t, source) for source in FEEDS]
+    names = ("rows_in", "duplicates_removed", "rows_quarantined_dq", "rows_quarantined_identity", "rows_in_silver")
+    counts = t.spark.createDataFrame([(source, *(line[n] for n in names)) for source, line in zip(FEEDS, lines)],
+                                     "source string, " + ", ".join(f"{n} bigint" for n in names))
+    return quality.summarise(counts, RUN, F.lit(None)).drop("run_id", "created_at")
 
 
 INFERRED = {"forcedeck": "force_unit_inferred", "catapult": "contains(qc_flags, 'unit_inferred')", "ams_wellness": "scale_inferred"}

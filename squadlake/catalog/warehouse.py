@@ -11,6 +11,7 @@ from squadlake.catalog import series
 from squadlake.catalog import shapes as s
 from squadlake.catalog.registry import query, rnd, shared, stamp, text
 from squadlake.operators import assertions as x
+from squadlake.operators import declared_tests
 from squadlake.operators.numbering import number_new_keys
 from squadlake.operators.scd import scd2_merge, upsert_retire, upsert_stats
 from squadlake.plans import dims, dq_views, report
@@ -247,6 +248,52 @@ def gold_assertions(t):
         "one row per player day": x.unique_combination(pd, ["player_sk", "date_day"])})
 
 
+DECLARED = {
+    "orders": {"keys": [["o_orderkey"], ["o_custkey", "o_orderdate"]], "filled": ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"],
+               "refers": {"o_custkey": "solvent.c_custkey"}, "one_of": {"o_orderstatus": ["O", "F"]}, "within": {"o_totalprice": [1000, 300000]},
+               "holds": ["o_orderdate >= '1993-01-01'", "o_orderstatus <> 'F' OR o_totalprice > 5000"],
+               "least": [["o_orderstatus = 'O'", "o_orderpriority", ["o_custkey"]]]},
+    "lineitem": {"keys": [["l_orderkey", "l_linenumber"], ["l_orderkey", "l_partkey"]], "filled": ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity"],
+                 "refers": {"l_orderkey": "orders.o_orderkey", "l_partkey": "part.p_partkey", "l_suppkey": "solid.s_suppkey"},
+                 "one_of": {"l_returnflag": ["A", "R"], "l_linestatus": ["O", "F"]}, "within": {"l_discount": [0, 0.08], "l_quantity": [2, 50]},
+                 "holds": ["l_extendedprice >= l_quantity * 900"]},
+    "customer": {"keys": [["c_custkey"], ["c_nationkey", "c_mktsegment"]], "filled": ["c_name"], "refers": {"c_nationkey": "nation.n_nationkey"},
+                 "one_of": {"c_mktsegment": ["BUILDING", "MACHINERY"]}, "within": {"c_acctbal": [0, 9000]}},
+    "events": {"keys": [["event_id"], ["user_id", "ts"]], "filled": ["ts", "value"], "one_of": {"event_type": ["click", "view", "purchase"]},
+               "within": {"value": [0.5, 90]}, "holds": ["event_type <> 'error' OR value > 1"]},
+}
+TARGETS = {"solvent": "(SELECT * FROM customer WHERE c_acctbal > 0)", "solid": "(SELECT * FROM supplier WHERE s_acctbal > 0)"}
+
+
+def _declared_sql() -> str:
+    """Each declared test as a query of its own, by the book."""
+    def quoted(values) -> str:
+        return ", ".join(f"'{v}'" for v in values)
+
+    rows = []
+    for name, declared in DECLARED.items():
+        for columns in declared.get("keys", []):
+            whole = f"WHERE {columns[0]} IS NOT NULL" if len(columns) == 1 else ""
+            rows.append((name, "keys", ", ".join(columns), f"SELECT count(*) FROM (SELECT 1 FROM {name} {whole} GROUP BY {', '.join(columns)} HAVING count(*) > 1)"))
+        rows += [(name, "filled", c, f"SELECT count(*) FROM {name} WHERE {c} IS NULL") for c in declared.get("filled", [])]
+        rows += [(name, "refers", f"{c} to {to}", f"SELECT count(*) FROM {name} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {to.split('.')[1]} FROM {TARGETS.get(to.split('.')[0], to.split('.')[0])} x)")
+                 for c, to in declared.get("refers", {}).items()]
+        rows += [(name, "one_of", c, f"SELECT count(*) FROM {name} WHERE {c} NOT IN ({quoted(v)})") for c, v in declared.get("one_of", {}).items()]
+        rows += [(name, "within", c, f"SELECT count(*) FROM {name} WHERE {c} < {low} OR {c} > {high}") for c, (low, high) in declared.get("within", {}).items()]
+        rows += [(name, "holds", e, f"SELECT count(*) FROM {name} WHERE NOT ({e})") for e in declared.get("holds", [])]
+        rows += [(name, "least", f"{v} where {e}", f"SELECT count(*) FROM {name} a WHERE {e} AND {v} > (SELECT min({v}) FROM {name} b WHERE {' AND '.join(f'a.{c} = b.{c}' for c in by)})")
+                 for e, v, by in declared.get("least", [])]
+    text_of = lambda v: v.replace("'", "''")
+    return "\nUNION ALL ".join(f"SELECT '{n}' AS table_name, '{test}' AS test, '{text_of(subject)}' AS subject, ({sql}) AS failing_rows" for n, test, subject, sql in rows)
+
+
+@query("declared_tests", _declared_sql())
+def declared_test_counts(t):
+    """Declared tests of four tables, compiled to one aggregate a table, a grouping a key and a join a reference."""
+    tables = {name: getattr(t, name) for name in (*DECLARED, "part", "nation")}
+    return declared_tests.results({**tables, "solvent": t.customer.where("c_acctbal > 0"), "solid": t.supplier.where("s_acctbal > 0")}, DECLARED)
+
+
 # ---------------------------------------------------------------- reports
 
 def with_sql(select: str) -> str:

@@ -9,17 +9,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from pathlib import Path
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from squadlake.functions.casts import pct
-from squadlake.operators import identity, quality
+from squadlake.operators import declared_tests, identity, quality
 from squadlake.plans import dims, dq_views, facts, mart, silver, staging, suites
 from squadlake.session import intermediates, materialise
 from squadlake.sources import seeds
 from squadlake.sources.bronze import schema_versions
+from squadlake.sources.slices import SliceTable
 from squadlake.sources.tables import TableStore
 
 SUMMARY_SCHEMA = (
@@ -35,6 +37,17 @@ class RunReport:
     failed_sources: dict[str, str] = field(default_factory=dict)
 
 
+def result_slices(store: TableStore) -> SliceTable:
+    """Every run's results; a repeated run replaces its own."""
+    return SliceTable(store.spark, f"{store.root}/dq_expectation_results", quality.RESULT_SCHEMA + ", validated_at timestamp", ("run_id", "source"))
+
+
+def quarantine_slices(store: TableStore) -> SliceTable:
+    """Every run's quarantined records with expectation, observed value and reason, of both kinds."""
+    schema = quality.QUARANTINE_SCHEMA + ", quarantined_at timestamp, source string, kind string"
+    return SliceTable(store.spark, f"{store.root}/dq_quarantine", schema, ("run_id", "source", "kind"))
+
+
 def validate_source(store: TableStore, bronze: DataFrame | staging.Unpacked, source: str, run_id: str) -> None:
     """Write the source's results and quarantine, then fail it if the damage is systemic."""
     checks = [quality.Validation(materialise(staging.STAGING[s.table](bronze)), s, run_id) for s in suites.suites_for(source)]
@@ -42,8 +55,8 @@ def validate_source(store: TableStore, bronze: DataFrame | staging.Unpacked, sou
     held = reduce(DataFrame.unionByName, [c.quarantine() for c in checks]).withColumn("quarantined_at", F.current_timestamp())
     fresh = store.replace(f"results_{source}", results)
     store.replace(f"quarantine_dq_{source}", held)
-    history = store.read("dq_expectation_results", quality.RESULT_SCHEMA + ", validated_at timestamp")
-    store.replace("dq_expectation_results", quality.upsert_results(history, fresh))
+    result_slices(store).replace(fresh, run_id=run_id, source=source)
+    quarantine_slices(store).replace(held, run_id=run_id, source=source, kind="expectation")
     quality.raise_if_systemic(fresh, [c.suite for c in checks])
 
 
@@ -57,8 +70,14 @@ def silver_source(store: TableStore, bronze: DataFrame | staging.Unpacked, sourc
     vendor_map = store.read("vendor_player_map", identity.PLAYER_MAP_SCHEMA)
     held = quality.quarantined_ids(store.read(f"quarantine_dq_{source}"))
     run = silver.BUILDERS[source](bronze, held, players, vendor_map, run_id)
-    written = {name: store.replace(name, df) for name, df in run.tables.items()}
+    inferred = run.profile.get("pct_units_inferred")
+    kept_rows, share = F.count(F.lit(1)).alias("rows"), F.max(F.lit(0.0)) if inferred is None else pct(F.count_if(inferred), F.count(F.lit(1)))
+    seen_while_written = {name: Observation() for name in run.tables}
+    for i, (name, df) in enumerate(run.tables.items()):  # the profile is that of the main table
+        store.replace(name, df.observe(seen_while_written[name], kept_rows, *([share.alias("share")] if i == 0 else [])))
+    out = [o.get for o in seen_while_written.values()]
     failed = store.replace(f"quarantine_identity_rows_{source}", run.failures.withColumn("quarantined_at", F.current_timestamp()))
+    quarantine_slices(store).replace(failed, run_id=run_id, source=source, kind="identity")
 
     unknown = [identity.identity_quarantine(r, run.vendor) for r in run.resolved]
     store.replace(f"quarantine_identity_{source}", reduce(DataFrame.unionByName, unknown).dropDuplicates(
@@ -70,12 +89,6 @@ def silver_source(store: TableStore, bronze: DataFrame | staging.Unpacked, sourc
     feeds = silver.FACT_FEEDS[source]
     seen = reduce(DataFrame.unionByName, [staging.counts(bronze, f) for f in feeds]).agg(
         F.sum("rows_in").cast("bigint").alias("rows_in"), (F.sum("rows_in") - F.sum("rows_kept")).cast("bigint").alias("duplicates_removed"))
-    facts_out = list(written.values())
-    total = reduce(DataFrame.unionByName, [d.select("bronze_id") for d in facts_out]).agg(F.count("*").alias("rows_in_silver"))
-    inferred = run.profile.get("pct_units_inferred")
-    main = facts_out[0]
-    share = (main.agg(pct(F.count_if(inferred), F.count("*")).alias("pct_units_inferred")) if inferred is not None
-             else main.agg(F.lit(0.0).alias("pct_units_inferred")))
     methods = run.resolved[0].identifiers
     if source == "emr":
         methods = methods.select("resolved_by", "occurrences").unionByName(
@@ -93,7 +106,8 @@ def silver_source(store: TableStore, bronze: DataFrame | staging.Unpacked, sourc
     line = _one(seen, source).withColumns({
         "rows_quarantined_dq": held.agg(F.count("*").alias("v")).scalar(),
         "rows_quarantined_identity": failed.agg(F.count_distinct("bronze_id").alias("v")).scalar(),
-        "rows_in_silver": total.scalar(), "pct_units_inferred": share.scalar(), "pct_timestamps_reformatted": stamps,
+        "rows_in_silver": F.lit(sum(o["rows"] for o in out)).cast("bigint"),
+        "pct_units_inferred": F.lit(out[0]["share"]).cast("double"), "pct_timestamps_reformatted": stamps,
         "resolved_by": by_method.scalar(), "schema_versions_seen": versions.scalar(),
         "expectations_run": scored.select("expectations_run").scalar(),
         "expectations_failed": scored.select("expectations_failed").scalar()})
@@ -155,6 +169,18 @@ def build_gold(spark: SparkSession, store: TableStore, bronze: DataFrame, *, sta
     return out
 
 
+TABLE_TESTS = Path(__file__).parent / "table_tests.json"
+
+
+def test_tables(store: TableStore, bronze: DataFrame) -> DataFrame:
+    """Every declared test of the published tables, with the rows that fail it; kept as ``dq_table_tests``."""
+    declared = declared_tests.read_declarations(TABLE_TESTS)
+    tables = {"stg_pbp": staging.stg_pbp(bronze), "stg_snap_counts": staging.stg_snap_counts(bronze), "dq_quarantine": quarantine_view(store),
+              "dq_resolution_by_method": dq_views.resolution_by_method(store.read("vendor_player_map", identity.PLAYER_MAP_SCHEMA)),
+              "dq_run_summary": store.read("dq_run_summary", SUMMARY_SCHEMA)}
+    return store.replace("dq_table_tests", declared_tests.results({**{n: store.read(n) for n in declared if n not in tables}, **tables}, declared))
+
+
 def run(spark: SparkSession, bronze: DataFrame, store: TableStore, run_id: str, *, start: str = dims.SEASON_START,
         end: str = dims.SEASON_END) -> RunReport:
     """Master and validation first, then Silver for every source that is not
@@ -177,6 +203,7 @@ def run(spark: SparkSession, bronze: DataFrame, store: TableStore, run_id: str,
             write_summary(store, lines, run_id)
         add_missing_tables(store)
         build_gold(spark, store, bronze, start=start, end=end)
+        test_tables(store, bronze)
     return report
 
 

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from squadlake.functions import casts, units
-from squadlake.operators.dedup import attach_group, first_per_key
+from squadlake.operators.dedup import attach_group, first_per_key, latest_with_count
 from squadlake.operators.quality import UNPARSABLE
-from squadlake.session import materialise
+from squadlake.session import materialise_counted
 
 # Field names of the payloads.
 @dataclass(frozen=True)
@@ -64,12 +64,23 @@ class Unpacked:
     def __init__(self, bronze: DataFrame):
         self.bronze = bronze
         self.stored: dict[Feed, DataFrame] = {}
+        self.counted: dict[Feed, dict] = {}
 
     def current(self, feed: Feed) -> DataFrame:
+        """The current records; how many came and how many are kept is counted on the way."""
         if feed not in self.stored:
-            self.stored[feed] = materialise(current(self.bronze, feed))
+            came = unpack(self.bronze, feed)
+            kept = latest_with_count(came, feed.key, ("_ingested_at", "bronze_id"), "_versions").select(*came.columns, "_versions")
+            stored, self.counted[feed] = materialise_counted(
+                kept, rows_in=F.coalesce(F.sum("_versions"), F.lit(0)), rows_kept=F.count(F.lit(1)))
+            self.stored[feed] = stored.drop("_versions")
         return self.stored[feed]
 
+    def counts(self, feed: Feed) -> dict[str, int]:
+        """rows_in and rows_kept, as counted when the current records were stored."""
+        self.current(feed)
+        return self.counted[feed]
+
 
 def rows_of(bronze: DataFrame | Unpacked, feed: Feed) -> DataFrame:
     """The records of one stream; a filter on the partition columns."""
@@ -88,9 +99,9 @@ def unpack(bronze: DataFrame | Unpacked, feed: Feed) -> DataFrame:
 
 def counts(bronze: DataFrame | Unpacked, feed: Feed) -> DataFrame:
     """One row: rows_in and rows_kept of a feed."""
-    if isinstance(bronze, Unpacked) and feed in bronze.stored:
-        kept = bronze.stored[feed].agg(F.count("*").alias("n")).scalar()
-        return rows_of(bronze, feed).agg(F.count("*").alias("rows_in"), kept.alias("rows_kept"))
+    if isinstance(bronze, Unpacked):
+        n = bronze.counts(feed)
+        return bronze.bronze.sparkSession.createDataFrame([(n["rows_in"], n["rows_kept"])], "rows_in bigint, rows_kept bigint")
     per_key = unpack(bronze, feed).groupBy(*feed.key).agg(F.count("*").alias("n"))
     return per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_in"), F.count("*").alias("rows_kept"))
 

@@ -7,7 +7,7 @@ import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Runtime SQL settings every plan relies on.  AQE re-plans joins from measured
 # sizes: a side is broadcast only after Spark has seen that it is under the
@@ -71,6 +71,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
+    """``materialise``, with aggregates over all rows taken by the pass that writes them.
+
+    They are observed in the tasks that write, of which each partition counts once
+    however often a task is repeated.  A frame that stays lazy is aggregated for them.
+    """
+    aggregates = [c.alias(name) for name, c in counts.items()]
+    if not checkpoint_dir(df.sparkSession):
+        return df, df.agg(*aggregates).first().asDict()
+    seen = Observation()
+    stored = materialise(df.observe(seen, *aggregates))
+    return stored, seen.get
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables written so far by queries (or by the run under way), once
     nothing lazy reads them any more."""

@@ -6,8 +6,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from squadlake.operators import assertions as x
-from squadlake.operators import quality
+from squadlake.operators import declared_tests, quality
 from squadlake.plans import daily_run, dims, report
 from squadlake.sources.bronze import BronzeTable
 from squadlake.sources.tables import TableStore
@@ -186,23 +185,21 @@ def test_player_day_reads_like_the_rules(world):
     assert "asymmetry 12.5%" in rami.flag_reasons and rami.weight_lbs == 210.0
 
 
-def test_gold_assertions_hold(world):
-    t = world["store"].read
-    player, cal = t("dim_player"), t("dim_date")
-    tests = {"date unique": x.unique(cal, "date_day"), "mart pk": x.unique_combination(t("mart_player_week"), ["player_sk", "season_week"]),
-             "day pk": x.unique_combination(t("fact_player_day"), ["player_sk", "date_day"]), "team": x.unique(t("dim_team"), "team_sk"),
-             "flag": x.expression_is_true(t("fact_player_day"), "(flag = 'green') = (flag_reasons is null)"),
-             "out red": x.expression_is_true(t("fact_player_day"), "not (availability = 'Out' and flag <> 'red')"),
-             "limited": x.expression_is_true(t("fact_player_day"), "not (availability = 'Limited' and flag = 'green')"),
-             "ready": x.is_between(t("fact_wellness"), "readiness_score", 1, 10), "avail": x.is_between(t("fact_availability"), "availability_pct", 0, 1),
-             "part": x.accepted_values(t("fact_injury"), "body_part", ["hamstring", "knee", "ankle", "shoulder", "concussion"]),
-             "band": x.accepted_values(t("mart_player_week"), "acwr_band", ["low", "sweet", "elevated", "high"]),
-             "versions": x.unique_combination(player, ["player_sk", "valid_from"]), "current": x.unique(t("dim_player_current"), "player_sk"),
-             "weather": x.unique(t("fact_game_weather"), "game_weather_sk"), "play": x.unique(t("fact_play"), "play_sk")}
-    for name in ("fact_training_load", "fact_player_day", "fact_wellness", "fact_strength", "fact_nutrition", "fact_injury", "fact_availability", "fact_play", "mart_player_week"):
-        tests[f"fk {name}"] = x.relationships(t(name), "player_sk", player, "player_sk")
-        tests[f"nn {name}"] = x.not_null(t(name), "player_sk")
-    assert {r.assertion: r.failing_rows for r in x.failures(tests).where("failing_rows > 0").collect()} == {}
+def test_declared_tests_hold(world):
+    found = world["store"].read("dq_table_tests").collect()
+    assert len(found) == declared_tests.count(declared_tests.read_declarations(daily_run.TABLE_TESTS)) == 114
+    assert {(r.table_name, r.test, r.subject): r.failing_rows for r in found if r.failing_rows} == {}
+
+
+def test_runs_keep_their_own_slices(world):
+    store = world["store"]
+    results, held = (slices(store).read() for slices in (daily_run.result_slices, daily_run.quarantine_slices))
+    assert {(r.run_id, r.source) for r in results.select("run_id", "source").distinct().collect()} == {(run, s) for run in ("run-1", "run-2") for s in daily_run.silver.BUILDERS}
+    kinds = {(r.kind, r.expectation_name) for r in held.where("kind = 'identity'").select("kind", "expectation_name").distinct().collect()}
+    assert kinds == {("identity", "player_resolved")} and held.where("reason is null").count() == 0
+    view = {(r.bronze_id, r.expectation_name, r.reason) for r in daily_run.quarantine_view(store).where("source = 'nutrition'").collect()}
+    last = {(r.bronze_id, r.expectation_name, r.reason) for r in held.where("source = 'nutrition' and run_id = 'run-2'").collect()}
+    assert view == last and last
 
 
 def test_plays_and_weather(world):

@@ -6,6 +6,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from squadlake.operators import declared_tests as dt
 from squadlake.operators.asof import asof_day
 from squadlake.operators.dedup import attach_group, dedup_counts, first_per_key, flag_first, flag_repeats, last_wins, latest_per_key, latest_with_count
 from squadlake.operators.numbering import number_new_keys
@@ -143,3 +144,17 @@ def test_scd2_only_tracked_columns_open_versions(rows):
     h = scd2_merge(h, snap((1, "NE", 9), (2, None, 1), (4, "LA", 1)), key="k", check=["team"], now=at[2])
     got = sorted((r.k, r.team or "", r.nfl, (r.valid_from - T0).days, None if r.valid_to is None else (r.valid_to - T0).days) for r in h.collect())
     assert got == sorted([(1, "NE", 1, 0, None), (2, "", 1, 0, 1), (2, "SF", 1, 1, 2), (2, "", 1, 2, None), (3, "KC", 1, 0, None), (4, "LA", 1, 2, None)])
+
+
+def test_declared_tests_count_what_fails(spark, rows):
+    a = rows("id int, code string, n int, g string, top boolean", (1, "x", 5, "g", True), (1, "y", 11, "g", False), (None, None, None, "h", True), (None, "z", 3, "h", True), (2, "z", 9, None, None))
+    declared = {"a": {"keys": [["id"], ["code"], ["g", "top"]], "filled": ["id", "g"], "refers": {"code": "b.code"}, "one_of": {"code": ["x", "y"]}, "within": {"n": [4, 10]},
+                      "holds": ["n > 3", "top"], "least": [["top", "n", ["g"]]]}}
+    found = dt.results({"a": a, "b": rows("code string", ("x",), ("x",), ("y",), (None,))}, declared)
+    assert [c.name for c in found.schema] == [c.split()[0] for c in dt.RESULT_SCHEMA.split(", ")]
+    got = {(r.test, r.subject): r.failing_rows for r in found.collect()}
+    assert got == {("keys", "id"): 1, ("keys", "code"): 1, ("keys", "g, top"): 1, ("filled", "id"): 2, ("filled", "g"): 1, ("refers", "code to b.code"): 2, ("one_of", "code"): 2,
+                   ("within", "n"): 2, ("holds", "n > 3"): 1, ("holds", "top"): 1, ("least", "n where top"): 0}
+    assert len(got) == dt.count(declared)
+    empty = {r.failing_rows for r in dt.results({"a": a.where("false"), "b": a.where("false")}, declared).collect()}
+    assert empty == {0}
