@@ -13,9 +13,11 @@ from squadlake.catalog.registry import query, rnd, shared, stamp, text
 from squadlake.operators import assertions as x
 from squadlake.operators import declared_tests
 from squadlake.operators.numbering import number_new_keys
-from squadlake.operators.scd import scd2_merge, upsert_retire, upsert_stats
+from squadlake.operators.scd import advance, scd2_merge, upsert_retire, upsert_stats, version_history
 from squadlake.plans import dims, dq_views, report
+from squadlake.session import materialise, work_folder
 from squadlake.sources import roster, seeds
+from squadlake.sources.slices import SliceTable
 
 # ---------------------------------------------------------------- dimensions
 
@@ -128,6 +130,29 @@ def scd2_two_snapshots(t):
     return rows.select("k", "priority", "status", day("valid_from"), day("valid_to"), F.col("valid_to").isNull().alias("is_current"), "versions")
 
 
+MONTHS_SQL = """m AS (SELECT o_custkey AS k, date_trunc('month', o_orderdate) AS mon, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS p, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS s
+  FROM orders GROUP BY ALL),
+c AS (SELECT *, lag(p) OVER (PARTITION BY k ORDER BY mon) AS b, row_number() OVER (PARTITION BY k ORDER BY mon) AS n FROM m),
+v AS (SELECT * FROM c WHERE n = 1 OR p IS DISTINCT FROM b)"""
+
+
+@query("scd2_many_snapshots", f"""WITH {MONTHS_SQL} SELECT k, p AS priority, s AS status, strftime(mon, '%Y-%m-%d') AS valid_from,
+  strftime(lead(mon) OVER (PARTITION BY k ORDER BY mon), '%Y-%m-%d') AS valid_to FROM v""")
+def scd2_many_snapshots(t):
+    """Every order month as a snapshot, in three runs: each reads the open versions only and
+    folds all its months in one pass."""
+    month = F.date_trunc("month", "o_orderdate")
+    latest = lambda c: F.max_by(c, F.struct("o_orderdate", "o_orderkey")).alias(c)
+    months = materialise(t.orders.groupBy(F.col("o_custkey").alias("k"), month.alias("at")).agg(latest("o_orderpriority"), latest("o_orderstatus")))
+    months = months.select("k", "at", F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
+    table = SliceTable(t.spark, work_folder(t.spark), "k bigint, priority string, status string, valid_from timestamp, valid_to timestamp, slice string", ("slice",))
+    for run, after, low, high in (("first", None, "1900", "1994"), ("second", "first", "1994", "1996"), ("third", "second", "1996", "9999")):
+        part = months.where((F.col("at") >= F.lit(f"{low}-01-01").cast("timestamp")) & (F.col("at") < F.lit(f"{high}-01-01").cast("timestamp")))
+        advance(table, part, run, after, key="k", check=["priority"], at="at")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return version_history(table, "third").select("k", "priority", "status", day("valid_from"), day("valid_to"))
+
+
 @query("dim_player_versions", """WITH u AS (SELECT c_custkey AS sk, c_name, c_nationkey, c_acctbal FROM customer)
 SELECT sk AS player_sk, c_name AS full_name, 'T' || CASE WHEN i = 1 AND c_acctbal > 5000 THEN 'X' ELSE CAST(c_nationkey AS VARCHAR) END AS team, c_acctbal >= 0 AS on_roster, i = 1 OR c_acctbal <= 5000 AS is_current, CAST(CASE WHEN c_acctbal > 5000 THEN 2 ELSE 1 END AS BIGINT) AS versions
 FROM u, (VALUES (0), (1)) g(i) WHERE i = 0 OR c_acctbal > 5000""")

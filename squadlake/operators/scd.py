@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from squadlake.operators.numbering import number_new_keys
+from squadlake.sources.slices import SliceTable
 
 
 def upsert_retire(prev: DataFrame, snapshot: DataFrame, *, key: str, sk: str, compare: Sequence[str],
@@ -77,3 +78,36 @@ def scd2_merge(history: DataFrame, snapshot: DataFrame, *, key: str, check: Sequ
     versions = F.array_compact(F.array(F.when(had, old), F.when(opens, new)))
     moved = j.select(F.explode(versions).alias("v")).select("v.*")
     return closed.select(moved.columns).unionByName(moved)
+
+
+def versions(snapshots: DataFrame, *, key: str, check: Sequence[str], at: str) -> DataFrame:
+    """Type-2 history of any number of snapshots in one pass and one shuffle.
+
+    ``snapshots`` has a row for each key and snapshot it is in, ``at`` being the
+    snapshot's time.  A key's row opens a version where a ``check`` column differs from
+    its row before, nulls being equal; the next one closes it.  A version has the other
+    columns as they were when it opened.  The result has the columns of ``snapshots``
+    but ``at``, and valid_from and valid_to.
+    """
+    order = Window.partitionBy(key).orderBy(at)
+    before = F.lag(F.struct(*check)).over(order)  # null only where there is no row before
+    opens = snapshots.withColumn("_before", before).where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(F.struct(*check))).drop("_before")
+    return opens.withColumn("valid_to", F.lead(at).over(order)).withColumnRenamed(at, "valid_from")
+
+
+def advance(table: SliceTable, snapshots: DataFrame, run: str, after: str | None, *, key: str, check: Sequence[str], at: str) -> None:
+    """Carry a version table, sliced by ``slice``, over the snapshots that came since run ``after``.
+
+    Only the versions that run left open are read: each goes ahead of its key's snapshots
+    as a row of its own.  What closes and what stays open are slices of this run, so a
+    repeated run finds what it found before, and no later run touches what has closed.
+    """
+    held = table.read().where(F.col("slice") == f"open after {after}").withColumnRenamed("valid_from", at).select(*snapshots.columns)
+    moved = versions(held.unionByName(snapshots), key=key, check=check, at=at)
+    table.replace(moved.where("valid_to is not null"), slice=f"closed by {run}")
+    table.replace(moved.where("valid_to is null"), slice=f"open after {run}")
+
+
+def version_history(table: SliceTable, last: str) -> DataFrame:
+    """All versions as of the run ``last``, the latest one."""
+    return table.read().where(F.col("slice").startswith("closed by ") | (F.col("slice") == f"open after {last}")).drop("slice")

@@ -10,9 +10,10 @@ from squadlake.operators import declared_tests as dt
 from squadlake.operators.asof import asof_day
 from squadlake.operators.dedup import attach_group, dedup_counts, first_per_key, flag_first, flag_repeats, last_wins, latest_per_key, latest_with_count
 from squadlake.operators.numbering import number_new_keys
-from squadlake.operators.scd import scd2_merge, upsert_retire
+from squadlake.operators.scd import advance, scd2_merge, upsert_retire, version_history, versions
 from squadlake.operators.timeseries import day_grid, ewma, explode_days
 from squadlake.operators.windows import sliding_stats
+from squadlake.sources.slices import SliceTable
 
 T0 = datetime(2026, 8, 1)
 
@@ -158,3 +159,43 @@ def test_declared_tests_count_what_fails(spark, rows):
     assert len(got) == dt.count(declared)
     empty = {r.failing_rows for r in dt.results({"a": a.where("false"), "b": a.where("false")}, declared).collect()}
     assert empty == {0}
+
+
+def test_versions_of_many_snapshots_like_merging_them_in_turn(spark, rows, tmp_path):
+    rnd = random.Random(4)
+    schema = "k bigint, team string, w int"
+    snaps = [[(k, rnd.choice(["NE", "KC", None]), rnd.randint(1, 3)) for k in range(12) if rnd.random() < 0.7] for _ in range(9)]
+    times = [T0 + timedelta(days=i) for i in range(9)]
+    history = rows(schema + ", valid_from timestamp, valid_to timestamp")
+    for at, snap in zip(times, snaps):
+        history = scd2_merge(spark.createDataFrame(history.collect(), history.schema), rows(schema, *snap), key="k", check=["team"], now=F.lit(at))
+    want = sorted(map(str, map(tuple, history.collect())))
+    every = rows(schema + ", at timestamp", *[(*r, at) for at, snap in zip(times, snaps) for r in snap])
+    whole = versions(every, key="k", check=["team"], at="at")
+    assert sorted(str(tuple(r)) for r in whole.select(*history.columns).collect()) == want
+    assert plan(whole).split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 1
+
+    table = SliceTable(spark, str(tmp_path / "versions"), schema + ", valid_from timestamp, valid_to timestamp, slice string", ("slice",))
+    files = {}
+    for run, after, low, high in (("a", None, 0, 4), ("b", "a", 4, 5), ("b", "a", 4, 5), ("c", "b", 5, 9)):  # the second run is repeated
+        part = every.where((F.col("at") >= F.lit(times[low])) & (F.col("at") <= F.lit(times[high - 1])))
+        advance(table, part, run, after, key="k", check=["team"], at="at")
+        now = {p.name for p in (tmp_path / "versions" / "slice=closed by a").glob("*.parquet")}
+        assert files.setdefault("first", now) == now
+    assert sorted(str(tuple(r)) for r in version_history(table, "c").select(*history.columns).collect()) == want
+
+
+def test_a_slice_is_replaced_and_the_others_stay(rows, spark, tmp_path):
+    table = SliceTable(spark, str(tmp_path / "t"), "n int, run string, source string", ("run", "source"))
+    assert table.read().count() == 0
+    frame = rows("n int", (1,), (2,), (3,))
+    for run in ("r 1", "r:2"):
+        for source in ("a", "b/c"):
+            assert table.replace(frame, run=run, source=source) == 3
+    names = lambda: {f.name for f in tmp_path.glob("t/run=r 1/*/*.parquet")}
+    before = names()
+    assert table.replace(frame.where("n > 2"), run="r:2", source="a") == 1 and table.replace(frame.where("false"), run="r:2", source="b/c") == 0
+    assert names() == before and sorted(map(tuple, table.read().collect())) == [
+        *[(n, "r 1", s) for n in (1, 2, 3) for s in ("a", "b/c")], (3, "r:2", "a")]
+    with pytest.raises(ValueError):
+        table.replace(frame, run="r")
