@@ -19,8 +19,9 @@ is within one edit of all from which it comes.
 For long lines words are the unit as well: a line of n words may differ from the
 shorter one in n // ``words_per_edit`` words, ``word_edits`` at most.  Of k + 1
 segments of the shorter line one stays whole under k edits, so lines that share a
-segment at fitting places are candidates.  Few lines under a segment are paired
-off; of many, all variants are keys.  A variant has gaps of a cost each, k in all,
+segment at fitting places are candidates.  They meet leaders of the segment first,
+which takes most near copies out.  What stands seeks among the earlier lines that it
+has not met: few lines under a segment are paired off; of many, all variants are keys.  A variant has gaps of a cost each, k in all,
 where at most that many words were deleted: lines that share one are within k
 edits, so again the earliest is enough.
 """
@@ -43,6 +44,7 @@ from squadlake.llm.textblocks import LENGTH, SpanHasher, column_of, mix, text_ch
 MIN_CHARS = 20  # shorter lines are only compared for equality
 WORD_EDITS = 2  # words in which a long line may differ, at most
 WORDS_PER_EDIT = 16  # words that a line needs for each of them
+LEADERS = 2  # rounds in which lines meet one leader of each of their segments
 FEW = 128  # lines under a shared segment that are paired off
 LAST = np.iinfo(np.int64).max  # the position of documents without an id
 _SECOND = np.uint64(0x2545F4914F6CDD1D)
@@ -321,19 +323,49 @@ def word_neighbourhoods(lines: DataFrame, word_edits: int, words_per_edit: int)
     return lines.select("hash", "text").mapInArrow(run, "key long, name long")
 
 
+def led_segments(lines: DataFrame, seeds: DataFrame, scratch: Scratch, close) -> tuple[DataFrame, DataFrame]:
+    """Each line meets leaders of its segments, as many pairs as rows: the earliest line,
+    then the earliest that stands and has not led.  Returns the hashes (later) of the lines
+    gone by that, and the rows (key, name, seeks) to search on: those that stand and come after
+    one that has not led seek, and the latter are their witnesses, gone or not."""
+    state = seeds.join(lines.select(F.col("hash").alias("name"), F.struct("position", "line", "hash").alias("place")), "name").select(
+        "key", "name", "place", F.lit(False).alias("led"), F.lit(False).alias("gone"))
+    state, gone = scratch.keep(state, "segments"), lines.where("false").select(F.col("hash").alias("later"))
+    for _ in range(LEADERS):
+        heads = state.where("not (led or gone)").groupBy("key").agg(F.min("place").alias("head"))
+        met = state.join(heads, "key", "left")
+        pairs = met.where("not (led or gone) and place > head").select(F.col("name").alias("a"), F.col("head.hash").alias("b"))
+        new = scratch.keep(later_of(pairs, lines, close), "led")
+        gone = gone.union(new)
+        met = met.join(new.select(F.col("later").alias("name"), F.lit(True).alias("_new")), "name", "left")
+        leads = F.coalesce(F.col("place") == F.col("head"), F.lit(False))
+        state = scratch.keep(met.select("key", "name", "place", (F.col("led") | leads).alias("led"), (F.col("gone") | F.col("_new").isNotNull()).alias("gone")), "segments")
+    stands, witness = ~F.col("gone"), ~F.col("led")
+    ranges = state.groupBy("key").agg(F.min(F.when(witness, F.col("place"))).alias("low"), F.max(F.when(stands, F.col("place"))).alias("high")).where("low < high")
+    roles = state.join(ranges, "key").select("key", "name", (stands & (F.col("place") > F.col("low"))).alias("seeks"), (witness & (F.col("place") < F.col("high"))).alias("seen"))
+    return gone, roles.where("seeks or seen").select("key", "name", "seeks")
+
+
 def word_repeats(lines: DataFrame, seeds: DataFrame, scratch: Scratch, word_edits: int, words_per_edit: int) -> DataFrame:
     """Hashes of the lines within their word bound of an earlier one; ``lines``: hash, text,
     position, line; ``seeds``: (key, name) of the segments that lines share."""
-    sized = seeds.join(seeds.groupBy("key").agg(F.count("*").alias("n")), "key")
+    close = close_lines(word_edits, words_per_edit)
+    gone, left = led_segments(lines, seeds, scratch, close)
+    left = scratch.keep(left, "left")
+    sized = left.join(left.groupBy("key").agg(F.count("*").alias("n")), "key")
     few = sized.where(F.col("n") <= FEW)
-    pairs = few.select("key", F.col("name").alias("a")).join(few.select("key", F.col("name").alias("b")), "key").where("a < b").select("a", "b")
-    many = scratch.keep(lines.join(sized.where(F.col("n") > FEW).select(F.col("name").alias("hash")), "hash", "left_semi"), "many")
+    pairs = few.where("seeks").select("key", F.col("name").alias("x")).join(few.select("key", F.col("name").alias("y")), "key").where("x <> y").select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    many = sized.where(F.col("n") > FEW).groupBy(F.col("name").alias("hash")).agg(F.bool_or("seeks").alias("seeks"))
+    many = scratch.keep(lines.join(many, "hash").select("hash", "text", "seeks", F.struct("position", "line", "hash").alias("place")), "many")
     if not many.isEmpty():
-        keys = scratch.keep(shared_keys(word_neighbourhoods(many, word_edits, words_per_edit)).select("key", F.col("name").alias("hash")), "gaps")
-        placed = keys.join(many.select("hash", F.struct("position", "line", "hash").alias("place")), "hash")
+        tasks = many.sparkSession.sparkContext.defaultParallelism * 4  # some lines have very many variants
+        keys = shared_keys(word_neighbourhoods(many.repartition(tasks, "hash"), word_edits, words_per_edit))
+        keys = scratch.keep(keys.select("key", F.col("name").alias("hash")), "gaps")
+        placed = keys.join(many.select("hash", "seeks", "place"), "hash")
         heads = placed.groupBy("key").agg(F.min("place").alias("head")).select("key", F.col("head.hash").alias("b"))
-        pairs = pairs.union(placed.join(heads, "key").where("hash <> b").select(F.col("hash").alias("a"), "b"))
-    return later_of(pairs, lines, close_lines(word_edits, words_per_edit))
+        pairs = pairs.union(placed.where("seeks").join(heads, "key").where("hash <> b").select(F.col("hash").alias("a"), "b"))
+    return gone.union(later_of(pairs, lines, close)).distinct()
 
 
 def close_pairs(pairs: DataFrame, close=within_one_edit) -> DataFrame:
