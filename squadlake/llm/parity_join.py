@@ -40,6 +40,8 @@ BAND_RATIO = 3
 MAX_FREQUENT = 1 << 20  # keys in the list of frequent ones: 9 MB
 TOP_COUNT = 4096  # counts from here on are alike
 KEY_BITS = np.uint64(58)
+MOST_TIMES = 63  # of a key in one word, beside its bits
+COMBINED_KEYS = 1 << 20  # that a task holds to add them up
 SKETCH_WORDS = 32  # 2048 bits: tells sets of up to some thousand n-grams apart
 SET_ROWS = "64"  # of an Arrow batch: a long document's set takes some hundred kilobytes
 BLOCK_SETS = 2048  # of one key that meet in a task
@@ -139,21 +141,43 @@ def describe(docs: DataFrame, ngram: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, name long, copy long")
 
 
+def combined(keys: np.ndarray) -> np.ndarray:
+    """Each key beside its number in one word, key << 6 | times; what goes beyond
+    MOST_TIMES is in further words of that key."""
+    keys, times = np.unique(keys, return_counts=True)
+    words = 1 + (times - 1) // MOST_TIMES
+    out = np.full(words.sum(), MOST_TIMES, dtype=np.uint64)
+    out[np.cumsum(words) - 1] = times - MOST_TIMES * (words - 1)
+    return np.repeat(keys << np.uint64(64 - KEY_BITS), words) | out
+
+
 def key_counts(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """(key, times) of all sketches' keys that occur more than once.  Keys alone are
-    shuffled and stream by in order, so a frequent key takes no memory."""
+    """(key, times) of all sketches' keys that occur more than once.  Tasks add up
+    what they hold of a key before the shuffle; one word a key is shuffled and
+    streams by in order, so a frequent key takes no memory."""
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
+        held, size = [], 0
         for _, sets, firsts, _, _ in _scanned(batches, ngram):
             for _, _, _, keys, _ in _sketches(sets, firsts, bands):
-                yield _batch(key=keys)
+                held.append(keys)
+                size += len(keys)
+            if size >= COMBINED_KEYS:
+                yield _batch(word=combined(np.concatenate(held)))
+                held, size = [], 0
+        if held:
+            yield _batch(word=combined(np.concatenate(held)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = None, 0
         for batch in batches:
-            keys, times = np.unique(batch.column(0).to_numpy(), return_counts=True)
-            if not len(keys):
+            words = batch.column(0).to_numpy().view(np.uint64)
+            if not len(words):
                 continue
+            keys = words >> np.uint64(64 - KEY_BITS)
+            at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            times = np.add.reduceat((words & np.uint64(MOST_TIMES)).astype(np.int64), at)
+            keys = keys[at]
             if last == keys[0]:
                 times[0] += seen
             elif last is not None and seen > 1:
@@ -164,8 +188,9 @@ def key_counts(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
         if seen > 1:
             yield _batch(key=np.array([last]), times=np.array([seen]))
 
-    keys = docs.select("doc_id", "text").mapInArrow(every, "key long")
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(count, "key long, times long")
+    words = docs.select("doc_id", "text").mapInArrow(every, "word long")
+    key = F.shiftrightunsigned("word", int(64 - KEY_BITS))
+    return words.repartition(key).sortWithinPartitions("word").mapInArrow(count, "key long, times long")
 
 
 def frequent_keys(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -235,8 +260,9 @@ def chosen_sets(docs: DataFrame, copies: DataFrame, n_copies: int, ngram: int, c
                 words = bit_sketches(*subset(sets, firsts, hit)).reshape(-1).view(np.int64)
                 values = pa.ListArray.from_arrays(pa.array(np.arange(len(hit) + 1, dtype=np.int32) * SKETCH_WORDS), pa.array(words))
             else:
-                raw = memoryview(sets.astype("<u8").tobytes())
-                values = pa.array([raw[8 * firsts[i]:8 * firsts[i + 1]] for i in hit.tolist()], pa.binary())
+                grams, ends = subset(sets, firsts, hit)
+                values = pa.Array.from_buffers(pa.large_binary(), len(hit), [
+                    None, pa.py_buffer(8 * ends.astype(np.int64)), pa.py_buffer(grams.astype("<u8"))]).cast(pa.binary())
             yield _batch(name=names[hit], size=np.diff(firsts)[hit], **{content: values})
 
     kind = "array<long>" if content == "sketch" else "binary"

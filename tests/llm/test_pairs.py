@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from conftest_llm import AWKWARD, rows_of
 
@@ -89,6 +90,26 @@ def copies(rnd, words):
     return words
 
 
+def test_key_counts_add_up(docs, scratch, monkeypatch):
+    rows = [(i, f"a b c d e own{i}") for i in range(300)] + [(900, "only once here you see"), (901, None)]
+    whole = rows_of(parity_join.key_counts(docs(rows), 5, 80))
+    monkeypatch.setattr(parity_join, "COMBINED_KEYS", 50)
+    assert rows_of(parity_join.key_counts(docs(rows), 5, 80)) == whole
+    times = [n for _, n in whole]
+    assert 1 < min(times) and 100 < max(times) <= 300
+    got = parity_join.combined(np.repeat(np.array([5, 7, 9], dtype=np.uint64), [1, 63, 200]))
+    assert [(int(x) >> 6, int(x) & 63) for x in got] == [(5, 1), (7, 63), (9, 63), (9, 63), (9, 63), (9, 11)]
+
+
+@pytest.mark.parametrize("case", ["blocks", "few frequent"])
+def test_near_copies_beyond_the_bounds(docs, scratch, case, monkeypatch):
+    monkeypatch.setattr(parity_join, *{"blocks": ("BLOCK_SETS", 4), "few frequent": ("MAX_FREQUENT", 3)}[case])
+    rnd = random.Random(11)
+    shared = [f"boiler{i}" for i in range(12)]
+    rows = [(i, " ".join(shared + [f"w{rnd.randrange(3)}" for _ in range(rnd.choice([2, 4, 30]))])) for i in range(120)]
+    assert rows_of(parity_join.classes(docs(rows), scratch)) == near_classes(rows)
+
+
 def test_near_copies(docs, scratch):
     rnd = random.Random(5)
     rows, shared = list(AWKWARD), [f"boiler{i}" for i in range(30)]
