@@ -119,8 +119,9 @@ class Tree:
         self.largest = largest
         self.computed = self.avoided = 0
 
-    def search(self, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k rows (score, vec_id) with the highest scores, ties to smaller ids."""
+    def search(self, query: np.ndarray, k: int, without: int | None = None) -> list[tuple[int, int]]:
+        """The k rows (score, vec_id) with the highest scores, ties to smaller ids; rows
+        of the id ``own`` take no part."""
         wide = self.dim * max(self.largest, 1) * max(int(np.abs(query).max(initial=0)), 1) >= 1 << 62
         exact = query.astype(object) if wide else query
         point = np.append(query.astype(np.float64), 0.0)
@@ -154,7 +155,10 @@ class Tree:
                         heapq.heappush(queue, (low, 1, node, i, x))
                 continue
             vectors, distances, ids, bounds = entries[leaf]
-            near = np.flatnonzero(np.abs(d - distances) <= limit)
+            fits = np.abs(d - distances) <= limit
+            if without is not None:
+                fits &= np.logical_or.reduceat(ids != without, bounds[:-1])
+            near = np.flatnonzero(fits)
             self.avoided += len(distances) - len(near)
             self.computed += len(near)
             scores = vectors[near].astype(object) @ exact if wide else vectors[near] @ exact
@@ -166,6 +170,8 @@ class Tree:
             for i in chosen.tolist():
                 score = int(scores[i])
                 for vec_id in ids[bounds[near[i]]:bounds[near[i] + 1]].tolist():
+                    if vec_id == without:
+                        continue
                     if len(best) < k:
                         heapq.heappush(best, (score, -vec_id))
                     elif (score, -vec_id) > best[0]:
@@ -204,33 +210,42 @@ def build_trees(rows: DataFrame, k: int, scratch: Scratch, tree_vectors: int = T
 
 
 def search_trees(pages: DataFrame, trees: int, queries: DataFrame, n_queries: int, k: int, block_queries: int = BLOCK_QUERIES) -> DataFrame:
-    """(vector, vec_id, score): for each distinct query ``vector`` the k best rows of each tree."""
+    """(vector, own, vec_id, score): for each distinct query (vector, own) the k best
+    rows of each tree, but those of the id ``own`` where it is not null."""
     blocks = max(1, math.ceil(n_queries / block_queries))
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[dict] = []
         if left.num_rows and right.num_rows:
             tree = Tree(left.to_pylist())
-            for raw in right.column("vector").to_pylist():
-                found += [{"vector": raw, "vec_id": i, "score": s} for s, i in tree.search(np.frombuffer(raw, "<i8"), k)]
-        return _table(found, pa.schema([("vector", pa.binary()), ("vec_id", pa.int64()), ("score", pa.int64())]))
+            for raw, own in zip(right.column("vector").to_pylist(), right.column("own").to_pylist()):
+                found += [{"vector": raw, "own": own, "vec_id": i, "score": s} for s, i in tree.search(np.frombuffer(raw, "<i8"), k, own)]
+        return _table(found, pa.schema([("vector", pa.binary()), ("own", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
 
     every_block = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    every_tree = queries.select("vector", (F.octet_length("vector") / 8).cast("int").alias("dim"), F.pmod(F.xxhash64("vector"), F.lit(blocks)).cast("int").alias("block"),
+    every_tree = queries.select("vector", "own", (F.octet_length("vector") / 8).cast("int").alias("dim"), F.pmod(F.xxhash64("vector", "own"), F.lit(blocks)).cast("int").alias("block"),
                                 F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     keys = ["tree", "dim", "block"]
-    return every_block.groupBy(*keys).cogroup(every_tree.groupBy(*keys)).applyInArrow(search, "vector binary, vec_id long, score long")
+    return every_block.groupBy(*keys).cogroup(every_tree.groupBy(*keys)).applyInArrow(search, "vector binary, own long, vec_id long, score long")
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of ``rows`` with the highest inner
     product with each row of ``queries`` (both vec_id, vector), but its own id; ties
     go to the smaller id.  Fewer rows give fewer results, none gives none.  Rows
-    equal in id and vector count once; only equal dimensions are compared.
+    equal in id and vector count once; an id of several vectors is one query, with the
+    best rows for any of them.  Only equal dimensions are compared.
     """
     pages, trees = build_trees(rows, k, scratch)
-    distinct = scratch.keep(queries.select("vector").distinct(), "queries")
+    # Of an id with one vector at most one of k + 1 rows is its own, so queries of a vector
+    # share their search.  Where an id has several vectors, its own rows are left out in it.
+    asked = rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(
+        (F.min("vector") != F.max("vector")).alias("_several"))
+    named = scratch.keep(queries.distinct().join(asked, "vec_id", "left").select(
+        F.col("vec_id").alias("query_id"), "vector", F.when(F.col("_several"), F.col("vec_id")).alias("own")), "queries")
+    distinct = scratch.keep(named.select("vector", "own").distinct(), "distinct")
     found = scratch.keep(search_trees(pages, trees, distinct, distinct.count(), k + 1), "found")
+    found = found.withColumnsRenamed({"vector": "_vector", "own": "_own"})
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    named = queries.distinct().withColumnRenamed("vec_id", "query_id").join(found, "vector").where("query_id <> vec_id")
-    return named.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    met = named.join(found, (F.col("vector") == F.col("_vector")) & F.col("own").eqNullSafe(F.col("_own"))).where("query_id <> vec_id")
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

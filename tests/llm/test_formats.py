@@ -72,14 +72,14 @@ def test_search(spark, scratch):
     rows = [(int(i), rng.normal(size=6).round(1).tolist()) for i in range(600)]
     rows += [(3000 + i, rows[50][1]) for i in range(300)] + [(9000, None), (9050, [1.0] * 5 + [float("nan")]), (9100, [0.0] * 6), (9150, [1.0, 2.0]),
                                                              (9200, [None] * 6), (None, [1.0] * 6), (100, rows[100][1]), (9250, [1e5] * 6), (9300, [])]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as rank", "2 as score", "3 as tree")
+    rows += [(200, [n * x for x in rows[200][1]]) for n in range(2, 12)] + [(250, rows[200][1])]  # an id's own rows come before all others
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as rank", "2 as score", "3 as tree", "4 as own")
     held = {(r.vec_id, tuple(int(np.floor(256 * float(x))) for x in r.embedding)) for r in frame.collect()
             if r.vec_id is not None and r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding)}
     want = []
-    for q, a in held:
-        if q % 50 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in held if i != q and len(a) == len(b))[:5]
-            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    for q in {q for q, _ in held if q % 50 == 0}:
+        best = sorted((-sum(x * y for x, y in zip(a, b)), i) for own, a in held if own == q for i, b in held if i != q and len(a) == len(b))[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     vectors = scratch.keep(mtree.quantised(frame, "vec_id", "embedding", 256).where("octet_length(vector) > 0"))
     assert rows_of(mtree.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5, scratch)) == sorted(want, key=str)
     assert mtree.top_k(vectors.where("false"), vectors.where("false"), 5, scratch).count() == 0
