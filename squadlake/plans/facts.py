@@ -64,14 +64,13 @@ def fact_training_load(sessions: DataFrame, surveys: DataFrame, calendar: DataFr
                  "external_load": F.coalesce("_load", F.lit(0.0)), "duration_min": F.coalesce("_minutes", zero),
                  "sessions": F.coalesce("_sessions", zero),
                  "internal_load": F.coalesce(F.col("srpe") * F.col("_minutes"), zero).cast("double")}))
-    week, month, look_back = (trailing(["player_sk"], "date_day", n) for n in (7, 28, EWMA_DAYS))
+    week, month = (trailing(["player_sk"], "date_day", n) for n in (7, 28))
     rolled = daily.withColumns({
         "acute_7d": F.sum("external_load").over(week), "chronic_28d": F.sum("external_load").over(month) / 4.0,
         "internal_acute_7d": F.sum("internal_load").over(week),
         "internal_chronic_28d": F.sum("internal_load").over(month) / 4.0,
-        "history_days": F.count("*").over(month), "_history": F.collect_list("external_load").over(look_back)})
-    rolled = rolled.withColumns({"ewma_acute": ewma(F.col("_history"), LAMBDA_ACUTE),
-                                 "ewma_chronic": ewma(F.col("_history"), LAMBDA_CHRONIC)})
+        "history_days": F.count("*").over(month)})
+    rolled = ewma(rolled, ["player_sk"], "date_day", "external_load", EWMA_DAYS, {"ewma_acute": LAMBDA_ACUTE, "ewma_chronic": LAMBDA_CHRONIC})
     ratio = lambda n, d: F.when(F.col("history_days") >= FULL_HISTORY, F.try_divide(F.col(n), F.col(d)))
     rolled = rolled.withColumns({"acwr_coupled": ratio("acute_7d", "chronic_28d"),
                                  "internal_acwr": ratio("internal_acute_7d", "internal_chronic_28d"),

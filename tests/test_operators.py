@@ -92,11 +92,23 @@ def test_grid_and_backward_spans(rows):
     assert [(r.k, r.date_day) for r in explode_days(spans, "s", "e").collect()] == [("b", date(2026, 8, 1))]
 
 
-def test_ewma_weights(rows):
-    load = [10.0, 0.0, 5.0, 7.5]
-    got = rows("h array<double>", (load,)).select(ewma(F.col("h"), 0.25)).first()[0]
-    w = [0.75 ** (3 - i) for i in range(4)]
-    assert got == pytest.approx(sum(a * b for a, b in zip(w, load)) / sum(w), abs=1e-12)
+@pytest.mark.parametrize("look_back", [1, 3, 7, 56])
+def test_ewma_weights(rows, look_back):
+    rnd = random.Random(look_back)
+    loads = {k: [rnd.choice([0.0, 0.0, 1e-3, 37.25, 1e4]) for _ in range(n)] for k, n in (("a", 1), ("b", 5), ("c", 130), ("d", 57))}
+    starts = {"a": date(2026, 8, 1), "b": date(1969, 12, 30), "c": date(2026, 2, 11), "d": date(2026, 3, 1)}
+    grid = rows("k string, d date, x double", *[(k, starts[k] + timedelta(i), x) for k, xs in loads.items() for i, x in enumerate(xs)])
+    out = ewma(grid, ["k"], "d", "x", look_back, {"fast": 0.25, "slow": 2 / 29})
+    assert out.columns == ["k", "d", "x", "fast", "slow"]
+    got = {(r.k, (r.d - starts[r.k]).days): r for r in out.collect()}
+    assert len(got) == sum(map(len, loads.values()))
+    for (k, i), r in got.items():
+        own = loads[k][max(0, i - look_back + 1):i + 1][::-1]
+        for name, decay in (("fast", 0.25), ("slow", 2 / 29)):
+            w = [(1 - decay) ** j for j in range(len(own))]
+            assert r[name] == pytest.approx(sum(a * b for a, b in zip(w, own)) / sum(w), rel=1e-12, abs=1e-12)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "collect_list" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
 def test_asof_sees_updates_before_the_grid_and_late_corrections(rows):
