@@ -41,9 +41,9 @@ def identifier_columns(*, gsis: Column | None = None, nfl: Column | None = None,
 
 
 def identifier_key(ids: dict[str, Column]) -> Column:
-    """One digest over the identifier columns; NULL and '' stay apart."""
+    """One digest over the identifier columns, its bytes; NULL and '' stay apart."""
     parts = [F.coalesce(F.concat(F.lit("="), ids[i]), F.lit("-")) for i in IDENTIFIER]
-    return F.sha2(F.concat_ws("\u001f", *parts), 256)
+    return F.unhex(F.sha2(F.concat_ws("\u001f", *parts), 256))
 
 
 def alias_index(players: DataFrame) -> DataFrame:

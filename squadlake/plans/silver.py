@@ -180,7 +180,7 @@ def emr(bronze: DataFrame, held: DataFrame, players: DataFrame, vendor_map: Data
         run_id: str = "manual") -> SilverRun:
     """Injuries, and status updates that inherit the injury's player."""
     inj_rows = accepted(bronze, staging.INJURIES, held)
-    upd_rows = staging.unpack(bronze, staging.STATUS_UPDATES).withColumn("_at", casts.iso_utc(F.col("updated_at")))
+    upd_rows = staging.every_row(bronze, staging.STATUS_UPDATES).withColumn("_at", casts.iso_utc(F.col("updated_at")))
     upd_rows = latest_with_count(upd_rows, ["update_id"], ["_at", "_ingested_at", "bronze_id"])
     upd_rows = materialise(without_quarantined(upd_rows, held))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from squadlake.functions import casts, units
 from squadlake.operators.dedup import attach_group, first_per_key, latest_with_count
 from squadlake.operators.quality import UNPARSABLE
-from squadlake.session import materialise_counted
+from squadlake.session import materialise, materialise_counted
 
 # Field names of the payloads.
 @dataclass(frozen=True)
@@ -25,18 +25,19 @@ class Feed:
     endpoint: str
     key: tuple[str, ...]
     fields: tuple[str, ...]
+    presence: tuple[str, ...] = ()  # payload keys of which it matters whether they are there, null or not
 
 
 FORCEDECK = Feed("forcedeck", "/v1/tests", ("test_id",), (
     "test_id", "athlete_gsis_id", "test_ts", "test_type", "rep", "jump_height_cm", "peak_force", "force_unit",
-    "rfd", "asymmetry_pct", "device_id"))
+    "rfd", "asymmetry_pct", "device_id"), ("device_id",))
 CATAPULT = Feed("catapult", "/v1/sessions", ("session_id",), (
     "session_id", "player_id", "session_ts", "session_type", "duration_min", "distance_unit", "total_distance",
     "high_speed_distance", "speed_unit", "max_speed", "sprint_count", "accel_count", "decel_count", "player_load"))
 ATHLETES = Feed("catapult", "/v1/athletes", ("athlete_id",), ("athlete_id", "first_name", "last_name"))
 WELLNESS = Feed("ams_wellness", "/v1/surveys", ("survey_id",), (
     "survey_id", "athlete_id", "player_id", "name", "first_name", "last_name", "submitted_at", "scale_max",
-    "sleep_hours", "sleep_quality", "soreness", "fatigue", "stress", "mood", "srpe"))
+    "sleep_hours", "sleep_quality", "soreness", "fatigue", "stress", "mood", "srpe"), ("athlete_id", "scale_max"))
 NUTRITION = Feed("nutrition", "/v1/measurements", ("measurement_id",), (
     "measurement_id", "player_name", "team", "measured_on", "method", "weight", "weight_unit", "body_fat_pct",
     "lean_mass", "hydration_status"))
@@ -64,18 +65,25 @@ class Unpacked:
     def __init__(self, bronze: DataFrame):
         self.bronze = bronze
         self.stored: dict[Feed, DataFrame] = {}
+        self.every: dict[Feed, DataFrame] = {}
         self.counted: dict[Feed, dict] = {}
 
     def current(self, feed: Feed) -> DataFrame:
         """The current records; how many came and how many are kept is counted on the way."""
         if feed not in self.stored:
-            came = unpack(self.bronze, feed)
+            came = self.every.get(feed, unpack(self.bronze, feed))
             kept = latest_with_count(came, feed.key, ("_ingested_at", "bronze_id"), "_versions").select(*came.columns, "_versions")
             stored, self.counted[feed] = materialise_counted(
                 kept, rows_in=F.coalesce(F.sum("_versions"), F.lit(0)), rows_kept=F.count(F.lit(1)))
             self.stored[feed] = stored.drop("_versions")
         return self.stored[feed]
 
+    def rows(self, feed: Feed) -> DataFrame:
+        """All records, for feeds whose current ones are picked in several ways."""
+        if feed not in self.every:
+            self.every[feed] = materialise(unpack(self.bronze, feed))
+        return self.every[feed]
+
     def counts(self, feed: Feed) -> dict[str, int]:
         """rows_in and rows_kept, as counted when the current records were stored."""
         self.current(feed)
@@ -89,12 +97,21 @@ def rows_of(bronze: DataFrame | Unpacked, feed: Feed) -> DataFrame:
 
 
 def unpack(bronze: DataFrame | Unpacked, feed: Feed) -> DataFrame:
-    """Payload fields as text, next to the record's metadata."""
+    """Payload fields as text, next to the record's metadata and whether the keys of
+    ``feed.presence`` are there.  The payload itself is left behind: what follows
+    shuffles, sorts and stores the rows."""
     schema = ", ".join(f"`{f}` string" for f in feed.fields)
+    keys = [F.json_object_keys("payload").alias("_keys")] if feed.presence else []
+    there = [F.array_contains("_keys", name).alias(_presence(name)) for name in feed.presence]
     return (rows_of(bronze, feed)
-            .select(F.col("id").alias("bronze_id"), "payload", "_schema_version", "_ingested_at",
+            .select(F.col("id").alias("bronze_id"), "_schema_version", "_ingested_at", *keys,
                     F.from_json("payload", schema).alias("_p"))
-            .select("bronze_id", "payload", "_schema_version", "_ingested_at", "_p.*"))
+            .select("bronze_id", "_schema_version", "_ingested_at", *there, "_p.*"))
+
+
+def every_row(bronze: DataFrame | Unpacked, feed: Feed) -> DataFrame:
+    """All unpacked records of a feed, stored once where the frame is an ``Unpacked``."""
+    return bronze.rows(feed) if isinstance(bronze, Unpacked) else unpack(bronze, feed)
 
 
 def counts(bronze: DataFrame | Unpacked, feed: Feed) -> DataFrame:
@@ -106,9 +123,13 @@ def counts(bronze: DataFrame | Unpacked, feed: Feed) -> DataFrame:
     return per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_in"), F.count("*").alias("rows_kept"))
 
 
+def _presence(name: str) -> str:
+    return f"_has_{name}"
+
+
 def has_key(name: str) -> Column:
-    """Whether the payload carries the key at all, null or not."""
-    return F.array_contains(F.json_object_keys("payload"), name)
+    """Whether the payload carries the key at all, null or not; one of the feed's ``presence``."""
+    return F.col(_presence(name))
 
 
 def newest() -> list[Column]:
@@ -208,7 +229,7 @@ def stg_emr_injuries(bronze: DataFrame) -> DataFrame:
 def stg_emr_status_updates(bronze: DataFrame) -> DataFrame:
     """A correction re-emits the id with a later event time, so event time decides first."""
     at = F.col("updated_at")
-    rows = first_per_key(unpack(bronze, STATUS_UPDATES), STATUS_UPDATES.key,
+    rows = first_per_key(every_row(bronze, STATUS_UPDATES), STATUS_UPDATES.key,
                          [F.try_to_timestamp(at).desc_nulls_first(), *newest()])
     return rows.select("bronze_id", "update_id", "injury_id", "player",
                        casts.guarded_iso(at, casts.ISO_OFFSET).alias("updated_at"),
