@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from squadlake.catalog.registry import Tables, shared
+from squadlake.catalog.registry import Tables, shared, shared_table
 from squadlake.catalog.shapes import PARTS, TEAMS, ev, measure, pick, sql_pick
 
 FIRST = ("Mike", "Josh", "Chris", "Anna", "Lee", "Kim", "Pat")
@@ -205,7 +205,7 @@ us AS (SELECT *, count(*) OVER (PARTITION BY update_id) AS versions FROM us0 QUA
 usbad AS (SELECT *, status = '??' AS held FROM us)"""
 
 
-@shared
+@shared_table
 def master(t: Tables) -> DataFrame:
     """Users whose first event is not a sign-up are on the roster."""
     known = ev(t).groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("_f")).where("_f <> 'signup'")
@@ -217,7 +217,7 @@ def master(t: Tables) -> DataFrame:
         F.when(c.user % 5 == 0, "Ace").alias("football_name"), c.team.alias("team"), F.lit(None).cast("timestamp").alias("valid_to"))
 
 
-@shared
+@shared_table
 def vendor_map(t: Tables) -> DataFrame:
     """Users whose last event is a view are already pinned for two vendors."""
     last = ev(t).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("_l")).where("_l = 'view'")

@@ -314,6 +314,14 @@ def held_ids(t, source: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [checked(t, s).failed_ids() for s in suites.suites_for(source)])
 
 
+def stored_held_ids(t, source: str) -> DataFrame:
+    """The ids of a source's held records, stored once: Silver reads them for every stream and again for its records."""
+    key = f"held {source}"
+    if key not in t.frames:
+        t.frames[key] = materialise(held_ids(t, source))
+    return t.frames[key]
+
+
 def _result_sql(cte: str, checks: list[tuple[str, str, str, str]]) -> str:
     """UNION ALL of (expectation, column, failing condition, evaluated condition)."""
     rows = [f"""SELECT '{e}' AS expectation_name, '{c}' AS column_name, count(*) AS element_count, count(*) FILTER ({bad}) AS unexpected_count,
@@ -553,7 +561,7 @@ def resolution_by_method(t):
 # ---------------------------------------------------------------- silver
 
 def build(t, source: str) -> silver.SilverRun:
-    return silver.BUILDERS[source](unpacked(t, source), held_ids(t, source), f.master(t), f.vendor_map(t), RUN)
+    return silver.BUILDERS[source](unpacked(t, source), stored_held_ids(t, source), f.master(t), f.vendor_map(t), RUN)
 
 
 def counted_build(t, source: str) -> dict[str, int]:
@@ -668,7 +676,7 @@ def reconcile(t):
     run = build(t, "forcedeck")
     counted = dedup_counts(staging.unpack(f.forcedeck(t), staging.FORCEDECK), ["test_id"]).select("rows_in", "duplicates_removed")
     n = lambda df: df.agg(F.count("*").alias("v")).scalar()
-    line = counted.withColumns({"source": F.lit("forcedeck"), "rows_quarantined_dq": n(held_ids(t, "forcedeck")),
+    line = counted.withColumns({"source": F.lit("forcedeck"), "rows_quarantined_dq": n(stored_held_ids(t, "forcedeck")),
                                 "rows_quarantined_identity": n(run.failures), "rows_in_silver": n(run.tables["forcedeck_tests"])})
     return quality.summarise(line, RUN, F.lit(None)).drop("run_id", "created_at")
 
@@ -730,7 +738,7 @@ def profile_percentages_sources(t):
         share = F.lit(0.0) if inferred is None else pct(F.count_if(inferred), F.count("*"))
         stamps = F.lit(100.0)
         if run.timestamp_profile is not None:
-            valid = quality.without_quarantined(staging.current(unpacked(t, source), silver.FACT_FEEDS[source][0]), held_ids(t, source))
+            valid = quality.without_quarantined(staging.current(unpacked(t, source), silver.FACT_FEEDS[source][0]), stored_held_ids(t, source))
             stamps = valid.agg(pct(F.count_if(run.timestamp_profile), F.count("*")).alias("v")).scalar()
         main = next(iter(run.tables.values()))
         lines.append(main.agg(share.alias("pct_units_inferred")).select(F.lit(source).alias("source"), "pct_units_inferred", stamps.alias("pct_timestamps_reformatted")))
