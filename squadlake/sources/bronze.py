@@ -111,16 +111,20 @@ class BronzeTable:
         rows = self.read().where(F.col("_source") == source)
         return rows if endpoint is None else rows.where(F.col("_endpoint") == endpoint)
 
-    def unseen(self, batch: DataFrame, source: str, order: list[str]) -> tuple[DataFrame, int]:
+    def unseen(self, batch: DataFrame, source: str, order: list[str], folder: str) -> tuple[DataFrame, int]:
         """Rows of ``batch`` (with ``_payload_hash``) that are not landed yet, each hash by
         its first row in ``order``, and the number of files of landed hashes that
-        takes.  Bronze itself is not read."""
-        fresh = first_per_key(batch, ["_payload_hash"], [F.col(c).asc() for c in order])
-        files = self.index.suspects(batch, "_payload_hash", source)
+        takes.  Bronze itself is not read.  First rows and the hashes found are stored
+        under ``folder``: the comparison, the write and the index read them."""
+        first_per_key(batch, ["_payload_hash"], [F.col(c).asc() for c in order]).write.parquet(f"{folder}/first")
+        fresh = self.spark.read.schema(batch.schema).parquet(f"{folder}/first")
+        files = self.index.suspects(fresh, "_payload_hash", source)
         if not files:
             return fresh, 0
-        wanted = batch.select(F.col("_payload_hash").alias("_w"))
-        hits = self.index.landed(files).join(wanted, F.col("digest") == F.col("_w"), "left_semi").select(F.col("digest").alias("_hit")).distinct()
+        wanted = fresh.select(F.col("_payload_hash").alias("_w"))
+        found = self.index.landed(files).join(wanted, F.col("digest") == F.col("_w"), "left_semi").select(F.col("digest").alias("_hit")).distinct()
+        found.write.parquet(f"{folder}/hits")
+        hits = self.spark.read.schema(found.schema).parquet(f"{folder}/hits")
         return fresh.join(hits, F.col("_payload_hash") == F.col("_hit"), "left_anti"), len(files)
 
     def _index_orphans(self, own: int) -> None:
@@ -142,6 +146,7 @@ class BronzeTable:
         have gaps.  Of equal records the first one emitted is kept.  Text that is
         not JSON goes to the rejects, with its count.  The batch is stored once, so
         its source is read once, and nothing is renumbered when a task is repeated.
+        Only what it adds is indexed: the rest is in the index already.
         """
         order = [*(order or []), "_position"]
         number = self._claim()
@@ -150,9 +155,9 @@ class BronzeTable:
         came, went = Observation(), Observation()
         df.withColumn("_position", F.monotonically_increasing_id()).select(
             "payload", *order, payload_hash(F.col("payload")).alias("_payload_hash")).observe(
-            came, F.count(F.lit(1)).alias("rows"), F.count("_payload_hash").alias("valid")).write.parquet(staging)
+            came, F.count(F.lit(1)).alias("rows"), F.count("_payload_hash").alias("valid")).write.parquet(f"{staging}/batch")
         try:
-            stored = self.spark.read.parquet(staging)
+            stored = self.spark.read.parquet(f"{staging}/batch")
             fetched, valid = came.get["rows"], came.get["valid"]
             now = (F.current_timestamp() if ingested_at is None else ingested_at).cast("timestamp")
             stamp = [now.alias("_ingested_at"), F.lit(batch_id).alias("_batch_id")]
@@ -162,14 +167,15 @@ class BronzeTable:
                 rejected.write.mode("append").parquet(f"{self.path}_rejects")
             partitions = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), MAX_PARTITIONS)
             kept = stored.where("_payload_hash is not null")
-            new, hash_files = self.unseen(kept, source, order)
+            new, hash_files = self.unseen(kept, source, order, staging)
             row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + F.call_function("shiftleft", F.spark_partition_id().cast("bigint"), F.lit(ROW_BITS))
             rows = new.repartitionByRange(partitions, *order).sortWithinPartitions(*order).select(
                 (F.lit(number << BATCH_BITS) + row).alias("id"), "payload", *stamp, "_payload_hash",
                 F.lit(schema_version).cast("string").alias("_schema_version"), *where)
             rows.observe(went, F.count(F.lit(1)).alias("rows")).write.mode("append").partitionBy(*PARTITIONS).parquet(self.path)
-            self.index.add(kept, "_payload_hash", source, number, valid)
-            return Landing(source, endpoint, batch_id, fetched, went.get["rows"], fetched - valid, hash_files)
+            inserted = went.get["rows"]
+            self.index.add(new, "_payload_hash", source, number, inserted)
+            return Landing(source, endpoint, batch_id, fetched, inserted, fetched - valid, hash_files)
         finally:
             path, files = self._on_disk(staging)
             files.delete(path, True)

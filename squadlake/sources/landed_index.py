@@ -1,13 +1,13 @@
 """Which records have landed: an index of their hashes beside Bronze.
 
-Each batch adds its distinct hashes, cut into files by hash prefix (as many prefixes
+Each batch adds the hashes that are new with it, cut into files by hash prefix (as many prefixes
 as make files of some 65,000 hashes), and a Bloom filter per file.  To find what of a
 new batch has landed before, its hashes are tried against the source's filters, two
 bytes for each landed hash, and only files whose filter lets something through are
 read and joined exactly.  Records nobody has seen cost no file but for one filter hit in
 a few thousand, however many batches there are; Bronze itself is never read.
 
-A batch's marker, named by its number and cut, is written last.  A batch that landed without one, since its writer
+A batch's marker, named by its number and cut (``none`` if it added nothing), is written last.  A batch that landed without one, since its writer
 died in between, is indexed from Bronze before the next batch is compared.
 """
 
@@ -59,7 +59,10 @@ class LandedIndex:
         return sorted(int(n) for n in self.names(claims) - {m.split("-")[0] for m in self.names(self.markers)})
 
     def add(self, digests: DataFrame, column: str, source: str, number: int, at_most: int) -> None:
-        """Index a batch's hashes once the batch has landed; ``at_most`` bounds their number."""
+        """Index the hashes a batch added once it has landed; ``at_most`` bounds their number."""
+        if not at_most:
+            self._mark(number, "none")
+            return
         cut = min(max((at_most - 1) // FILE_HASHES, 0).bit_length(), PREFIX_BITS)
         per_file = max(at_most >> cut, 1)
         n_bits = 1 << max((per_file * BITS_PER_HASH - 1).bit_length(), 10)
@@ -74,12 +77,15 @@ class LandedIndex:
         filters = words.groupBy("bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x.b).alias("words"))
         filters.select(F.lit(number).cast("bigint").alias("number"), F.lit(cut).alias("cut"), "bucket", F.lit(n_bits).cast("bigint").alias("n_bits"), "words",
                        F.lit(source).alias("_source")).coalesce(1 + (1 << cut) // 64).write.mode("append").partitionBy("_source").parquet(self.filters)
+        self._mark(number, cut)
+
+    def _mark(self, number: int, cut: int | str) -> None:
         path, files = self._on_disk(f"{self.markers}/{number:07d}-{cut}")
         files.create(path, True).close()
 
     def suspects(self, digests: DataFrame, column: str, source: str) -> list[tuple[int, int]]:
         """(batch, bucket) of the files that may hold one of the hashes: at most one for each filter."""
-        cuts = sorted({int(m.split("-")[1]) for m in self.names(self.markers)})  # 17 there can be
+        cuts = sorted({int(c) for m in self.names(self.markers) if (c := m.split("-")[1]) != "none"})  # 17 there can be
         if not cuts or not self.names(self.filters):
             return []
         filters = self.spark.read.schema(FILTER_SCHEMA).parquet(self.filters).where(F.col("_source") == source)
