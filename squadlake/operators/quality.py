@@ -196,20 +196,20 @@ class Validation:
         return self.frame.where(any_failed).select(F.col(self.id_col).cast("bigint").alias("bronze_id"))
 
     def quarantine(self) -> DataFrame:
-        """One row per (record, failed expectation)."""
+        """One row per (record, failed expectation).  The explode makes numbers of expectations;
+        texts are built behind it, once for a row, and not at all for who reads ids only."""
         if not self.usable:
             return self.frame.sparkSession.createDataFrame([], QUARANTINE_SCHEMA)
-        entries = []
-        for e in self.usable:
-            seen = _observed(self.source_frame, e)
-            entries.append(F.when(e.failed(), F.struct(
-                F.lit(e.type).alias("expectation_name"), F.lit(e.column_name).alias("column_name"),
-                seen.alias("observed_value"),
-                F.concat(F.lit(e.reason() + ": "), seen).alias("reason"))))
-        return (self.frame.select(F.col(self.id_col).cast("bigint").alias("bronze_id"),
-                                  F.explode(F.array_compact(F.array(*entries))).alias("q"))
-                .select("bronze_id", F.lit(self.suite.endpoint).alias("endpoint"),
-                        F.lit(self.run_id).alias("run_id"), "q.*"))
+        failed = F.array(*[F.when(e.failed(), F.lit(i)) for i, e in enumerate(self.usable)])
+        hits = self.frame.select("*", F.explode(F.array_compact(failed)).alias("_failed"))
+        text = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_failed") + 1)
+        observed = F.coalesce(*[F.when(F.col("_failed") == i, _observed(self.source_frame, e)) for i, e in enumerate(self.usable)])
+        return (hits.select(F.col(self.id_col).cast("bigint").alias("bronze_id"), F.lit(self.suite.endpoint).alias("endpoint"),
+                            F.lit(self.run_id).alias("run_id"), text(e.type for e in self.usable).alias("expectation_name"),
+                            text(e.column_name for e in self.usable).alias("column_name"), observed.alias("observed_value"),
+                            text(e.reason() + ": " for e in self.usable).alias("_reason"))
+                .select("bronze_id", "endpoint", "run_id", "expectation_name", "column_name", "observed_value",
+                        F.concat("_reason", "observed_value").alias("reason")))
 
 
 def raise_if_systemic(results: DataFrame, suites: Iterable[Suite]) -> None:
