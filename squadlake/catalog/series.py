@@ -158,9 +158,15 @@ def preferred_method(t):
                   dates=("measured_on",), floats=("weight_lbs",))
 
 
+@shared_table
+def strength_table(t):
+    """The strength fact as a stored table, for queries that read it beside the player-day fact."""
+    return facts.fact_strength(s.tests(t))
+
+
 @shared
 def player_day(t):
-    return facts.fact_player_day(training_load(t), facts.fact_wellness(s.surveys(t)), facts.fact_strength(s.tests(t)),
+    return facts.fact_player_day(training_load(t), facts.fact_wellness(s.surveys(t)), strength_table(t),
                                  facts.fact_nutrition(s.measurements(t)), status_table(t), injury(t))
 
 
@@ -190,7 +196,7 @@ def weekly(t):
     sessions_games = game_points(t)
     load, days = load_table(t), status_table(t)
     return mart.mart_player_week(
-        load, facts.fact_wellness(s.surveys(t)), facts.fact_strength(s.tests(t)), facts.fact_nutrition(s.measurements(t)),
+        load, facts.fact_wellness(s.surveys(t)), strength_table(t), facts.fact_nutrition(s.measurements(t)),
         facts.fact_availability(load, days, s.calendar(t)), injury(t), days, sessions_games, s.players(t), s.calendar(t))
 
 

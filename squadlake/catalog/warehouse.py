@@ -412,8 +412,7 @@ def player_trends(t):
 @query("asymmetry_trend", with_sql("""SELECT player_sk, CAST(test_date AS VARCHAR) AS test_date, round(avg(asymmetry_pct), 6) AS asymmetry_pct, round(avg(asym4), 6) AS asymmetry_4w_avg FROM str, upto a WHERE test_date > a.d - 28 AND test_date <= a.d GROUP BY ALL"""))
 def asymmetry_trend(t):
     """Asymmetry per test day in the window."""
-    from squadlake.plans import facts
-    out = report.asymmetry_trend(facts.fact_strength(s.tests(t)), series.player_day_table(t), days_back=BACK)
+    out = report.asymmetry_trend(series.strength_table(t), series.player_day_table(t), days_back=BACK)
     return out.select("player_sk", text("test_date").alias("test_date"), rnd("asymmetry_pct").alias("asymmetry_pct"), rnd("asymmetry_4w_avg").alias("asymmetry_4w_avg"))
 
 
