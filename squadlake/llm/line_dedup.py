@@ -21,9 +21,10 @@ shorter one in n // ``words_per_edit`` words, ``word_edits`` at most.  Of k + 1
 segments of the shorter line one stays whole under k edits, so lines that share a
 segment at fitting places are candidates.  They meet leaders of the segment first,
 which takes most near copies out.  What stands seeks among the earlier lines that it
-has not met: few lines under a segment are paired off; of many, all variants are keys.  A variant has gaps of a cost each, k in all,
-where at most that many words were deleted: lines that share one are within k
-edits, so again the earliest is enough.
+has not met: few lines under a segment are paired off.  Under many, the line that seeks
+names k + 1 spans of its own that do not overlap, those which the fewest lines hold
+(``chosen_spans``): k edits leave one of them whole, so each line within its bound holds
+one.  A passage that many lines share is thus never what they are compared for.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from squadlake.llm.bloom import bloom_of, may_hold
-from squadlake.llm.keygroups import shared_keys
+from squadlake.llm.keygroups import BLOCK_KEYS, BLOCK_SCHEMA, KeyBlocks, shared_in_blocks
 from squadlake.llm.shared import Scratch
 from squadlake.llm.textblocks import LENGTH, SpanHasher, column_of, mix, text_chunks
 
@@ -45,7 +46,10 @@ MIN_CHARS = 20  # shorter lines are only compared for equality
 WORD_EDITS = 2  # words in which a long line may differ, at most
 WORDS_PER_EDIT = 16  # words that a line needs for each of them
 LEADERS = 2  # rounds in which lines meet one leader of each of their segments
-FEW = 128  # lines under a shared segment that are paired off
+FEW = 8  # lines under a shared segment that are paired off
+SPANS = (1, 3)  # words of the spans that a line may be sought by
+FRONT, BACK, SEED = 0, 1, 2  # kinds of the keys of a line
+SEEKS, SEEN = 1, 2  # what a line does when spans are compared
 LAST = np.iinfo(np.int64).max  # the position of documents without an id
 _SECOND = np.uint64(0x2545F4914F6CDD1D)
 
@@ -146,28 +150,35 @@ def _positions(doc_ids: pa.Array) -> np.ndarray:
 
 
 def line_keys(docs: DataFrame, min_chars: int, word_edits: int, words_per_edit: int) -> DataFrame:
-    """Rows (hash, mark, position) for lines, rows (key, hash) for their halves, and rows
-    (seed, hash) for segments of long ones."""
+    """Rows (hash, mark, position) for lines, and blocks of the keys of their halves (FRONT,
+    BACK) and of segments of long ones (SEED)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = SpanHasher()
+        hasher, held = SpanHasher(), KeyBlocks()
+
+        def dealt(least: int) -> Iterator[pa.RecordBatch]:
+            for columns in held.blocks(least):
+                none = pa.nulls(len(columns["bucket"]), pa.int64())
+                yield _batch(hash=none, mark=none, position=none, **columns)
+
         for batch in batches:
             positions = _positions(column_of(batch, "doc_id"))
             for low, _, data, offsets in text_chunks(column_of(batch, "text")):
                 lines = Lines(hasher, data, offsets)
                 at = np.flatnonzero(lines.filled)
-                none = pa.nulls(len(at), pa.int64())
-                yield _batch(hash=lines.hash[at], mark=lines.check[at], position=positions[low + lines.text[at]], key=none, seed=none)
+                none = pa.nulls(len(at), pa.binary())
+                yield _batch(hash=lines.hash[at], mark=lines.check[at], position=positions[low + lines.text[at]],
+                             bucket=pa.nulls(len(at), pa.int32()), keys=none, names=none, flags=none)
                 once = lines.filled & ~lines.repeated
                 for shift in (0, 1):
                     at = np.flatnonzero(once & (lines.size >= min_chars + shift))
-                    none = pa.nulls(len(at), pa.int64())
-                    for keys in lines.half_keys(at, lines.size[at] - shift):
-                        yield _batch(hash=lines.hash[at], mark=none, position=none, key=keys, seed=none)
+                    for kind, keys in zip((FRONT, BACK), lines.half_keys(at, lines.size[at] - shift)):
+                        held.add(keys, lines.hash[at], kind)
                 at, keys = lines.segment_keys(np.flatnonzero(once & (lines.size >= min_chars)), word_edits, words_per_edit)
-                none = pa.nulls(len(at), pa.int64())
-                yield _batch(hash=lines.hash[at], mark=none, position=none, key=none, seed=keys)
+                held.add(keys, lines.hash[at], SEED)
+                yield from dealt(BLOCK_KEYS)
+        yield from dealt(1)
 
-    return docs.mapInArrow(run, "hash long, mark long, position long, key long, seed long")
+    return docs.mapInArrow(run, f"hash long, mark long, position long, {BLOCK_SCHEMA}")
 
 
 def spots(first: DataFrame) -> DataFrame:
@@ -219,19 +230,21 @@ def variant_keys(points: np.ndarray, hasher: SpanHasher, low: int, high: int) ->
 
 
 def neighbourhoods(lines: DataFrame) -> DataFrame:
-    """(key, name) of all variants of the lines (hash, text, front, back).  A line that
+    """Blocks of all variants of the lines (hash, text, front, back).  A line that
     shares its front half with another differs from it behind, and the reverse."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = SpanHasher()
+        hasher, held = SpanHasher(), KeyBlocks()
         for batch in batches:
             for name, text, front, back in zip(*(column_of(batch, c).to_pylist() for c in ("hash", "text", "front", "back"))):
                 points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
                 n = len(points)
                 patterns, strings, whole = variant_keys(points, hasher, 0 if back else (n - 1) // 2, n if front else n // 2 + 1)
                 keys = np.concatenate([patterns, strings, [whole]])
-                yield _batch(key=keys, name=np.full(len(keys), name))
+                held.add(keys, np.full(len(keys), name), 0)
+                yield from (_batch(**columns) for columns in held.blocks(BLOCK_KEYS))
+        yield from (_batch(**columns) for columns in held.blocks())
 
-    return lines.select("hash", "text", "front", "back").mapInArrow(run, "key long, name long")
+    return lines.select("hash", "text", "front", "back").mapInArrow(run, BLOCK_SCHEMA)
 
 
 def whole_keys(lines: DataFrame) -> DataFrame:
@@ -282,51 +295,81 @@ def close_lines(word_edits: int, words_per_edit: int):
     return close
 
 
-def gap_keys(words: np.ndarray, hasher: SpanHasher, k: int) -> Iterator[np.ndarray]:
-    """Keys of a line's words (hashes) for all choices of gaps that cost ``k`` in all.  A gap
-    of cost c stands for up to c deleted words; kept words lie between two gaps."""
-    n = len(words)
-    running = hasher.running(words)
-
-    def gaps(total: np.uint64, done: int, cut: int, left: int) -> Iterator[np.ndarray]:
-        for cost in range(1, left + 1):
-            for deleted in range(cost + 1):
-                at = np.arange(done + (left < k), n - deleted + 1)
-                marks = mix((at - cut).astype(np.uint64) * np.uint64(64) + np.uint64(cost))
-                before = total + (running[at] - running[done]) * hasher.inverses[cut] + marks
-                if cost == left:
-                    rest = (running[n] - running[at + deleted]) * hasher.inverses[cut + deleted]
-                    yield mix(before + rest + np.uint64(n - cut - deleted) * LENGTH) ^ np.uint64(k)
-                else:
-                    for place, value in zip(at.tolist(), before):
-                        yield from gaps(value, place + deleted, cut + deleted, left - cost)
-
-    with np.errstate(over="ignore"):
-        yield from gaps(np.uint64(0), 0, 0, k)
-
-
-def word_neighbourhoods(lines: DataFrame, word_edits: int, words_per_edit: int) -> DataFrame:
-    """(key, name) of all variants of the lines (hash, text), for each bound that a line
-    has with lines of as many words or a few less."""
+def span_keys(text: str, hasher: SpanHasher, word_edits: int) -> tuple[int, dict[int, np.ndarray]]:
+    """The number of a line's words, and keys of its spans of each size in ``SPANS`` by their
+    place.  The empty span stands in for those that a line of less than k + 1 words lacks;
+    lines that can be within k of it have it too."""
+    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    starts, ends = word_spans(points, np.zeros(0, dtype=np.int64))
+    running = hasher.running(mix(hasher.raw_spans(hasher.running(_values(points)), starts, ends) + (ends - starts).astype(np.uint64) * LENGTH))
+    n, keys = len(starts), {}
+    for size in SPANS:
+        at = np.arange(max(n - size + 1, 0))
+        keys[size] = mix(hasher.raw_spans(running, at, at + size) + np.uint64(size) * LENGTH)
+    if n <= 2 * word_edits:
+        keys[0] = np.zeros(1, dtype=np.uint64)
+    return n, keys
+
+
+def line_spans(lines: DataFrame, word_edits: int) -> DataFrame:
+    """Blocks of the keys of all spans of the lines (hash, text, role)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, held = SpanHasher(), KeyBlocks()
+        for batch in batches:
+            for name, text, role in zip(*(column_of(batch, c).to_pylist() for c in ("hash", "text", "role"))):
+                keys = np.concatenate(list(span_keys(text, hasher, word_edits)[1].values()))
+                held.add(keys, np.full(len(keys), name), role)
+                yield from (_batch(**columns) for columns in held.blocks(BLOCK_KEYS))
+        yield from (_batch(**columns) for columns in held.blocks())
+
+    return lines.select("hash", "text", "role").mapInArrow(run, BLOCK_SCHEMA)
+
+
+def rarest_spans(n: int, keys: dict[int, np.ndarray], known: dict[int, int], wanted: int) -> list[int]:
+    """Keys of ``wanted`` spans of a line of ``n`` words that do not overlap, such that the
+    lines that hold them are the fewest in all."""
+    if n < wanted:
+        return keys[0].view(np.int64).tolist()
+    sized = [(size, ks.view(np.int64).tolist()) for size, ks in keys.items() if size]
+    cost = [(size, ks, [known.get(k, 0) for k in ks]) for size, ks in sized]
+    best = [[(0, None)] * (n + 1)]  # by spans taken and words passed: the sum, and the last span with the words before it
+    for taken in range(1, wanted + 1):
+        before, row = best[-1], [(float("inf"), None)] * (n + 1)
+        for end in range(1, n + 1):
+            row[end] = row[end - 1]
+            for size, ks, cs in cost:
+                if size <= end and before[end - size][0] + cs[end - size] < row[end][0]:
+                    row[end] = (before[end - size][0] + cs[end - size], (ks[end - size], end - size))
+        best.append(row)
+    chosen, end = [], n
+    for row in reversed(best[1:]):
+        key, end = row[end][1]
+        chosen.append(key)
+    return chosen
+
+
+def chosen_spans(lines: DataFrame, word_edits: int, words_per_edit: int) -> DataFrame:
+    """(key, a): the rarest spans of each line (hash, text), one more than its bound of words.
+    ``known`` has (key, n) of its spans that n lines share; what no other line holds needs no search."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
         for batch in batches:
-            for name, text in zip(*(column_of(batch, c).to_pylist() for c in ("hash", "text"))):
-                points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-                starts, ends = word_spans(points, np.zeros(0, dtype=np.int64))
-                words = mix(hasher.raw_spans(hasher.running(_values(points)), starts, ends) + (ends - starts).astype(np.uint64) * LENGTH)
-                bounds = {int(word_bound(len(words) - less, word_edits, words_per_edit)) for less in range(word_edits + 1)}
-                for k in bounds - {0}:
-                    for keys in gap_keys(words, hasher, k):
-                        yield _batch(key=keys, name=np.full(len(keys), name))
+            out: list[tuple[int, int]] = []
+            for name, text, known in zip(*(column_of(batch, c).to_pylist() for c in ("hash", "text", "known"))):
+                shared = {k["key"]: k["n"] for k in known}
+                n, keys = span_keys(text, hasher, word_edits)
+                chosen = rarest_spans(n, keys, shared, int(word_bound(n, word_edits, words_per_edit)) + 1)
+                out += [(key, name) for key in chosen if key in shared]
+            pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+            yield _batch(key=pairs[:, 0].copy(), a=pairs[:, 1].copy())
 
-    return lines.select("hash", "text").mapInArrow(run, "key long, name long")
+    return lines.select("hash", "text", "known").mapInArrow(run, "key long, a long")
 
 
 def led_segments(lines: DataFrame, seeds: DataFrame, scratch: Scratch, close) -> tuple[DataFrame, DataFrame]:
     """Each line meets leaders of its segments, as many pairs as rows: the earliest line,
     then the earliest that stands and has not led.  Returns the hashes (later) of the lines
-    gone by that, and the rows (key, name, seeks) to search on: those that stand and come after
+    gone by that, and the rows (key, name, seeks, seen) to search on: those that stand and come after
     one that has not led seek, and the latter are their witnesses, gone or not."""
     state = seeds.join(lines.select(F.col("hash").alias("name"), F.struct("position", "line", "hash").alias("place")), "name").select(
         "key", "name", "place", F.lit(False).alias("led"), F.lit(False).alias("gone"))
@@ -343,7 +386,7 @@ def led_segments(lines: DataFrame, seeds: DataFrame, scratch: Scratch, close) ->
     stands, witness = ~F.col("gone"), ~F.col("led")
     ranges = state.groupBy("key").agg(F.min(F.when(witness, F.col("place"))).alias("low"), F.max(F.when(stands, F.col("place"))).alias("high")).where("low < high")
     roles = state.join(ranges, "key").select("key", "name", (stands & (F.col("place") > F.col("low"))).alias("seeks"), (witness & (F.col("place") < F.col("high"))).alias("seen"))
-    return gone, roles.where("seeks or seen").select("key", "name", "seeks")
+    return gone, roles.where("seeks or seen").select("key", "name", "seeks", "seen")
 
 
 def word_repeats(lines: DataFrame, seeds: DataFrame, scratch: Scratch, word_edits: int, words_per_edit: int) -> DataFrame:
@@ -354,17 +397,17 @@ def word_repeats(lines: DataFrame, seeds: DataFrame, scratch: Scratch, word_edit
     left = scratch.keep(left, "left")
     sized = left.join(left.groupBy("key").agg(F.count("*").alias("n")), "key")
     few = sized.where(F.col("n") <= FEW)
-    pairs = few.where("seeks").select("key", F.col("name").alias("x")).join(few.select("key", F.col("name").alias("y")), "key").where("x <> y").select(
+    pairs = few.where("seeks").select("key", F.col("name").alias("x")).join(few.where("seen").select("key", F.col("name").alias("y")), "key").where("x <> y").select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    many = sized.where(F.col("n") > FEW).groupBy(F.col("name").alias("hash")).agg(F.bool_or("seeks").alias("seeks"))
-    many = scratch.keep(lines.join(many, "hash").select("hash", "text", "seeks", F.struct("position", "line", "hash").alias("place")), "many")
+    role = F.bit_or(F.when(F.col("seeks"), SEEKS).otherwise(0)) + F.bit_or(F.when(F.col("seen"), SEEN).otherwise(0))
+    many = sized.where(F.col("n") > FEW).groupBy(F.col("name").alias("hash")).agg(role.alias("role"))
+    many = scratch.keep(lines.join(many, "hash").select("hash", "text", "role"), "many")
     if not many.isEmpty():
-        tasks = many.sparkSession.sparkContext.defaultParallelism * 4  # some lines have very many variants
-        keys = shared_keys(word_neighbourhoods(many.repartition(tasks, "hash"), word_edits, words_per_edit))
-        keys = scratch.keep(keys.select("key", F.col("name").alias("hash")), "gaps")
-        placed = keys.join(many.select("hash", "seeks", "place"), "hash")
-        heads = placed.groupBy("key").agg(F.min("place").alias("head")).select("key", F.col("head.hash").alias("b"))
-        pairs = pairs.union(placed.where("seeks").join(heads, "key").where("hash <> b").select(F.col("hash").alias("a"), "b"))
+        spans = scratch.keep(shared_in_blocks(line_spans(many, word_edits)), "spans")
+        known = spans.where(F.col("flag").bitwiseAND(SEEKS) > 0).groupBy(F.col("name").alias("hash")).agg(F.collect_list(F.struct("key", "n")).alias("known"))
+        chosen = scratch.keep(chosen_spans(many.join(known, "hash"), word_edits, words_per_edit), "chosen")
+        seen = spans.where(F.col("flag").bitwiseAND(SEEN) > 0).select("key", F.col("name").alias("b"))
+        pairs = pairs.union(chosen.join(seen, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     return gone.union(later_of(pairs, lines, close)).distinct()
 
 
@@ -387,7 +430,7 @@ def later_of(pairs: DataFrame, lines: DataFrame, close) -> DataFrame:
 def near_repeats(lines: DataFrame, scratch: Scratch) -> DataFrame:
     """Hashes of the lines within one edit of an earlier one; ``lines``: hash, text,
     front, back and the place (position, line) of the first of its kind."""
-    keys = scratch.keep(shared_keys(neighbourhoods(lines)).select("key", F.col("name").alias("hash")), "variants")
+    keys = scratch.keep(shared_in_blocks(neighbourhoods(lines)).select("key", F.col("name").alias("hash")), "variants")
     places = lines.join(whole_keys(lines), "hash").select("hash", "whole", F.struct("position", "line", "hash").alias("place"))
     placed = keys.join(places, "hash")
     odd = F.col("key").bitwiseAND(1) == 1
@@ -405,11 +448,9 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS,
     """(doc_id, tie, dropped): the numbers of the lines to drop, for documents with any."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
     keys = scratch.keep(line_keys(docs.drop("tie"), min_chars, word_edits, words_per_edit), "lines")
-    halves = shared_keys(keys.where("key is not null").select("key", F.col("hash").alias("name")))
-    is_back = F.col("key").bitwiseAND(1) == 1
-    seeds = scratch.keep(shared_keys(keys.where("seed is not null").select(F.col("seed").alias("key"), F.col("hash").alias("name"))).select("key", "name"), "seeds")
-    marked = halves.select("name", (~is_back).alias("front"), is_back.alias("back"), F.lit(False).alias("words")).union(
-        seeds.select("name", F.lit(False), F.lit(False), F.lit(True)))
+    shared = scratch.keep(shared_in_blocks(keys.where("bucket is not null").select("bucket", "keys", "names", "flags")), "shared")
+    seeds = shared.where(F.col("flag") == SEED).select("key", "name")
+    marked = shared.select("name", *[(F.col("flag") == kind).alias(c) for c, kind in (("front", FRONT), ("back", BACK), ("words", SEED))])
     near = scratch.keep(marked.groupBy(F.col("name").alias("hash")).agg(*[F.bool_or(c).alias(c) for c in ("front", "back", "words")]), "near")
     counted = keys.where("mark is not null").groupBy("hash", "mark").agg(F.count("*").alias("n"), F.min("position").alias("first"))
     counted = counted.join(near.select("hash", F.lit(True).alias("near")), "hash", "left").where("n > 1 or near")

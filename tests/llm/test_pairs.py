@@ -5,10 +5,11 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import AWKWARD, rows_of
 
-from squadlake.llm import line_dedup, parity_join, winnowing
+from squadlake.llm import keygroups, line_dedup, parity_join, winnowing
 from squadlake.llm.components import components
 
 
@@ -233,3 +234,60 @@ def test_line_with_one_other_word_goes(docs, scratch):
     rows = [(1, " ".join(line)), (2, " ".join(line[:20] + ["another"] + line[21:]) + "\nand a line of its own"), (3, " ".join(line[:9] + line[10:] + ["end"]))]
     got = line_dedup.without_repeats(docs(rows), scratch)
     assert rows_of(got, "doc_id", "text") == [(1, " ".join(line)), (2, "and a line of its own"), (3, "")]
+
+
+def test_lines_with_a_common_passage_are_not_paired_off(docs, scratch, monkeypatch):
+    rnd = random.Random(7)
+    say = lambda n: [f"w{rnd.randrange(400)}" for _ in range(n)]
+    passage, rests = say(40), [say(12) for _ in range(100)]
+    lines = [passage + rest for rest in rests]
+    lines += [passage + rest[:3] + ["one"] + rest[4:9] + ["two"] + rest[10:] for rest in rests[50:70]]  # within two words of theirs
+    lines += [passage + rest[:2] + ["one"] + rest[3:6] + ["two"] + rest[7:11] + ["three"] for rest in rests[:20]]  # not within
+    tried, later_of = [], line_dedup.later_of
+
+    def counted(pairs, *others):
+        tried.append(pairs.distinct().count())
+        return later_of(pairs, *others)
+
+    monkeypatch.setattr(line_dedup, "later_of", counted)
+    got = line_dedup.without_repeats(docs([(i, " ".join(line)) for i, line in enumerate(lines)]), scratch)
+    assert {r.doc_id for r in got.where("n_dropped > 0").collect()} == set(range(100, 120))
+    assert sum(tried) < 8 * len(lines)  # two leaders of each of some keys, and those that hold a rare span
+
+
+@pytest.mark.parametrize("wanted", [1, 2, 3, 4])
+def test_rarest_spans_are_the_best_that_do_not_overlap(wanted):
+    rnd = random.Random(wanted)
+    for n in [wanted, wanted + 1, 9]:
+        keys = {size: np.arange(size * 100, size * 100 + max(n - size + 1, 0), dtype=np.uint64) for size in (1, 3)}
+        spans = [(int(k), i, size) for size, ks in keys.items() for i, k in enumerate(ks)]
+        known = {k: rnd.randrange(6) for k, _, _ in spans}
+
+        def least(at, left):
+            if not left:
+                return 0
+            return min((known[k] + least(i + size, left - 1) for k, i, size in spans if i >= at), default=99)
+
+        chosen = sorted((i, i + size) for k, i, size in spans if k in (got := line_dedup.rarest_spans(n, keys, known, wanted)))
+        assert len(chosen) == wanted and all(a[1] <= b[0] for a, b in zip(chosen, chosen[1:]))
+        assert sum(known[k] for k in got) == least(0, wanted)
+
+
+def test_keys_shared_in_blocks(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice([rnd.randrange(-2**63, 2**63), i % 40 << 50]), rnd.randrange(12)) for i in range(3000)]
+
+    def run(batches):
+        for batch in batches:
+            held = keygroups.KeyBlocks()
+            held.add(batch.column(0).to_numpy(), batch.column(1).to_numpy(), 3)
+            for columns in held.blocks():
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            assert not list(held.blocks())
+
+    names = defaultdict(set)
+    for key, name in rows:
+        names[key].add(name)
+    blocks = spark.createDataFrame(rows, "key long, name long").repartition(5).mapInArrow(run, keygroups.BLOCK_SCHEMA)
+    assert rows_of(keygroups.shared_in_blocks(blocks)) == sorted(((k, x, 3, len(v)) for k, v in names.items() if len(v) > 1 for x in v), key=str)
+    assert keygroups.shared_in_blocks(blocks.where("false")).count() == 0
